@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import table
-from . import canonical, components
+from . import canonical, components, vectors
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.connected_components(spark, edges)
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(node_id_a, node_id_b): pairs of cosine 0.90 or more, one among the 5 most similar others of the other."""
+    tune(spark)
+    nodes = table(spark, folder, "kg_nodes", ["node_id", "embedding"]).select(F.col("node_id").alias("id"), "embedding")
+    return vectors.similar_pairs(spark, nodes, k=5, least=0.90).select(F.col("id_a").alias("node_id_a"), F.col("id_b").alias("node_id_b"))
+
+
 P5_SQL = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT least(a, b) u, greatest(a, b) v FROM match_candidates WHERE accepted AND a IS NOT NULL AND b IS NOT NULL AND a <> b
@@ -37,7 +44,7 @@ SELECT x AS record_id, min(r) AS group_id FROM reach GROUP BY x
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
