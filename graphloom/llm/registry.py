@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import table
-from . import canonical, components, vectors
+from . import canonical, components, leakage, packing, vectors
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +34,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.similar_pairs(spark, nodes, k=5, least=0.90).select(F.col("id_a").alias("node_id_a"), F.col("id_b").alias("node_id_b"))
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """(sequence_id, position, doc_id, start_token, n_tokens): all documents in sequences of 2 048 tokens."""
+    tune(spark)
+    return packing.pack(spark, table(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text", 2048)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, item_id): documents that hold at least two fifths of an item's words."""
+    tune(spark)
+    docs, items = table(spark, folder, "documents", ["doc_id", "text"]), table(spark, folder, "eval_items", ["item_id", "text"])
+    return leakage.leaks(spark, docs, items).select("doc_id", "item_id").distinct()
+
+
 P5_SQL = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT least(a, b) u, greatest(a, b) v FROM match_candidates WHERE accepted AND a IS NOT NULL AND b IS NOT NULL AND a <> b
@@ -44,7 +57,7 @@ SELECT x AS record_id, min(r) AS group_id FROM reach GROUP BY x
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
