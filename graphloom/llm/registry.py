@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import table
-from . import canonical, components, leakage, packing, vectors
+from . import abuse, canonical, components, leakage, packing, vectors
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +47,23 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(spark, docs, items).select("doc_id", "item_id").distinct()
 
 
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, score): the probability that a document is abusive, hateful or sexual."""
+    tune(spark)
+    return abuse.score_documents(spark, table(spark, folder, "documents", ["doc_id", "text", "source"]), table(spark, folder, "review_labels", ["doc_id", "toxic"]))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id): the documents whose score reaches one half."""
+    return p10_scores(spark, folder).where("score >= 0.5").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, n_documents, n_flagged, rate) of every source, the unnamed one included."""
+    by = p10_scores(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("score") >= 0.5).alias("n_flagged"))
+    return by.withColumn("rate", F.col("n_flagged") / F.col("n_documents"))
+
+
 P5_SQL = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT least(a, b) u, greatest(a, b) v FROM match_candidates WHERE accepted AND a IS NOT NULL AND b IS NOT NULL AND a <> b
@@ -57,7 +74,7 @@ SELECT x AS record_id, min(r) AS group_id FROM reach GROUP BY x
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:
