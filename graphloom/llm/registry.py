@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import table
-from . import abuse, canonical, components, leakage, packing, vectors
+from . import abuse, addresses, canonical, components, leakage, packing, vectors
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +34,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.similar_pairs(spark, nodes, k=5, least=0.90).select(F.col("id_a").alias("node_id_a"), F.col("id_b").alias("node_id_b"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_key_a, record_key_b): records that give the same street address."""
+    tune(spark)
+    blank = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    own = table(spark, folder, "location_records", ["location_id", "address", "name"]).select(F.col("location_id").alias("record_key"), F.coalesce(blank("address"), "name").alias("address"))
+    read = table(spark, folder, "location_extractions", ["case_id", "extracted"]).select("case_id", F.posexplode("extracted").alias("i", "address")).select(F.concat("case_id", F.lit("#"), F.col("i").cast("string")).alias("record_key"), "address")
+    return addresses.same_addresses(spark, own.unionByName(read))
+
+
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """(sequence_id, position, doc_id, start_token, n_tokens): all documents in sequences of 2 048 tokens."""
     tune(spark)
@@ -74,7 +83,7 @@ SELECT x AS record_id, min(r) AS group_id FROM reach GROUP BY x
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:
