@@ -21,7 +21,7 @@ def get_session(app: str = "graphloom", cores: str | None = None, shuffle_partit
     builder = SparkSession.builder.appName(app)
     if cores is not None:
         builder = builder.master(f"local[{cores}]")
-    builder = builder.config(map=RUNTIME_CONF).config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("GRAPHLOOM_DRIVER_MEMORY", "12g"))
+    builder = builder.config(map=RUNTIME_CONF).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", os.environ.get("GRAPHLOOM_DRIVER_MEMORY", "12g"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
