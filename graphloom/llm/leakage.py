@@ -5,7 +5,8 @@ number of documents of the whole corpus they occur in. A document that holds the
 required part of an item shares at least a fraction ``OVERLAP`` of its shingles, so it
 must share one of the rarest ``n - ceil(OVERLAP n) + 1``: the item's prefix. Documents
 are joined with items on these, candidates too short for the required part are
-left out, and so are those whose shared shingles' places bound the passages below it.
+left out, and so are those that share fewer shingles, or shared shingles in places that
+bound the passages below it.
 What remains is verified by aligning document and item, word by word, in windows of
 the item's size around the shared places; the two best coherent passages count.
 
@@ -19,8 +20,10 @@ import html
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +33,17 @@ from ..shared import Scratch
 #: Words of a shingle for candidates; words of the seeds passages are chained from.
 SHINGLE, SEED = 5, 3
 #: Part of an item's shingles that survive in a document holding the required part of its words, changed in places.
-OVERLAP = 0.05
+OVERLAP = 0.06
 #: Words of items sent to the documents at once.
 ITEM_WORDS = 200_000
 #: A passage counts from this many matching words on; shorter ones are turns of phrase.
 PASSAGE = 12
+#: Words the seeds of a passage cover at least.
+SEEDS = 6
 #: Part of an item's words its seeds must cover before it is aligned.
-SEEDED = 0.2
+SEEDED = 0.28
 
-_BREAK = re.compile(r"(\w)[-‐‑­]\s*\n\s*(?=\w)")
+_BREAK = re.compile(r"(?<=\w)[-‐‑­]\s*\n\s*(?=\w)")
 _WORD = re.compile(r"\w+")
 _DROP = dict.fromkeys(map(ord, "​‌‍⁠﻿­'’‘`ʼ"))
 
@@ -49,9 +54,12 @@ def words(text: str | None) -> list[str]:
         return []
     if "&" in text:
         text = html.unescape(text)
-    text = _BREAK.sub(r"\1", text).translate(_DROP).lower()
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    if "\n" in text:
+        text = _BREAK.sub("", text)
+    if text.isascii():
+        text = text.replace("'", "").replace("`", "").lower()
+    else:
+        text = "".join(c for c in unicodedata.normalize("NFKD", text.translate(_DROP).lower()) if not unicodedata.combining(c))
     return _WORD.findall(text)
 
 
@@ -59,6 +67,11 @@ def shingles(w: list[str], k: int) -> list[str]:
     return [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else ([" ".join(w)] if w else [])
 
 
+def deletions(word: str) -> set[str]:
+    """The word and what is left of it by one deletion; words of one slip of the pen share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) >= 4 else {word}
+
+
 def near(a: str, b: str) -> bool:
     """Equal, or one slip of the pen apart (edit or swap of neighbours) in words of four letters or more."""
     if a == b:
@@ -71,26 +84,53 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
-def align(doc: list[str], item: list[str]) -> tuple[int, int, int, int, int]:
+class Item:
+    """One item's words, and which of its words a written word may stand for."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        order = np.array(words)
+        self.rows = {w: order == w for w in set(words)}
+        self.none = np.zeros(len(words), bool)
+        self.slips: dict[str, list[str]] = {}
+        for w in sorted(self.rows):
+            for d in deletions(w):
+                self.slips.setdefault(d, []).append(w)
+
+    def matches(self, doc: list[str]) -> np.ndarray:
+        """Word by word, whether document and item agree."""
+        rows: dict[str, np.ndarray] = {}
+        for w in doc:
+            if w not in rows:
+                if (row := self.rows.get(w)) is None:
+                    slips = {x for d in deletions(w) if d in self.slips for x in self.slips[d] if near(w, x)}
+                    row = np.logical_or.reduce([self.rows[x] for x in slips]) if slips else self.none
+                rows[w] = row
+        return np.stack([rows[w] for w in doc]) if doc else np.zeros((0, len(self.words)), bool)
+
+
+#: A cell of the alignment is one number: score, matching words, and where it began in document and item.
+_SCORE, _MATCH, _ROW, _PLACE = 1 << 44, 1 << 30, 1 << 15, (1 << 15) - 1
+
+
+def align(agree: np.ndarray) -> tuple[int, int, int, int, int]:
     """Best local alignment (match 1, change or gap -2): (matching words, document from, to, item from, to)."""
+    n = agree.shape[1]
+    places = np.arange(n + 1, dtype=np.int64)
+    slope = 2 * _SCORE * places
+    prev = places.copy()
     best, end = 0, (0, 0)
-    prev = [(0, 0, 0, 0)] * (len(item) + 1)  # score, matches, document start, item start
-    best_cell = (0, 0, 0, 0)
-    for i, x in enumerate(doc, 1):
-        row = [(0, 0, i, 0)]
-        for j, y in enumerate(item, 1):
-            d = prev[j - 1]
-            if x == y or near(x, y):
-                cell = (d[0] + 1, d[1] + 1, d[2], d[3]) if d[0] > 0 else (1, 1, i - 1, j - 1)
-            else:
-                cell = max((d[0] - 2, d[1], d[2], d[3]), (prev[j][0] - 2, prev[j][1], prev[j][2], prev[j][3]), (row[j - 1][0] - 2, row[j - 1][1], row[j - 1][2], row[j - 1][3]))
-                if cell[0] <= 0:
-                    cell = (0, 0, i, j)
-            row.append(cell)
-            if cell[0] > best:
-                best, end, best_cell = cell[0], (i, j), cell
-        prev = row
-    return best_cell[1], best_cell[2], end[0], best_cell[3], end[1]
+    for i, row in enumerate(agree, 1):
+        fresh = i * _ROW + places
+        now = fresh.copy()
+        np.maximum(np.where(row, prev[:-1] + (_SCORE + _MATCH), prev[:-1] - 2 * _SCORE), prev[1:] - 2 * _SCORE, out=now[1:])
+        now = np.maximum.accumulate(now + slope) - slope
+        now = np.where(now < _SCORE, fresh, now)
+        j = int(now.argmax())
+        if now[j] > best and now[j] >= _SCORE:
+            best, end = int(now[j]), (i, j)
+        prev = now
+    return best % _SCORE // _MATCH, best % _MATCH // _ROW, end[0], best & _PLACE, end[1]
 
 
 def chains(hits: list[tuple[int, int]]) -> list[list[int]]:
@@ -107,18 +147,20 @@ def chains(hits: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def contained(doc: list[str], item: list[str], hits: list[tuple[int, int]], part: float) -> int:
-    """Matching words of the two best coherent passages, 0 if they can't make up ``part`` of the item."""
-    found = sorted(chains(hits), key=lambda c: -c[4])
-    if sum(c[4] for c in found[:2]) < SEEDED * len(item):
+def contained(doc: list[str], item: Item, hits: list[tuple[int, int]]) -> int:
+    """Matching words of the two best coherent passages, 0 if their seeds cover too little of the item."""
+    found, size = sorted(chains(hits), key=lambda c: -c[4]), len(item.words)
+    if sum(c[4] for c in found[:2]) < SEEDED * size:
         return 0
     passages: list[tuple[int, int, int, int, int]] = []
-    for c in found[:6]:
+    for c in found[:4]:
+        if c[4] < min(SEEDS, size):
+            break
         if any(p[1] <= c[0] < p[2] and p[3] <= c[2] < p[4] for p in passages):
             continue
-        lo, hi = max(0, c[0] - c[2] - 4), min(len(doc), c[1] + len(item) - c[3] + 4)
-        n, a, b, s, e = align(doc[lo:hi], item)
-        if n >= min(PASSAGE, len(item)) and not any(s < p[4] and p[3] < e for p in passages):
+        lo, hi = max(0, c[0] - c[2] - 4), min(len(doc), c[1] + size - c[3] + 4)
+        n, a, b, s, e = align(item.matches(doc[lo:hi]))
+        if n >= min(PASSAGE, size) and not any(s < p[4] and p[3] < e for p in passages):
             passages.append((n, a + lo, b + lo, s, e))
     return sum(sorted((p[0] for p in passages), reverse=True)[:2])
 
@@ -138,12 +180,18 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str =
 
     def search(block: list[tuple]) -> DataFrame:
         wanted = frozenset(s for _, w in block for s in shingles(w, SHINGLE))
+        vocabulary = frozenset(x for _, w in block for x in w)
+        run = b"\x01" * min(SHINGLE, *(len(w) for _, w in block))
+
+        def shared_with(w: list[str], sought: frozenset) -> frozenset | set:
+            """The sought shingles of a document; most have no run of item words as long as a shingle."""
+            return sought.intersection(shingles(w, SHINGLE)) if run in bytes([x in vocabulary for x in w]) or len(run) < SHINGLE else frozenset()
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[str, int] = {}
             for batch in batches:
                 for t in batch.column(0).to_pylist():
-                    for s in wanted.intersection(shingles(words(t), SHINGLE)):
+                    for s in shared_with(words(t), wanted):
                         seen[s] = seen.get(s, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
 
@@ -157,15 +205,26 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str =
                 prefix.setdefault(s, set()).add(i)
             for q, s in enumerate(shingles(w, SEED)):
                 seeds.setdefault(s, []).append((i, q))
-        present = frozenset(s for s in prefix if s in rarity)
+        present = frozenset(s for s in rarity)
+        all_of: dict[str, list[int]] = {}
+        for i, (_, w) in enumerate(block):
+            for s in set(shingles(w, SHINGLE)):
+                if s in present:
+                    all_of.setdefault(s, []).append(i)
+        least = [math.ceil(OVERLAP * len(set(shingles(w, SHINGLE)))) for _, w in block]
+        prepared = [Item(w) for _, w in block]
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     w = words(t)
-                    shared = present.intersection(shingles(w, SHINGLE))
-                    cand = {i for s in shared for i in prefix[s] if len(w) >= part * len(block[i][1])}
+                    shared = shared_with(w, present)
+                    cand = {i for s in shared for i in prefix.get(s, ()) if len(w) >= part * len(block[i][1])}
+                    if not cand:
+                        continue
+                    overlap = Counter(i for s in shared for i in all_of[s])
+                    cand = {i for i in cand if overlap[i] >= least[i]}
                     if not cand:
                         continue
                     hits: dict[int, list[tuple[int, int]]] = {}
@@ -175,7 +234,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str =
                                 hits.setdefault(i, []).append((p, q))
                     for i, h in hits.items():
                         key, iw = block[i]
-                        n = contained(w, iw, h, part)
+                        n = contained(w, prepared[i], h)
                         if n >= part * len(iw):
                             rows.append((k, key, n, len(iw)))
                 cols = list(zip(*rows)) if rows else [[]] * 4
