@@ -187,16 +187,16 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str =
             """The sought shingles of a document; most have no run of item words as long as a shingle."""
             return sought.intersection(shingles(w, SHINGLE)) if run in bytes([x in vocabulary for x in w]) or len(run) < SHINGLE else frozenset()
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[str, int] = {}
+        def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    for s in shared_with(words(t), wanted):
-                        seen[s] = seen.get(s, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
+                kept = [(k, " ".join(w), sorted(s)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (s := shared_with(w := words(t), wanted))]
+                cols = list(zip(*kept)) if kept else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], names=["doc_id", "words", "shared"])
 
+        # the texts are read once; what shares no shingle with any item ends here
+        sharing, _ = scratch.write(source.mapInArrow(sieve, f"doc_id {kinds[0]}, words string, shared array<string>"))
         # one row per shingle of this block of items at most
-        rarity = {r.s: r.n for r in source.select(text).mapInArrow(count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()}
+        rarity = {r.s: r.n for r in sharing.select(F.explode("shared").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
         prefix: dict[str, set[int]] = {}
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (_, w) in enumerate(block):
@@ -205,24 +205,19 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str =
                 prefix.setdefault(s, set()).add(i)
             for q, s in enumerate(shingles(w, SEED)):
                 seeds.setdefault(s, []).append((i, q))
-        present = frozenset(s for s in rarity)
         all_of: dict[str, list[int]] = {}
         for i, (_, w) in enumerate(block):
             for s in set(shingles(w, SHINGLE)):
-                if s in present:
-                    all_of.setdefault(s, []).append(i)
+                all_of.setdefault(s, []).append(i)
         least = [math.ceil(OVERLAP * len(set(shingles(w, SHINGLE)))) for _, w in block]
         prepared = [Item(w) for _, w in block]
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    w = words(t)
-                    shared = shared_with(w, present)
+                for k, t, shared in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    w = t.split(" ")
                     cand = {i for s in shared for i in prefix.get(s, ()) if len(w) >= part * len(block[i][1])}
-                    if not cand:
-                        continue
                     overlap = Counter(i for s in shared for i in all_of[s])
                     cand = {i for i in cand if overlap[i] >= least[i]}
                     if not cand:
@@ -240,7 +235,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str =
                 cols = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int64() if kinds[1] in ("bigint", "int") else pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "matched", "item_words"])
 
-        return source.mapInArrow(find, schema)
+        return sharing.mapInArrow(find, schema)
 
     for r in items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(item_key, text).toLocalIterator():
         w = words(r[1])
