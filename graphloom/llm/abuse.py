@@ -67,6 +67,15 @@ _INSULT, _SLIGHT, _SEXUAL, _HATE, _SECOND, _SOBER = map(frozenset, (INSULT, SLIG
 _ALL = _INSULT | _SLIGHT | _SEXUAL
 
 
+#: Signs inside words, single letters in a row, letters three times over: what obfuscated spellings have.
+_ODD = re.compile(r"[@$*|!0-9](?=[a-z@$*|])|[a-z][@$*|0-9]|(?<![\w'])\w[ .\-_*]\w[ .\-_*]\w[ .\-_*]|([a-z])\1\1")
+_UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
+#: Words without which no attack can be there.
+_COMMON = frozenset("you your he she they her him his the a in to and are me let all by at not des que il te tu de la las vom es una une no n un d un ou".split())
+_ATTACK_WORDS = frozenset(w for a in ATTACKS for w in re.findall(r"[a-z]{3,}", re.sub(r"\\w|\(\?:|[?+*{}\[\]()|\\]", " ", a))) - _COMMON
+_TRIGGERS = _INSULT | _SLIGHT | _SEXUAL | _ATTACK_WORDS
+
+
 def _collapse(w: str) -> str:
     return re.sub(r"(.)\1+", r"\1", w)
 
@@ -110,18 +119,21 @@ def features(text: str | None) -> list[float]:
         return [0.0] * len(FEATURES)
     total = dict.fromkeys(("insult", "slight", "sexual", "hate", "near", "attack", "obf", "sober"), 0)
     n_words, worst = 0, (0.0, 0, 0, 0, 0.0, 0)
-    flat = " ".join(text.split()) if "\n" in text else text
-    for raw in _SENTENCE.split(flat):
-        clear = _INVISIBLE.sub("", raw)
-        hidden = clear != raw
-        spaced = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), clear)
-        gathered = spaced != clear
-        toks, obf, low = [], 0, plain(spaced)
-        for t in _TOKEN.findall(low):
-            w, o = reveal(t)
-            obf += o
-            toks.append(w)
+    for raw in _SENTENCE.split(" ".join(text.split())):
+        clear = _INVISIBLE.sub("", raw) if not raw.isascii() else raw
+        low = plain(clear)
+        toks = _TOKEN.findall(low)
         n_words += len(toks)
+        # most sentences have no word of any list, no sign inside a word, no run of single letters and no stretched one
+        odd = _ODD.search(low)
+        if not odd and _TRIGGERS.isdisjoint(toks):
+            continue
+        hidden, gathered, obf = clear != raw, False, 0
+        if odd:
+            spaced = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), low)
+            gathered = spaced != low
+            revealed = [reveal(t) for t in _TOKEN.findall(spaced)]
+            toks, obf = [w for w, _ in revealed], sum(o for _, o in revealed)
         insult = slight = sexual = hate = sober = 0
         at, second = [], []
         for i, w in enumerate(toks):
@@ -140,8 +152,7 @@ def features(text: str | None) -> list[float]:
                 hate += 1
             if w in _SOBER:
                 sober += 1
-        joined = " ".join(toks)
-        attack = len(_ATTACK.findall(joined))
+        attack = len(_ATTACK.findall(" ".join(toks))) if not _ATTACK_WORDS.isdisjoint(toks) else 0
         near = sum(any(abs(i - j) <= 5 for j in second) for i in at)
         if (hidden or gathered) and at:
             obf += 1
@@ -152,10 +163,11 @@ def features(text: str | None) -> list[float]:
             letters = sum(map(str.isalpha, raw))
             worst = (score, insult, near, attack, sum(map(str.isupper, raw)) / max(1, letters), obf)
     per = 100.0 / max(n_words, 20)
-    letters = sum(map(str.isalpha, text)) or 1
+    upper = len(_UPPER.findall(text))
+    letters = len(text) or 1
     return [
         total["insult"] * per, total["slight"] * per, total["sexual"] * per, float(min(total["attack"], 10)), total["hate"] * per, total["near"] * per, worst[0], float(worst[1]), float(worst[2]), float(worst[3]), worst[4], float(min(total["obf"], 10)), float(worst[5]),
-        sum(map(str.isupper, text)) / letters, text.count("!") * per, total["sober"] * per, float(np.log1p(len(text))),
+        upper / letters, text.count("!") * per, total["sober"] * per, float(np.log1p(len(text))),
     ]
 
 
