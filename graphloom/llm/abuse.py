@@ -94,6 +94,17 @@ def plain(text: str) -> str:
     return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text).replace("ß", "ss") if not unicodedata.combining(c))
 
 
+def _gather(m: re.Match) -> str:
+    """A run of single letters as one word; a one-letter word before or after a listed one stays apart."""
+    w = re.sub(r"[ .\-_*]", "", m[0])
+    if w not in _ALL:
+        if w[1:] in _ALL:
+            return f"{w[0]} {w[1:]}"
+        if w[:-1] in _ALL:
+            return f"{w[:-1]} {w[-1]}"
+    return w
+
+
 def reveal(token: str) -> tuple[str, bool]:
     """The word a token stands for and whether it was obfuscated."""
     if token in _ALL or (token.isalpha() and not _STRETCH.search(token)):
@@ -130,7 +141,7 @@ def features(text: str | None) -> list[float]:
             continue
         hidden, gathered, obf = clear != raw, False, 0
         if odd:
-            spaced = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), low)
+            spaced = _SPACED.sub(_gather, low)
             gathered = spaced != low
             revealed = [reveal(t) for t in _TOKEN.findall(spaced)]
             toks, obf = [w for w, _ in revealed], sum(o for _, o in revealed)

@@ -4,8 +4,9 @@ Vertices are hashed into ``B`` blocks; an edge belongs to the cell (block of one
 end, block of the other). Each round every cell runs a local union-find and
 reports, for each of its vertices, the smallest vertex it is connected to inside
 the cell. A vertex is reported by at most the 2B-1 cells of its row and column;
-they exchange these representatives: the smallest becomes the vertex's parent and
-the others are tied to it by new edges. A vertex that has a parent leaves the
+they exchange these representatives: the smallest becomes the vertex's parent,
+parents are followed until they are stable, and the other representatives are tied
+to them by new edges. A vertex that has a parent leaves the
 graph, so every round shrinks it, and the rounds end when no edge is left. The
 parents are then followed back from the last round to the first.
 
@@ -69,6 +70,18 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
+def _stable(scratch: Scratch, parents: DataFrame) -> tuple[DataFrame, str]:
+    """Every vertex's parent followed to one that has none, by doubling."""
+    current, path = scratch.write(parents)
+    while True:
+        up = current.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
+        nxt, nxt_path = scratch.write(current.join(up, "parent", "left").select("v", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        scratch.drop(path)
+        if nxt.where("moved").limit(1).count() == 0:
+            return nxt.select("v", "parent"), nxt_path
+        current, path = nxt.select("v", "parent"), nxt_path
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", cell_edges: int = CELL_EDGES) -> DataFrame:
     """(record_id, group_id) for every vertex of ``edges`` that has another vertex in its group.
 
@@ -87,12 +100,16 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
         celled = current.select((block("u") * blocks + block("v")).alias("cell"), "u", "v")
         local, local_path = scratch.write(celled.repartition(min(blocks * blocks, max(1, 4 * spark.sparkContext.defaultParallelism)), "cell").sortWithinPartitions("cell").mapInArrow(_cells, "v string, rep string"))
         # at most 2 * blocks - 1 representatives meet at a vertex
-        parents, _ = scratch.write(local.groupBy("v").agg(F.min("rep").alias("parent"), F.collect_set("rep").alias("reps")))
-        rounds.append(parents.select("v", "parent"))
-        rest = parents.select("parent", F.explode("reps").alias("rep")).where(F.col("rep") != F.col("parent"))
-        ahead, ahead_path = scratch.write(rest.select(F.col("parent").alias("u"), F.col("rep").alias("v")).distinct())
+        met, met_path = scratch.write(local.groupBy("v").agg(F.min("rep").alias("parent"), F.collect_set("rep").alias("reps")))
+        parents, _ = _stable(scratch, met.select("v", "parent"))
+        rounds.append(parents)
+        rest = met.select("v", F.explode("reps").alias("rep")).join(parents, "v").select("parent", "rep").where(F.col("rep") != F.col("parent"))
+        root_of_rep = parents.select(F.col("v").alias("rep"), F.col("parent").alias("root"))
+        rest = rest.join(root_of_rep, "rep", "left").select("parent", F.coalesce("root", "rep").alias("rep")).where(F.col("rep") != F.col("parent"))
+        ahead, ahead_path = scratch.write(rest.select(F.least("parent", "rep").alias("u"), F.greatest("parent", "rep").alias("v")).distinct())
         scratch.drop(path)
         scratch.drop(local_path)
+        scratch.drop(met_path)
         current, path = ahead, ahead_path
     if not rounds:
         return spark.createDataFrame([], "record_id string, group_id string")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A word goes to another that occurs at least this many times as often.
 RATIO = 4
+#: Letters up to which words are compared within two edits, and within one; longer ones only when they sound alike.
+TWO, ONE = 24, 64
 
 _FOLDS = ((re.compile("ph"), "f"), (re.compile("oo"), "u"), (re.compile("ee"), "i"), (re.compile("au"), "o"), (re.compile("w"), "v"), (re.compile("j(?=[ei])"), "g"), (re.compile(r"(.)\1+"), r"\1"))
 
@@ -60,7 +62,7 @@ def spelling_clusters(words: DataFrame, ratio: int = RATIO, rare: int = 2, full:
     def keys(c: str) -> str:
         one = _deleted(c)
         two = f"flatten(transform({one}, x -> {_deleted('x')}))"
-        return f"case when length({c}) >= {full} then concat(array({c}), {one}, {two}) when length({c}) >= 5 then concat(array({c}), {one}) else array({c}) end"
+        return f"case when length({c}) between {full} and {TWO} then concat(array({c}), {one}, {two}) when length({c}) between 5 and {ONE} then concat(array({c}), {one}) else array({c}) end"
 
     both = f"explode(array_distinct(concat({keys('word')}, {keys('alt')}))) k"
     left = base.where("not keep and length(word) >= 4").selectExpr("block", "word", "alt", "n", both)
