@@ -16,7 +16,13 @@ def read(spark: SparkSession, path: str, files_per_trigger: int | None = None) -
     """A stream over a Parquet folder or file with the schema it has now."""
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
-    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return r.parquet(path)
+    folder, _, name = path.rpartition("/")  # streams read folders: the file's own, narrowed to it
+    return r.option("pathGlobFilter", name).parquet(folder)
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
