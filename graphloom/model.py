@@ -52,12 +52,13 @@ def nodes(spark: SparkSession, folder: str, labels: list[str] | None = None) ->
     return union(out)
 
 
-def edges(spark: SparkSession, folder: str, types: list[str] | None = None) -> DataFrame:
+def edges(spark: SparkSession, folder: str, types: list[str] | None = None, once: bool = True) -> DataFrame:
+    """Edges of the types; ``once=False`` spares the shuffle that makes pairs stated by several rows unique."""
     out = []
     for kind in types or TYPES:
         name, a, ka, b, kb, several = TYPES[kind]
         e = table(spark, folder, name, [ka, kb]).select(node_id(a, ka).alias("src"), node_id(b, kb).alias("dst"), F.lit(kind).alias("type"))
-        out.append(e.distinct() if several else e)
+        out.append(e.distinct() if several and once else e)
     return union(out)
 
 

@@ -20,18 +20,29 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionByName(edges.select(F.col("dst").alias("x"), F.col("src").alias("y"))).distinct()
 
 
+#: Rows of a frontier up to which it is sent to all executors instead of shuffling the edges.
+BROADCAST_ROWS = 200_000
+
+
 def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(node_id, hops) of all nodes within ``depth`` undirected hops of ``start.node_id``, with the fewest hops.
 
     Level-synchronous: each level joins the frontier with the edges and leaves out what is
-    known. The depth is bounded, so the plan is unrolled and Catalyst sees all of it.
+    known. A level is written down and counted, so no level is computed twice, and a small
+    frontier meets the edges in a broadcast join that leaves them where they are; a large
+    one in a shuffle join. Repeated edges do no harm.
     """
-    both = undirected(edges)
-    seen = start.select("node_id").distinct().withColumn("hops", F.lit(0))
+    scratch = Scratch(start.sparkSession, "reach")
+    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionByName(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")))
+    seen, _ = scratch.write(start.select("node_id").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
-        ahead = frontier.select(F.col("node_id").alias("x")).join(both, "x").select(F.col("y").alias("node_id")).distinct()
-        frontier = ahead.join(seen.select("node_id"), "node_id", "left_anti").withColumn("hops", F.lit(d))
+        n = frontier.count()
+        if not n:
+            break
+        near = frontier.select(F.col("node_id").alias("x"))
+        ahead = both.join(F.broadcast(near) if n <= BROADCAST_ROWS else near, "x").select(F.col("y").alias("node_id")).distinct()
+        frontier, _ = scratch.write(ahead.join(seen.select("node_id"), "node_id", "left_anti").withColumn("hops", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 

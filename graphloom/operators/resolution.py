@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +14,49 @@ RESOLVABLE = {"Person": "name", "Location": "name", "Weapon": "name", "Evidence"
 DISTINCTIVE_ROLES = ("officer", "judge", "forensic_analyst")
 
 
-def candidates(nodes: DataFrame, floor: float = 0.78, new: DataFrame | None = None, block: list[str] | None = None) -> DataFrame:
+#: Rows of a block compared with each other in one task; larger blocks become a grid of such tasks.
+TILE = 2_000
+
+
+def candidates(nodes: DataFrame, floor: float = 0.78, new: DataFrame | None = None, block: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Pairs of one label and different documents with cosine of at least ``floor``; of ``new`` against all if given.
 
-    ``nodes``: eid, label, doc, norm, role, emb, ctx. ``block`` names further columns that have
-    to be equal; without one, pairs of a label are compared exhaustively, so large labels
-    need one (a hash bucket, a first letter).
+    ``nodes``: eid, label, doc, norm, role, emb, ctx; eid is unique. Exact: a block (label and
+    the columns of ``block``) is cut into tiles and every two tiles of it are multiplied in
+    one task, so no task holds more than two tiles, however large the block. Each row is
+    sent to as many tasks as its block has tiles: give ``block`` columns where labels are large.
     """
-    left = (new if new is not None else nodes).select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns])
-    right = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns])
-    cond = F.col("a_label") == F.col("b_label")
-    for c in block or []:
-        cond = cond & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-    cond = cond & (F.col("a_doc") != F.col("b_doc"))
-    cond = cond & ((F.col("a_eid") < F.col("b_eid")) if new is None else (F.col("a_eid") != F.col("b_eid")))
-    return left.join(right, cond).withColumn("cos", cosine(F.col("a_emb"), F.col("b_emb"))).where(F.col("cos") >= floor)
+    keys = ["label", *(block or [])]
+    rows = nodes.where("emb is not null").select("eid", "doc", "emb", F.xxhash64(*keys).alias("blk"))
+    fresh = new.select("eid", F.lit(True).alias("fresh")) if new is not None else None
+    rows = rows.join(fresh, "eid", "left") if fresh is not None else rows.withColumn("fresh", F.lit(True))
+    sizes = rows.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 0")
+    tiled = rows.join(sizes, "blk").withColumn("mine", F.pmod(F.xxhash64("eid"), F.col("tiles")).cast("int"))
+    sent = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("blk", F.least("mine", "with").alias("ti"), F.greatest("mine", "with").alias("tj"), "mine", "eid", "doc", F.coalesce("fresh", F.lit(False)).alias("fresh"), "emb")
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["emb"].to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        same_tile = pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
+        mine, eid, doc, fr = (pdf[c].to_numpy() for c in ("mine", "eid", "doc", "fresh"))
+        a = np.arange(len(x)) if same_tile else np.flatnonzero(mine == pdf["ti"].iloc[0])
+        b = a if same_tile else np.flatnonzero(mine != pdf["ti"].iloc[0])
+        i, j = np.nonzero(x[a] @ x[b].T >= floor - 1e-12)
+        i, j = a[i], b[j]
+        if same_tile:
+            keep = i < j
+            i, j = i[keep], j[keep]
+        keep = (doc[i] != doc[j]) & (fr[i] | fr[j])
+        i, j = i[keep], j[keep]
+        swap = eid[i] > eid[j]
+        p, q = np.where(swap, j, i), np.where(swap, i, j)
+        return pd.DataFrame({"a_eid": eid[p], "b_eid": eid[q], "cos": np.einsum("ij,ij->i", x[p], x[q])})
+
+    found = sent.groupBy("blk", "ti", "tj").applyInPandas(multiply, "a_eid string, b_eid string, cos double").where(F.col("cos") >= floor)
+    rest = [c for c in nodes.columns if c not in ("emb", "eid")]
+    side = lambda p: nodes.select(F.col("eid").alias(f"{p}_eid"), *[F.col(c).alias(f"{p}_{c}") for c in rest])
+    return found.join(side("a"), "a_eid").join(side("b"), "b_eid")
 
 
 def decide(pairs: DataFrame, name_threshold: float = 0.88) -> DataFrame:

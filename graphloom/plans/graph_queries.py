@@ -295,13 +295,12 @@ for _depth in (1, 2, 3):
 
     @query(f"subgraph_k{_depth}", _reach_sql(_depth, f"SELECT node_id FROM l{_depth}"))
     def _(s, d, depth=_depth):
-        return G.reach(_start(s), edges(s, d), depth).select("node_id")
+        return G.reach(_start(s), edges(s, d, once=False), depth).select("node_id")
 
 
 @query("subgraph_induced_edges", _reach_sql(2, "SELECT src, dst, type FROM edges WHERE src IN (SELECT node_id FROM l2) AND dst IN (SELECT node_id FROM l2)"))
 def _(s, d):
-    e = edges(s, d)
-    return G.induced(e, G.reach(_start(s), e, 2)).select("src", "dst", "type")
+    return G.induced(edges(s, d), G.reach(_start(s), edges(s, d, once=False), 2)).select("src", "dst", "type")
 
 
 @query("varlen_context", f"WITH {GRAPH_SQL}, {BOTH_SQL}, h AS (SELECT DISTINCT a.x s, b.y t FROM both_ways a JOIN both_ways b ON a.y = b.x WHERE starts_with(a.x, 'Supplier:') AND starts_with(a.y, 'Nation:') UNION SELECT x, y FROM both_ways WHERE starts_with(x, 'Supplier:') AND starts_with(y, 'Nation:')) SELECT s node_id, array_to_string(list_sort(list(DISTINCT name))[1:40], '|') ctx FROM h JOIN nodes ON node_id = t WHERE t <> s AND (label = 'Region' OR label = 'Nation') GROUP BY s")
@@ -451,9 +450,8 @@ def _(s, d):
 
 @query("case_report_counts", _reach_sql(3, f"SELECT '{START}' case_id, (SELECT count(*) FROM l3) n_nodes, (SELECT count(*) FROM edges WHERE src IN (SELECT node_id FROM l3) AND dst IN (SELECT node_id FROM l3)) n_edges"))
 def _(s, d):
-    e = edges(s, d)
-    r = G.reach(_start(s), e, 3)
-    n, m = r.agg(F.count(F.lit(1)).alias("n_nodes")), G.induced(e, r).agg(F.count(F.lit(1)).alias("n_edges"))
+    r = G.reach(_start(s), edges(s, d, once=False), 3)
+    n, m = r.agg(F.count(F.lit(1)).alias("n_nodes")), G.induced(edges(s, d), r).agg(F.count(F.lit(1)).alias("n_edges"))
     return n.crossJoin(m).select(F.lit(START).alias("case_id"), "n_nodes", "n_edges")  # one row each
 
 
