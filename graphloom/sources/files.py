@@ -17,7 +17,8 @@ def stem(path: Column) -> Column:
 def text_documents(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """(doc_id, text) of the ``*.txt`` files, facts files left out, in order of name."""
     df = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text")).where(~F.col("doc_id").endswith("_facts"))
-    return df.orderBy("doc_id").limit(limit) if limit else df
+    df = df.orderBy("doc_id")
+    return df.limit(limit) if limit else df
 
 
 def preferred_texts(spark: SparkSession, folder: str) -> DataFrame:
