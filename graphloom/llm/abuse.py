@@ -217,7 +217,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, key
     scratch = Scratch(spark, "abuse")
     table, _ = scratch.write(feature_table(docs, key, text, list(keep)))
     chosen = majority(labels, key, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    known = table.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", array_to_vector("f").alias("features"), "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("fold"))
+    known = table.join(F.broadcast(chosen), "doc_id")  # at most max_labels rows of two numbers
+    known = known.dropDuplicates(["doc_id"]).select("doc_id", array_to_vector("f").alias("features"), "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("fold"))
     known, _ = scratch.write(known.coalesce(2))
     named = [F.col(f"keep_{c}").alias(c) for c in keep]
     facts = known.groupBy("fold", "y").count().collect()  # at most eight rows

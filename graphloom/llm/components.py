@@ -29,45 +29,61 @@ from ..shared import Scratch
 CELL_EDGES = 100_000
 
 
-def local_components(a: list, b: list) -> dict:
-    """Vertex -> smallest vertex connected to it by these edges (union-find with path halving, smaller root wins)."""
-    parent: dict = {}
+class UnionFind:
+    """Components of the edges added so far; the smaller root wins, paths are halved on the way."""
+
+    def __init__(self) -> None:
+        self.parent: dict = {}
 
-    def find(x):
+    def find(self, x):
+        parent = self.parent
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = parent[p]
             x = parent[x]
         return x
 
-    for u, v in zip(a, b):
-        ru, rv = find(u), find(v)
+    def add(self, u, v) -> None:
+        ru, rv = self.find(u), self.find(v)
         if ru < rv:
-            parent[rv] = ru
+            self.parent[rv] = ru
         elif rv < ru:
-            parent[ru] = rv
-    return {x: find(x) for x in parent}
+            self.parent[ru] = rv
+
+
+def local_components(a: list, b: list) -> dict:
+    """Vertex -> smallest vertex connected to it by these edges."""
+    found = UnionFind()
+    for u, v in zip(a, b):
+        found.add(u, v)
+    return {x: found.find(x) for x in list(found.parent)}
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges sorted by cell -> (vertex, representative) of each cell, representatives themselves left out."""
-    cell, a, b = None, [], []
+    """Edges sorted by cell -> (vertex, representative) of each cell, representatives themselves left out.
 
-    def done() -> Iterator[pa.RecordBatch]:
-        reps = [(v, r) for v, r in local_components(a, b).items() if v != r]
-        for i in range(0, len(reps), 50_000):
-            part = reps[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.string())], names=["v", "rep"])
+    Edges are taken up as they come; what is held is one entry a vertex of one cell.
+    """
 
+    def done(found: UnionFind) -> Iterator[pa.RecordBatch]:
+        v, rep = [], []
+        for x in list(found.parent):
+            if (r := found.find(x)) != x:
+                v.append(x)
+                rep.append(r)
+                if len(v) == 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(rep, pa.string())], names=["v", "rep"])
+                    v, rep = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(rep, pa.string())], names=["v", "rep"])
+
+    cell, found = None, UnionFind()
     for batch in batches:
         for c, u, v in zip(*(batch.column(n).to_pylist() for n in ("cell", "u", "v"))):
-            if c != cell and a:
-                yield from done()
-                a, b = [], []
+            if c != cell and cell is not None:
+                yield from done(found)
+                found = UnionFind()
             cell = c
-            a.append(u)
-            b.append(v)
-    if a:
-        yield from done()
+            found.add(u, v)
+    yield from done(found)
 
 
 def _stable(scratch: Scratch, parents: DataFrame) -> tuple[DataFrame, str]:
