@@ -59,14 +59,18 @@ def spelling_clusters(words: DataFrame, ratio: int = RATIO, rare: int = 2, full:
     """
     base = words.where("block is not null and word is not null").groupBy("block", "word").agg(F.sum("n").alias("n"), F.max(F.coalesce("keep", F.lit(False))).alias("keep"), F.min(F.coalesce("alt", "word")).alias("alt"))
 
-    def keys(c: str) -> str:
+    def keys(c: str, deep: str) -> str:
         one = _deleted(c)
         two = f"flatten(transform({one}, x -> {_deleted('x')}))"
-        return f"case when length({c}) between {full} and {TWO} then concat(array({c}), {one}, {two}) when length({c}) between 5 and {ONE} then concat(array({c}), {one}) else array({c}) end"
+        return f"case when {deep} and length({c}) between {full} and {TWO} then concat(array({c}), {one}, {two}) when length({c}) between 5 and {ONE} then concat(array({c}), {one}) else array({c}) end"
 
-    both = f"explode(array_distinct(concat({keys('word')}, {keys('alt')}))) k"
-    left = base.where("not keep and length(word) >= 4").selectExpr("block", "word", "alt", "n", both)
-    right = base.where("length(word) >= 4").selectExpr("block", "word as other", "alt as other_alt", "n as m", both)
+    def hashed(deep: str) -> str:
+        both = f"case when alt = word then {keys('word', deep)} else concat({keys('word', deep)}, {keys('alt', deep)}) end"
+        return f"explode(array_distinct(transform({both}, x -> xxhash64(x)))) k"
+
+    # only a word seen often enough to draw others over two edits needs its keys of two deletions
+    left = base.where("not keep and length(word) >= 4").selectExpr("block", "word", "alt", "n", hashed("true"))
+    right = base.where("length(word) >= 4").selectExpr("block", "word as other", "alt as other_alt", "n as m", hashed(f"n >= {ratio}"))
     ahead = "(m > n or (m = n and other < word))"
     pairs = left.join(right, ["block", "k"]).where(f"word <> other and (m >= {ratio} * n or (alt = other_alt and {ahead}) or (n <= {rare} and m <= {rare * ratio} and {ahead}))").select("block", "word", "alt", "n", "other", "other_alt", "m").distinct()
 
