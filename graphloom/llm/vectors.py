@@ -36,7 +36,7 @@ TABLES, WIDTH, PROBES = 8, 1.2, 40
 #: Fine coordinates are sent in sixteenths of a cell.
 STEP = 16
 #: Vectors a coarse bucket should hold.
-BUCKET = 4_000
+BUCKET = 40_000
 #: Query-candidate pairs compared at once, which bounds memory in a bucket of any size.
 BLOCK = 2_000_000
 
