@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..shared import Scratch
 
 #: Tables, width of a cell in units of a unit vector's projection, and perturbation sets tried after the own cell.
-TABLES, WIDTH, PROBES = 8, 1.2, 40
+TABLES, WIDTH, PROBES = 7, 1.2, 32
 #: Fine coordinates are sent in sixteenths of a cell.
 STEP = 16
 #: Vectors a coarse bucket should hold.
@@ -99,9 +99,9 @@ def sketch(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def hamming_limit(cosine: float) -> int:
-    """Differing signs a pair of at least this cosine stays within but for one case in ten thousand."""
+    """Differing signs a pair of at least this cosine stays within but for one case in a thousand."""
     p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    return math.ceil(128 * p + 3.8 * math.sqrt(128 * p * (1 - p)) + 1)
+    return math.ceil(128 * p + 3.1 * math.sqrt(128 * p * (1 - p)) + 1)
 
 
 def bucket_pairs(ids: np.ndarray, q: np.ndarray, sk: np.ndarray, probes: list[tuple[int, ...]], limit: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
