@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..shared import Scratch
 
 #: Tables, width of a cell in units of a unit vector's projection, and perturbation sets tried after the own cell.
-TABLES, WIDTH, PROBES = 7, 1.2, 32
+TABLES, WIDTH, PROBES = 9, 1.2, 32
 #: Fine coordinates are sent in sixteenths of a cell.
 STEP = 16
 #: Vectors a coarse bucket should hold.
