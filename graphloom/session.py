@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,11 +29,29 @@ def get_session(app: str = "graphloom", cores: str | None = None, shuffle_partit
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once an application: their Python need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="graphloom-")) / f"{root.name}-{context.applicationId}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(archive))
     return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the run-time settings that results depend on (never partition counts)."""
+    """Set the run-time settings that results depend on (never partition counts), and ship the package."""
+    ship(spark)
     for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
         if spark.conf.get(key, None) != RUNTIME_CONF[key]:
             spark.conf.set(key, RUNTIME_CONF[key])
