@@ -13,8 +13,9 @@ different given or middle names; for organisations another trade. A profile that
 several which contradict each other stays with the clearly largest of them or alone.
 
 Records that say the same are taken together before matching, so the profiles of a block
-are bounded by what can be said differently, not by how often it is repeated. Blocks of
-more than ``SPLIT`` records are divided by the initial of the given name.
+are bounded by what can be said differently, not by how often it is repeated. A block of
+more than ``SPLIT`` of these is first cut into parts that share no key, directly or through
+others, so no two profiles that could ever meet are parted.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ..shared import Scratch
 from .spelling import fold, letters, plain, spelling_clusters
 
-#: Records above which a block is divided.
+#: Profiles above which a block is cut into parts without common keys.
 SPLIT = 20_000
 #: Largest difference between two written ages of one person.
 AGES = 2
@@ -188,29 +189,60 @@ def evidence(p: Profile, q: Profile) -> int | None:
     return None
 
 
+def keys(p: Profile) -> Iterator[tuple]:
+    """What a profile can meet others by."""
+    yield from (("p", x) for x in p.phones)
+    yield from (("g", x) for x in p.full)
+    yield from (("i", x) for x in p.short)
+
+
+def parts(profiles: list[Profile]) -> list[list[Profile]]:
+    """The profiles divided where no key leads across; merged profiles have no keys but those of their parts."""
+    root = list(range(len(profiles)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    first: dict[tuple, int] = {}
+    for i, p in enumerate(profiles):
+        for k in keys(p):
+            a, b = find(first.setdefault(k, i)), find(i)
+            root[max(a, b)] = min(a, b)
+    out: dict[int, list[Profile]] = defaultdict(list)
+    for i, p in enumerate(profiles):
+        out[find(i)].append(p)
+    return list(out.values())
+
+
 def resolve_block(profiles: list[Profile]) -> list[Profile]:
     """Merge and rematch: the profiles left when no two of them can be merged any more."""
     alive: dict[int, Profile] = dict(enumerate(profiles))
 
-    def keys(p: Profile) -> Iterator[tuple]:
-        yield from (("p", x) for x in p.phones)
-        yield from (("g", x) for x in p.full)
-        yield from (("i", x) for x in p.short)
+    # two profiles with telephones meet by telephone only, so the other keys of such a one lead to those without;
+    # two with full given names don't meet by initials, so the initials of such a one lead to those without
+    index: dict[tuple, set[int]] = defaultdict(set)
+    changed: dict[tuple, int] = {}
+    looked: dict[tuple[int, int], int] = {}
+    clock = 0
 
-    # two profiles with telephones meet by telephone only, so the other keys of such a one lead to those without
-    blocks: dict[tuple, set[int]] = defaultdict(set)
-    bare: dict[tuple, set[int]] = defaultdict(set)
+    def places(i: int) -> Iterator[tuple]:
+        p = alive[i]
+        for k in keys(p):
+            for bare in (False, True)[: 1 + (not p.phones)]:
+                for initial in (False, True)[: 1 + (not p.full)]:
+                    yield (*k, bare, initial)
 
     def enter(i: int) -> None:
-        for k in keys(alive[i]):
-            blocks[k].add(i)
-            if not alive[i].phones:
-                bare[k].add(i)
+        for k in places(i):
+            index[k].add(i)
+            changed[k] = clock
 
     def leave(i: int) -> None:
-        for k in keys(alive[i]):
-            blocks[k].discard(i)
-            bare[k].discard(i)
+        for k in places(i):
+            index[k].discard(i)
+            changed[k] = clock
 
     for i in alive:
         enter(i)
@@ -219,25 +251,31 @@ def resolve_block(profiles: list[Profile]) -> list[Profile]:
         p = alive[i]
         names = p.phones if level == PHONE else p.full if level <= GIVEN else p.short
         kind = "p" if level == PHONE else "g" if level <= GIVEN else "i"
-        index = bare if p.phones and level > PHONE else blocks
-        seen = set().union(*(index[kind, x] for x in names)) if names else set()
+        at = [(kind, x, bool(p.phones) and level > PHONE, bool(p.full) and level > GIVEN) for x in names]
+        # nothing it could meet has changed since it last found no one
+        if (i, level) in looked and all(changed.get(k, 0) <= looked[i, level] for k in at):
+            return []
+        seen = set().union(*(index.get(k, ()) for k in at)) if at else set()
         seen.discard(i)
         return sorted(j for j in seen if evidence(p, alive[j]) == level)
 
     def choose(found: list[int]) -> int | None:
         """One of the candidates if they don't contradict each other, else the clearly largest."""
-        first = alive[found[0]]
-        if len(found) > 1 and any(contradict(alive[a], alive[b]) for n, a in enumerate(found[:60]) for b in found[n + 1 : 60]):
+        if len(found) > 1 and any(contradict(alive[a], alive[b]) for n, a in enumerate(found) for b in found[n + 1 :]):
             by_size = sorted(found, key=lambda j: (-alive[j].size, j))
             return by_size[0] if alive[by_size[0]].size >= 2 * alive[by_size[1]].size else None
-        return found[0] if first else None
+        return found[0]
 
     def merge(i: int, j: int) -> int:
+        nonlocal clock
         i, j = min(i, j), max(i, j)
+        clock += 1
         leave(i)
         leave(j)
         alive[i].merge(alive.pop(j))
         enter(i)
+        for level in range(INITIAL + 1):
+            looked.pop((i, level), None)
         return i
 
     level = PHONE
@@ -253,6 +291,8 @@ def resolve_block(profiles: list[Profile]) -> list[Profile]:
                 if found and (j := choose(found) if level > PHONE else found[0]) is not None:
                     nxt.append(merge(i, j))
                     merged = True
+                else:
+                    looked[i, level] = clock
             todo = sorted(set(nxt))
         level = PHONE if merged and level > PHONE else level + 1
     return [alive[i] for i in sorted(alive)]
@@ -297,7 +337,7 @@ def _pairs(groups: Iterable[list[str]]) -> Iterator[tuple[str, str]]:
                 yield a, b
 
 
-def _groups(rows: list[tuple]) -> Iterator[list[str]]:
+def _groups(rows: list[tuple], split: int = SPLIT) -> Iterator[list[str]]:
     """Records of one block -> their groups."""
     same: dict[tuple, list[str]] = defaultdict(list)
     for key, org, words, raw, alias, trades, sex, age, phone in rows:
@@ -315,7 +355,8 @@ def _groups(rows: list[tuple]) -> Iterator[list[str]]:
         other = next(t for t in trades if t)
         trades[other] += trades.pop(())
     yield from trades.values()
-    yield from (p.keys for p in resolve_block(profiles))
+    for part in parts(profiles) if len(profiles) > split else [profiles]:
+        yield from (p.keys for p in resolve_block(part))
 
 
 def link_names(spark: SparkSession, records: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -345,10 +386,6 @@ def link_names(spark: SparkSession, records: DataFrame, split: int = SPLIT) -> D
     rows = split_up.join(parsed.select("record_key", "org", "alias", "trades", "sex", "age", "phone"), "record_key")
     rows = rows.select("record_key", "org", F.concat(block, F.lit(":"), "surname").alias("block"), F.transform("rest", lambda x: x["canon"]).alias("words"), F.transform("rest", lambda x: x["raw"]).alias("raw"), "alias", "trades", "sex", "age", "phone")
     rows, _ = scratch.write(rows)
-    crowded = rows.groupBy("block").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > split).select("block", F.lit(True).alias("crowded"))
-    formal = spark.createDataFrame([(w, min(f)[0]) for w, f in _NICK.items()], "given string, letter string")
-    rows = rows.withColumn("given", F.try_element_at("words", F.lit(1))).join(crowded, "block", "left").join(formal, "given", "left")
-    rows = rows.withColumn("block", F.when(F.col("crowded"), F.concat_ws("/", "block", F.coalesce("letter", F.substring("given", 1, 1)))).otherwise(F.col("block")))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
@@ -358,7 +395,7 @@ def link_names(spark: SparkSession, records: DataFrame, split: int = SPLIT) -> D
         for batch in batches:
             for b, *r in zip(*(batch.column(i).to_pylist() for i in range(10))):
                 if b != now and held:
-                    for p in _pairs(_groups(held)):
+                    for p in _pairs(_groups(held, split)):
                         pairs.append(p)
                         if len(pairs) >= 50_000:
                             yield out(pairs)
@@ -366,7 +403,7 @@ def link_names(spark: SparkSession, records: DataFrame, split: int = SPLIT) -> D
                     held = []
                 now = b
                 held.append(tuple(r))
-        for p in _pairs(_groups(held)):
+        for p in _pairs(_groups(held, split)):
             pairs.append(p)
             if len(pairs) >= 50_000:
                 yield out(pairs)

@@ -41,6 +41,13 @@ def test_divided_blocks_keep_the_pairs(spark):
     assert {(0, 1), (0, 2), (1, 2)} <= groups(spark, rows, split=2)
 
 
+def test_crowded_blocks_link_across_initials(spark):
+    rows = [("B. Lochizama", None, None, "8004572675"), ("Bob Lochizama", None, None, "8004572675"), ("Ted Lochizama", 30, None, None), ("Theodore Lochizama", 31, None, None), ("Nell Lochizama", 60, None, None), ("Penelope Lochizama", 60, None, None), ("Lochizama", None, None, "7004572675"), ("Gabriela Lochizama", None, None, "7004572675"), *COMMON]
+    got = groups(spark, rows, split=2)
+    assert {(0, 1), (2, 3), (4, 5), (6, 7)} <= got
+    assert got == groups(spark, rows)
+
+
 def made(words, **kw):
     p = profile_of(words, words, kw.pop("alias", []), kw.get("sex"), kw.get("age"), kw.get("phone"))
     p.keys, p.size = [" ".join(words)], 1
