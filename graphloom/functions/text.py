@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -139,6 +139,21 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
+def category_matches(values: DataFrame, entries: DataFrame, floor: float = 0.7) -> DataFrame:
+    """(v, name): values and entries of which one contains the other, or that share a word, or whose ratio is ``floor`` or more.
+
+    Case is ignored and anything but letters and digits is space. Every value meets every
+    entry, so ``entries`` must be a list of bounded size. Empty texts match nothing.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "))
+    words = lambda c: F.filter(F.split(c, " +"), lambda w: w != "")
+    p = values.withColumn("w", plain(F.col("v"))).where("w <> ''").crossJoin(F.broadcast(entries.withColumn("e", plain(F.col("name"))).where("e <> ''")))
+    p = p.withColumn("hit", F.col("w").contains(F.col("e")) | F.col("e").contains(F.col("w")) | F.arrays_overlap(words("w"), words("e")))
+    # only what isn't decided and could reach the floor is compared
+    open_ = F.when(~F.col("hit") & (ratio_bound(F.col("w"), F.col("e")) >= floor), F.col("w"))
+    return p.withColumn("ratio", seq_ratio(open_, F.col("e"))).where(F.col("hit") | (F.col("ratio") >= floor)).select("v", "name").distinct()
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 

@@ -200,8 +200,8 @@ def _(s, d):
 def _(s, d):
     """Written types against list entries: contained either way, a shared word, or a ratio of 0.7."""
     v = table(s, d, "case_records", ["crime_type"]).where("crime_type is not null").select(F.lower("crime_type").alias("v")).distinct()
-    n = table(s, d, "crime_type_list", ["name"]).select("name", F.explode(F.split("name", " ")).alias("k"))
-    return v.withColumn("k", F.explode(F.split("v", " "))).join(n, "k").select("v", "name").distinct()
+    # distinct written types against all entries of the list, a reference of bounded size (40)
+    return T.category_matches(v, table(s, d, "crime_type_list", ["name"]).where("name is not null").distinct())
 
 
 @query("should_link_label", "SELECT a, b, CASE WHEN label IN ('Location', 'Evidence') THEN name_score >= 0.9 ELSE coalesce(cos, 0) >= 0.95 END should FROM match_candidates WHERE name_score IS NOT NULL")

@@ -60,3 +60,23 @@ def test_json_repair(text, expected):
 def test_cosine_of_zero(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<float>, b array<float>")
     assert [r.c for r in df.select(T.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == pytest.approx([0.0, 1.0])
+
+
+def test_category_match_equals_brute_force(spark):
+    import re
+
+    values, entries = ["mrdr ", "assalt", "robbery.", "peerjury", "Counterfeitung", "armed robbery", "theft of car", "rob", "...", "tax"], ["Murder", "assault", "robbery", "perjury", "counterfeiting", "vehicle theft"]
+    plain = lambda x: re.sub("[^a-z0-9 ]", " ", x.lower()).strip()
+    want = {(v, e) for v in values for e in entries if (a := plain(v)) and (a in (b := plain(e)) or b in a or set(a.split()) & set(b.split()) or SequenceMatcher(None, a, b).ratio() >= 0.7)}
+    got = T.category_matches(spark.createDataFrame([(v,) for v in values], "v string"), spark.createDataFrame([(e,) for e in entries], "name string")).collect()
+    assert {(r.v, r.name) for r in got} == want and len(got) == len(want)
+    assert {("assalt", "assault"), ("robbery.", "robbery"), ("peerjury", "perjury"), ("rob", "robbery"), ("theft of car", "vehicle theft")} <= want
+
+
+def test_cat_match_uses_all_branches(spark, folder):
+    import __spark_entry__ as entry
+    from graphloom.sources.tables import table
+
+    v = table(spark, folder, "case_records", ["crime_type"]).where("crime_type is not null").select(F.lower("crime_type").alias("v")).distinct()
+    want = T.category_matches(v, table(spark, folder, "crime_type_list", ["name"]).distinct())
+    assert set(entry.queries()["cat_match"](spark, folder).collect()) == set(want.collect())
