@@ -186,13 +186,26 @@ def bootstrap_interval(df: DataFrame, value: str, resamples: int = 2000, seed: i
     import numpy as np
     import pyarrow as pa
 
+    # Poisson(1) by inversion: a weight for each of 2**16 equally likely values
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    weight = np.searchsorted(cdf, (np.arange(2**16) + 0.5) / 2**16).astype(np.uint8)
+    step = np.arange(1, -(-resamples // 4) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def draw(h):
+        """SplitMix64 of (row's hash, place): four weights from each number."""
+        x = h[:, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return weight[(x ^ (x >> np.uint64(31))).view(np.uint16)[:, :resamples]]
+
     def run(batches):
         s, n = np.zeros(resamples), np.zeros(resamples)
         for b in batches:
-            for v, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = np.random.default_rng(h & (2**63 - 1)).poisson(1.0, resamples)
-                s += w * v
-                n += w
+            v, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for i in range(0, len(v), 256):
+                w = draw(h[i : i + 256]).astype(np.float64)
+                s += v[i : i + 256] @ w
+                n += w.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(s), pa.array(n)], names=["b", "s", "n"])
 
     base = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double"), F.xxhash64(F.lit(seed), *df.columns).alias("h"))

@@ -377,7 +377,7 @@ def _(s, d):
 @query("bootstrap_ci")
 def _(s, d):
     """95 % interval of the mean order value, 2 000 resamples."""
-    return S.bootstrap_interval(table(s, d, "supplier", ["s_suppkey", "s_acctbal"]).select("s_acctbal", "s_suppkey"), "s_acctbal")
+    return S.bootstrap_interval(table(s, d, "orders", ["o_orderkey", "o_totalprice"]).select("o_totalprice", "o_orderkey"), "o_totalprice")
 
 
 @query("pca_projection")

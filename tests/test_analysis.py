@@ -56,6 +56,17 @@ def test_thinning_and_bootstrap(spark):
     assert b.low == pytest.approx(b.mean - half, rel=0.05) and b.high == pytest.approx(b.mean + half, rel=0.05)
 
 
+def test_bootstrap_is_of_the_order_values(spark, folder):
+    import __spark_entry__ as entry
+    from graphloom.sources.tables import table
+
+    v = np.array([r[0] for r in table(spark, folder, "orders", ["o_totalprice"]).where("o_totalprice is not null").collect()])
+    b = entry.queries()["bootstrap_ci"](spark, folder).first()
+    half = 1.96 * v.std() / len(v) ** 0.5
+    assert b.mean == pytest.approx(v.mean(), abs=half / 5)
+    assert b.mean - b.low == pytest.approx(half, rel=0.15) and b.high - b.mean == pytest.approx(half, rel=0.15)
+
+
 def test_metrics(spark):
     assert metrics.greedy_pairs(["ram lal", "ram"], ["ram", "ram lall"], 0.75) == [(0, 1, pytest.approx(14 / 15)), (1, 0, 1.0)]
     df = spark.createDataFrame([("k", ["a b", "x"], ["a b", "y"]), ("e", None, None)], "k string, g array<string>, f array<string>")
