@@ -44,6 +44,18 @@ def _(s, d):
     return t.select("person_id", T.eval_normalise(F.col("name")).alias("norm"))
 
 
+@query("name_normalise_all")
+def _(s, d):
+    """(person_id, norm): as name_normalise, over names of any characters; its SQL twin holds plain ASCII only."""
+    return table(s, d, "person_records", ["person_id", "name"]).where("name is not null").select("person_id", T.name_normalise(F.col("name")).alias("norm"))
+
+
+@query("eval_normalise_all")
+def _(s, d):
+    """(person_id, norm): as eval_normalise, over names of any characters."""
+    return table(s, d, "person_records", ["person_id", "name"]).where("name is not null").select("person_id", T.eval_normalise(F.col("name")).alias("norm"))
+
+
 @query("generic_filter", "SELECT person_id FROM person_records WHERE lower(trim(name)) NOT IN (" + ", ".join(f"'{g}'" for g in T.GENERIC) + ")")
 def _(s, d):
     return table(s, d, "person_records", ["person_id", "name"]).where(~T.is_generic(F.lower(F.trim("name")))).select("person_id")
@@ -71,6 +83,13 @@ def _(s, d):
     return t.select("doc_id", F.length(T.html_strip(page)).cast("bigint").alias("n"))
 
 
+@query("html_strip_all")
+def _(s, d):
+    """(doc_id, n): as html_strip, over texts of any characters."""
+    page = F.concat(F.lit("<p>"), F.regexp_replace("text", "[<>]", ""), F.lit("</p><br/>"))
+    return table(s, d, "documents", ["doc_id", "text"]).where("text is not null").select("doc_id", F.length(T.html_strip(page)).cast("bigint").alias("n"))
+
+
 @query("bracket_strip", r"SELECT item_id, regexp_replace(text || ' [' || item_id || ']', '\s*\[[^\]]*\]', '', 'g') t FROM eval_items")
 def _(s, d):
     return table(s, d, "eval_items").select("item_id", T.bracket_strip(F.concat("text", F.lit(" ["), F.col("item_id").cast("string"), F.lit("]"))).alias("t"))
@@ -261,6 +280,12 @@ def _(s, d):
     return t.select("event_id", D.ladder(F.col("timestamp"), D.LADDER[:2]).alias("ts"))
 
 
+@query("timestamp_ladder_all")
+def _(s, d):
+    """(event_id, ts): every event through all formats of the ladder; null where none fits."""
+    return table(s, d, "time_events", ["event_id", "timestamp"]).select("event_id", D.ladder(F.col("timestamp")).alias("ts"))
+
+
 @query("year_month_keys", "SELECT event_id, array_to_string(list_sort(list_distinct(regexp_extract_all(timestamp, '\\b((?:19|20)[0-9]{2})\\b', 1))), '|') y FROM time_events WHERE timestamp IS NOT NULL")
 def _(s, d):
     return table(s, d, "time_events", ["event_id", "timestamp"]).where("timestamp is not null").select("event_id", F.array_join(D.years(F.col("timestamp")), "|").alias("y"))
