@@ -59,6 +59,40 @@ def candidates(nodes: DataFrame, floor: float = 0.78, new: DataFrame | None = No
     return found.join(side("a"), "a_eid").join(side("b"), "b_eid")
 
 
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, tile: int = TILE) -> DataFrame:
+    """(q, key, cos): the ``k`` other rows of highest cosine for each query, ties by key. Exact.
+
+    Queries and rows are cut into tiles by number; every tile of one meets every tile of the
+    other in one task, which passes on the best ``k`` of each query.
+    """
+    from pyspark.sql import Window as W
+
+    # an upper bound of each side's tiles from its size
+    parts = lambda df: max(1, -(-df.count() // tile))
+    nq, nr = parts(queries), parts(rows)
+    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    side = lambda df, mine, other, n, m, ask: df.select(F.lit(ask).alias("ask"), F.col(key).alias("key"), F.col(vector).alias("emb"), place(n).alias(mine), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).select("ask", "key", "emb", "tq", "tr")
+    both = side(queries, "tq", "tr", nq, nr, True).unionByName(side(rows, "tr", "tq", nr, nq, False))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["emb"].to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        ask, keys = pdf["ask"].to_numpy(bool), pdf["key"].to_numpy()
+        pool, out = keys[~ask], []
+        cos = np.round(x[ask] @ x[~ask].T, 9)
+        for q, c in zip(keys[ask], cos):
+            at = np.lexsort((pool, -c))[: k + 1]
+            at = at[pool[at] != q][:k]
+            out.append(pd.DataFrame({"q": q, key: pool[at], "cos": c[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": keys[:0], key: keys[:0], "cos": np.zeros(0)})
+
+    found = both.groupBy("tq", "tr").applyInPandas(best, f"q {kind}, {key} {kind}, cos double")
+    w = W.partitionBy("q").orderBy(F.desc("cos"), key)
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
 def decide(pairs: DataFrame, name_threshold: float = 0.88) -> DataFrame:
     """Name score, context overlap, decision, confidence and its basis for candidate pairs.
 

@@ -572,6 +572,26 @@ def _(s, d):
     return _knn(s, d, 3).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id")
 
 
+def _knn_all(s, d, label=None, k=10):
+    """(q, vec_id): the k nearest rows of every vector whose id is divisible by 20."""
+    t = table(s, d, "embeddings", ["vec_id", "embedding", "label"]).where("embedding is not null")
+    return R.nearest(t.where("vec_id % 20 = 0"), t.where(f"label = {label}") if label is not None else t, "vec_id", "embedding", k).select("q", "vec_id")
+
+
+def _knn_all_sql(label=None):
+    return "SELECT q, vec_id FROM (SELECT a.vec_id q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL" + (f" AND b.label = {label}" if label is not None else "") + ") WHERE r <= 10"
+
+
+@query("knn_topk_all", _knn_all_sql())
+def _(s, d):
+    return _knn_all(s, d)
+
+
+@query("knn_label_filtered_all", _knn_all_sql(3))
+def _(s, d):
+    return _knn_all(s, d, 3)
+
+
 def _people(s, d):
     """Graph persons with a vector; blocked by their value's first word."""
     k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val", "embedding"]).where("embedding is not null and val is not null")
