@@ -593,10 +593,16 @@ def _(s, d):
 
 
 def _people(s, d):
-    """Graph persons with a vector; blocked by their value's first word."""
-    k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val", "embedding"]).where("embedding is not null and val is not null")
-    k = k.select(F.col("node_id").alias("eid"), "label", F.col("case_id").alias("doc"), "val", F.lit(None).cast("string").alias("role"), F.col("embedding").alias("emb"), F.array().cast("array<string>").alias("ctx"))
-    return R.prepare(k, "val").withColumn("blk", F.col("norm")).drop("val")
+    """Graph nodes with a vector; their context is the other values of their case, their role that of the person record of their id."""
+    k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val", "embedding"])
+    said = k.where("val is not null and case_id is not null").select("case_id", F.col("node_id").alias("other"), F.lower(F.trim("val")).alias("w")).where("w <> ''")
+    # the few nodes of one case
+    case = said.groupBy("case_id").agg(F.collect_list(F.struct("other", "w")).alias("said"))
+    roles = table(s, d, "person_records", ["person_id", "role"]).where("person_id is not null").groupBy(F.col("person_id").alias("node_id")).agg(F.min(T.role_normalise(F.col("role"))).alias("role"))
+    k = k.where("embedding is not null and val is not null").join(case, "case_id", "left").join(roles, "node_id", "left")
+    ctx = F.array_distinct(F.transform(F.filter("said", lambda x: x["other"] != F.col("node_id")), lambda x: x["w"]))
+    k = k.select(F.col("node_id").alias("eid"), "label", F.col("case_id").alias("doc"), "val", "role", F.col("embedding").alias("emb"), F.coalesce(ctx, F.array().cast("array<string>")).alias("ctx"))
+    return R.prepare(k, "val").drop("val")
 
 
 _LINKS = "SELECT a.node_id x, b.node_id y FROM kg_nodes a JOIN kg_nodes b ON a.label = b.label AND a.val = b.val AND a.case_id <> b.case_id AND a.node_id < b.node_id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.78"
@@ -604,8 +610,8 @@ _LINKS = "SELECT a.node_id x, b.node_id y FROM kg_nodes a JOIN kg_nodes b ON a.l
 
 @query("resolve_links")
 def _(s, d):
-    """(x, y, basis, confidence): accepted pairs of one normalised value in different cases."""
-    p = R.decide(R.candidates(_people(s, d), 0.78, block=["blk"])).where("accepted")
+    """(x, y, basis, confidence): accepted pairs of a label in different cases, whatever their spelling."""
+    p = R.decide(R.candidates(_people(s, d), 0.78)).where("accepted")
     return p.select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"), "basis", T.round4(F.col("confidence")).alias("confidence"))
 
 
@@ -613,14 +619,14 @@ def _(s, d):
 def _(s, d):
     """New cases' nodes against all."""
     n = _people(s, d)
-    p = R.decide(R.candidates(n, 0.78, new=n.where(F.col("doc").startswith("FIR-2024")), block=["blk"])).where("accepted")
+    p = R.decide(R.candidates(n, 0.78, new=n.where(F.col("doc").startswith("FIR-2024")))).where("accepted")
     return p.select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"), "basis")
 
 
 @query("resolve_summary")
 def _(s, d):
     """(label, links) of resolution."""
-    p = R.decide(R.candidates(_people(s, d), 0.78, block=["blk"])).where("accepted")
+    p = R.decide(R.candidates(_people(s, d), 0.78)).where("accepted")
     return p.groupBy(F.col("a_label").alias("label")).agg(F.count(F.lit(1)).alias("links"))
 
 
