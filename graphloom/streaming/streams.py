@@ -93,7 +93,7 @@ def upsert_stream(stream: DataFrame, keys: list[str], order: str, scratch: Scrat
 
 
 def incremental(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Runs a batch job (extract, upsert, embed, resolve) on each micro-batch of what is there."""
+    """Runs the caller's batch job on each micro-batch of what is there; no ingestion job comes with the package."""
     stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
