@@ -8,7 +8,7 @@ are joined with items on these, candidates too short for the required part are
 left out, and so are those that share fewer shingles, or shared shingles in places that
 bound the passages below it.
 What remains is verified by aligning document and item, word by word, in windows of
-the item's size around the shared places; the two best coherent passages count.
+the item's size around the shared places, all of them; the two best coherent passages count.
 
 The items are a query set: they are sent to the documents in blocks of bounded size
 (``ITEM_WORDS``), so no document is ever shuffled.
@@ -148,21 +148,34 @@ def chains(hits: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def contained(doc: list[str], item: Item, hits: list[tuple[int, int]]) -> int:
-    """Matching words of the two best coherent passages, 0 if their seeds cover too little of the item."""
+    """Matching words of the two best coherent passages, 0 if their seeds cover too little of the item.
+
+    Every chain that no passage holds yet is aligned, the longest first. Where the best alignment
+    near it is another passage, that one's words are taken out and the rest is aligned again.
+    """
     found, size = sorted(chains(hits), key=lambda c: -c[4]), len(item.words)
-    if sum(c[4] for c in found[:2]) < SEEDED * size:
+    # of all seeds, for a passage with words put in between falls into many chains
+    covered = len({x for _, q in hits for x in range(q, min(q + SEED, size))})
+    if max(covered, sum(c[4] for c in found[:2])) < SEEDED * size:
         return 0
     passages: list[tuple[int, int, int, int, int]] = []
-    for c in found[:4]:
+    for c in found:
         if c[4] < min(SEEDS, size):
             break
         if any(p[1] <= c[0] < p[2] and p[3] <= c[2] < p[4] for p in passages):
             continue
         lo, hi = max(0, c[0] - c[2] - 4), min(len(doc), c[1] + size - c[3] + 4)
-        n, a, b, s, e = align(item.matches(doc[lo:hi]))
-        if n >= min(PASSAGE, size) and not any(s < p[4] and p[3] < e for p in passages):
-            passages.append((n, a + lo, b + lo, s, e))
-    return sum(sorted((p[0] for p in passages), reverse=True)[:2])
+        agree = item.matches(doc[lo:hi])
+        while (got := align(agree))[0] >= min(PASSAGE, size):
+            n, a, b, s, e = got
+            if (p := (n, a + lo, b + lo, s, e)) not in passages:
+                passages.append(p)
+            if a + lo <= c[0] < b + lo and s <= c[2] < e:
+                break
+            agree[a:b] = False
+    # words of the item that two passages share count once
+    best = max((p[0] for p in passages), default=0)
+    return max([best, *(p[0] + q[0] - max(0, min(p[4], q[4]) - max(p[3], q[3])) for i, p in enumerate(passages) for q in passages[i + 1 :])])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", part: float = 0.4) -> DataFrame:

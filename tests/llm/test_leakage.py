@@ -58,3 +58,29 @@ def test_alignment_and_slips():
     assert (n, a, b, s, e) == (8, 1, 9, 0, 8)
     assert leakage.near("letter", "lettre") and leakage.near("letter", "leter") and not leakage.near("letter", "ladder") and not leakage.near("one", "on")
     assert leakage.words("The O&#39;Brien  CAFÉ gene-\nrator") == ["the", "obrien", "cafe", "generator"]
+
+
+def seeds(doc, item):
+    at = {}
+    for q, s in enumerate(leakage.shingles(item, leakage.SEED)):
+        at.setdefault(s, []).append(q)
+    return [(p, q) for p, s in enumerate(leakage.shingles(doc, leakage.SEED)) for q in at.get(s, ())]
+
+
+def count(doc, item):
+    return leakage.contained(doc, leakage.Item(item), seeds(doc, item))
+
+
+def test_a_passage_told_often_hides_no_other():
+    item = [f"word{i:03d}x" for i in range(100)]
+    other = [f"filler{i:04d}" for i in range(900)]
+    far = [w for i in range(6) for w in (*item[:25], *other[i * 140 : (i + 1) * 140])] + item[60:78]
+    assert count(far, item) == 43
+    close = [w for i in range(6) for w in (*item[:25], *other[i * 40 : (i + 1) * 40])] + item[60:78]
+    assert count(close, item) == 43
+
+
+def test_words_put_in_all_over_the_item():
+    item = [f"word{i:03d}x" for i in range(96)]
+    doc = [w for i in range(0, 96, 12) for w in (*item[i : i + 12], "an", "aside", "of", "four")]
+    assert count(doc, item) == 96
