@@ -1,15 +1,20 @@
 """Abusive, hateful or sexual content: boosted trees over dense features, calibrated.
 
 Each text is read once and reduced to ``FEATURES``: densities of lexicon hits by kind,
+turns of speech that attack (a threat, a wish of harm, a dismissal, people called vermin, people to be
+driven out, a sexual demand: each a pattern over word classes, not a list of sentences),
 their nearness to the second person, what the worst sentence holds, and rates of
-capitals, exclamation marks and obfuscation. Obfuscated spellings (leet digits, masked
+capitals, punctuation and obfuscation. Obfuscated spellings (leet digits, masked
 or spaced letters, stretched letters, invisible characters) are undone before the look-up.
 
-Gradient-boosted trees are fitted to reviewers' majority labels of a bounded sample of
-labelled documents (``MAX_LABELS``, by hash of the id), the scores are mapped to
-probabilities by isotonic regression on labelled documents the trees haven't seen, and
-every document gets the calibrated score. Labels may be wrong here and there; trees of
-``DEPTH`` with many cases a leaf can't follow single ones.
+Gradient-boosted trees (logistic loss, second order, ``DEPTH`` levels over histograms) are
+fitted to reviewers' majority labels of a bounded sample of labelled documents
+(``MAX_LABELS``, by hash of the id), whose features alone reach the driver. The scores are
+mapped to probabilities by isotonic regression on scores each labelled document got from
+trees that hadn't seen it (``FOLDS`` cross-folds), and every document gets the calibrated
+score. One and the same fit serves few labels and many: its leaves are shrunk, its folds
+always cover all labels. Labels may be wrong here and there; trees of ``DEPTH`` with many
+cases a leaf can't follow single ones.
 """
 
 from __future__ import annotations
@@ -23,11 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import Scratch
-
 #: Labelled documents used at most; they are those of the smallest hash of their id.
 MAX_LABELS = 20_000
-DEPTH, TREES, LEAF = 3, 25, 8
+DEPTH, TREES, LEAF, RATE, SHRINK, BINS, FOLDS = 3, 40, 5, 0.15, 2.0, 64, 5
 
 # Words by kind, in the four languages, as they read without accents and obfuscation.
 INSULT = """bastard bastards slut sluts whore whores bitch bitches cunt cunts arsehole arseholes asshole assholes shithead dickhead dickheads prick pricks wanker wankers twat twats
@@ -42,18 +45,28 @@ SEXUAL = """naked nude nudes tits boobs pussy cock dick blowjob cum grope groped
 desnuda desnudo tetas polla cama follar nue nu lit baiser seins nackt bett titten ficken geil""".split()
 HATE = """breed birth deserves women men driven burn them among us all out thing echarlos todos chasser tous vertrieben gehoren alle habria faut""".split()
 SECOND = """you your yours yourself u ur tu te ti tus tuyo eres vous votre vos toi ton ta tes du dich dir dein deine deinem deiner ihr euch euer""".split()
-# Turns of speech that attack, by themselves or with a word above.
-ATTACKS = (
-    r"hang yourself", r"kill yourself", r"hope you (?:choke|die|rot)", r"go and die", r"drop dead", r"get lost", r"shut up", r"teeth kicked in", r"crawl back (?:in)?to the hole", r"kiss my", r"nobody would miss",
-    r"send me nudes", r"strip for me", r"want you naked", r"screw (?:her|him|you)", r"grope (?:her|his|your)", r"(?:he|she|they) rode (?:her|him|me)", r"moaned while",
-    r"burn them(?: all)? out", r"breed like", r"deserves? to live among", r"driven out", r"by birth", r"let [\w ]{2,30} in at all", r"should be beaten", r"are all [\w ]{0,12}\w+ and their men", r"nothing but a",
-    r"te rompo la cara", r"callate", r"pedazo de", r"no vales nada", r"echarlos a todos", r"verte desnud[ao]", r"ferme ta", r"espece de", r"degage d ici", r"il faut tous les", r"te veux nue?", r"n es qu une?",
-    r"halt die (?:fresse|klappe|schnauze|maul)", r"sonst nichts", r"alle vertrieben", r"will dich nackt",
+# Word classes of the attacking turns of speech, in the four languages.
+HARM = """kill slit stab shoot cut break smash beat crush strangle choke rape gut skin hang burn bury hurt punch kick rip destroy murder drown
+matar matare mato romper rompo partir parto reventar reviento quemar quemo ahorcar degollar golpear hundir tuer tue casser casse egorger crever creve frapper bruler buter pendre
+toten umbringen umbringe schlagen schlage brechen breche aufschlitzen verbrennen erschlagen erwurgen abstechen zertreten""".split()
+DEATH = """die dies dead rot choke burn hang drown suffer beaten shot disappear gutted muera muere mueras pudra pudras ahorques creve creves crever meurs pourrisse pendre verrecke verreckst verrecken sterben krepier krepieren verrotte""".split()
+WISH = """hope hopes wish deserve deserves deserved should ought go nobody please better want espero ojala mereces merece deberias espere souhaite merites merite devrais hoffe hoffentlich wunsche verdienst solltest""".split()
+BODY = """throat face skull neck teeth head guts bones knees jaw mouth cara cuello garganta cabeza dientes crane gorge tete cou dents gueule visage kehle hals kopf schadel zahne knochen gesicht fresse maul""".split()
+VERMIN = """subhuman subhumans cockroach cockroaches maggots insects savages plague cancer disease inferior untermenschen untermensch cucarachas infrahumanos plaga gusanos salvajes cafards sauvages parasites nuisibles kakerlaken maden parasiten seuche bestien tiere animales animaux betes""".split()
+GROUP = """they them those these people all men women folk lot kind race sort everyone whole bunch ellos ellas esos esas todos todas gente ils elles eux ceux ces tous toutes gens sie die diese alle leute volk sippe family families clan tribe""".split()
+OUT = """burn drive driven throw thrown kick kicked chase wipe wiped deport deported exterminate exterminated gas gassed clear cleared echar echarlos echarlas fuera expulsar expulsarlos quemarlos chasser chasses chasse dehors expulser expulses vertrieben vertreiben raus ausrotten rauswerfen verjagen abschieben""".split()
+DEMAND = """send show want wanna need strip spread undress imagine quiero manda mandame ensename desnudate veux envoie montre deshabille will mochte schick zeig ausziehen zieh""".split()
+# Dismissals and set phrases of abuse.
+DISMISS = (
+    r"(?:get|go) lost", r"shut (?:up|your)", r"drop dead", r"(?:piss|fuck|sod|bugger) off", r"(?:screw|fuck|damn|curse) (?:you|him|her|them)", r"go to hell", r"rot in hell", r"kiss my", r"(?:kill|hang|drown|shoot) yoursel(?:f|ves)", r"go back (?:to|where)", r"crawl back",
+    r"(?:would|will|d) (?:ever )?miss you", r"breeds? like", r"(?:do not|dont|not) belong (?:here|among)", r"live among (?:us|decent)", r"by birth", r"nothing but an?", r"piece of", r"good for nothing", r"waste of (?:space|air|breath|skin)",
+    r"callate", r"vete (?:a la|al)", r"pedazo de", r"no vales (?:nada|una)", r"hijos? de", r"(?:no eres|sois) mas que", r"ferme (?:ta|la)", r"espece de", r"casse toi", r"va te faire", r"degage", r"(?:n es|ne vaux|vaut) (?:qu un|rien)", r"bande de", r"sale race",
+    r"halt (?:die|dein|deine) (?:fresse|klappe|schnauze|maul|mund)", r"verpiss dich", r"leck mich", r"fick dich", r"sonst nichts", r"nichts als", r"du (?:bist|dreckige?s?|elende?s?)", r"geh sterben", r"stuck (?:dreck|scheisse)",
 )
 # Clinical and legal words that make a hit near them ordinary.
 SOBER = """genital vaginal examination swabs semen section offence medical corroboration wound exhibit forensic injury autopsy court evidence post-mortem anus breasts nipples pups""".split()
 
-FEATURES = ("insult", "slight", "sexual", "attack", "hate", "second_near", "worst", "worst_insult", "worst_second", "worst_attack", "worst_caps", "obfuscated", "worst_obfuscated", "caps", "exclaim", "sober", "length")
+FEATURES = ("insult", "slight", "sexual", "attack", "hate", "second_near", "worst", "worst_insult", "worst_second", "worst_attack", "worst_caps", "worst_punct", "obfuscated", "worst_obfuscated", "caps", "punctuation", "exclaim", "sober", "length")
 
 _LEET = str.maketrans("013457@$!|8", "oieastasiib")
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
@@ -61,7 +74,27 @@ _SPACED = re.compile(r"(?<![\w'])(?:\w[ .\-_*]){3,}\w(?![\w'])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _TOKEN = re.compile(r"[\w@$!|*]+", re.UNICODE)
 _MASKED = re.compile(r"^[a-z]+\*+[a-z]*$")
-_ATTACK = re.compile("|".join(f"(?:{a})" for a in ATTACKS))
+
+
+def _class(words: list[str]) -> str:
+    return f"(?:{'|'.join(words)})"
+
+
+def _near(a: list[str], b: list[str], gap: int, either: bool = True) -> str:
+    """A word of ``a`` and one of ``b`` with at most ``gap`` words between; in either order if so wanted."""
+    between = rf"(?: \w+){{0,{gap}}} "
+    return rf"{_class(a)}{between}{_class(b)}" + (rf"|{_class(b)}{between}{_class(a)}" if either else "")
+
+
+#: Threat, wish of harm, dismissal, people called vermin, people to be driven out, sexual demand.
+ATTACKS = (
+    rf"{_class(HARM)}(?: \w+){{0,2}} {_class([w for w in SECOND if w not in ('du', 'ti', 'tu', 'te')])}(?: \w+){{0,2}}(?: {_class(BODY)})?", rf"(?:{_class([w for w in SECOND if len(w) > 2])} {_class(BODY)} (?:\w+ ){{0,2}}(?:in|off|open|out|smashed|kicked|broken|ein|auf|casser|romper))|(?:te|te la|te voy a|je vais te|ich werde dir) {_class(HARM)}",
+    _near(WISH, DEATH, 4, False), "|".join(DISMISS),
+    rf"{_class(GROUP)}(?: \w+){{0,6}} (?:are|is|were|son|es|sont|est|sind|ist)(?: \w+){{0,4}} {_class(sorted({*VERMIN, *SLIGHT}))}",
+    rf"{_class(OUT)}(?: \w+){{0,2}} {_class(GROUP)}|{_class(GROUP)}(?: \w+){{0,5}} {_class(OUT)}",
+    rf"{_class(DEMAND)}(?: \w+){{0,4}} {_class(sorted({*SEXUAL} - {'bed', 'lit', 'bett', 'wet', 'rode'}))}",
+)
+_ATTACK = re.compile(r"\b(?:" + "|".join(f"(?:{a})" for a in ATTACKS) + r")\b")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _INSULT, _SLIGHT, _SEXUAL, _HATE, _SECOND, _SOBER = map(frozenset, (INSULT, SLIGHT, SEXUAL, HATE, SECOND, SOBER))
 _ALL = _INSULT | _SLIGHT | _SEXUAL
@@ -71,9 +104,9 @@ _ALL = _INSULT | _SLIGHT | _SEXUAL
 _ODD = re.compile(r"[@$*|!0-9](?=[a-z@$*|])|[a-z][@$*|0-9]|(?<![\w'])\w[ .\-_*]\w[ .\-_*]\w[ .\-_*]|([a-z])\1\1")
 _UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
 #: Words without which no attack can be there.
-_COMMON = frozenset("you your he she they her him his the a in to and are me let all by at not des que il te tu de la las vom es una une no n un d un ou".split())
-_ATTACK_WORDS = frozenset(w for a in ATTACKS for w in re.findall(r"[a-z]{3,}", re.sub(r"\\w|\(\?:|[?+*{}\[\]()|\\]", " ", a))) - _COMMON
-_TRIGGERS = _INSULT | _SLIGHT | _SEXUAL | _ATTACK_WORDS
+_CUES = frozenset((*HARM, *DEATH, *VERMIN, *OUT, *(w for a in DISMISS for w in re.findall(r"[a-z]{4,}", re.sub(r"\(\?:|[?+*{}\[\]()|\\]", " ", a))))) - frozenset("your will would here miss them like that birth among nothing live piece good".split()) | frozenset("birth among breed breeds piece belong".split())
+_TRIGGERS = _INSULT | _SLIGHT | _SEXUAL | _CUES
+_PUNCT = re.compile(r"[!?*#@$%&~^]|\.{3,}")
 
 
 def _collapse(w: str) -> str:
@@ -129,7 +162,7 @@ def features(text: str | None) -> list[float]:
     if not text or not text.strip():
         return [0.0] * len(FEATURES)
     total = dict.fromkeys(("insult", "slight", "sexual", "hate", "near", "attack", "obf", "sober"), 0)
-    n_words, worst = 0, (0.0, 0, 0, 0, 0.0, 0)
+    n_words, worst = 0, (0.0, 0, 0, 0, 0.0, 0.0, 0)
     for raw in _SENTENCE.split(" ".join(text.split())):
         clear = _INVISIBLE.sub("", raw) if not raw.isascii() else raw
         low = plain(clear)
@@ -163,37 +196,125 @@ def features(text: str | None) -> list[float]:
                 hate += 1
             if w in _SOBER:
                 sober += 1
-        attack = len(_ATTACK.findall(" ".join(toks))) if not _ATTACK_WORDS.isdisjoint(toks) else 0
-        near = sum(any(abs(i - j) <= 5 for j in second) for i in at)
+        attacks = [m[0] for m in _ATTACK.finditer(" ".join(toks))] if not _TRIGGERS.isdisjoint(toks) else []
+        attack = len(attacks)
+        near = sum(any(abs(i - j) <= 5 for j in second) for i in at) + sum(not _SECOND.isdisjoint(a.split()) for a in attacks)
         if (hidden or gathered) and at:
             obf += 1
         for k, v in zip(total, (insult, slight, sexual, hate if attack or at else 0, near, attack, obf, sober)):
             total[k] += v
-        score = 3.0 * insult + 1.0 * slight + 1.0 * sexual + 2.0 * attack + (0.5 * near) + obf - 2.0 * sober
+        score = 3.0 * insult + 1.0 * slight + 1.0 * sexual + 3.0 * attack + (0.5 * near) + obf - 2.0 * sober
         if score > worst[0]:
             letters = sum(map(str.isalpha, raw))
-            worst = (score, insult, near, attack, sum(map(str.isupper, raw)) / max(1, letters), obf)
+            worst = (score, insult, near, attack, sum(map(str.isupper, raw)) / max(1, letters), len(_PUNCT.findall(raw)) / max(1, len(toks)), obf)
     per = 100.0 / max(n_words, 20)
     upper = len(_UPPER.findall(text))
     letters = len(text) or 1
     return [
-        total["insult"] * per, total["slight"] * per, total["sexual"] * per, float(min(total["attack"], 10)), total["hate"] * per, total["near"] * per, worst[0], float(worst[1]), float(worst[2]), float(worst[3]), worst[4], float(min(total["obf"], 10)), float(worst[5]),
-        upper / letters, text.count("!") * per, total["sober"] * per, float(np.log1p(len(text))),
+        total["insult"] * per, total["slight"] * per, total["sexual"] * per, total["attack"] * per, total["hate"] * per, total["near"] * per, worst[0], float(worst[1]), float(worst[2]), float(worst[3]), worst[4], worst[5], total["obf"] * per, float(worst[6]),
+        upper / letters, len(_PUNCT.findall(text)) * per, text.count("!") * per, total["sober"] * per, float(np.log1p(len(text))),
     ]
 
 
-def feature_table(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
-    """(doc_id, keep..., f ARRAY<DOUBLE>) of every row with a key."""
-    kept = [F.col(c).cast("string").alias(f"keep_{c}") for c in keep]
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", *batch.schema.names[2:], "f"])
-
-    schema = f"doc_id {kind}, " + "".join(f"keep_{c} string, " for c in keep) + "f array<double>"
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *kept).mapInArrow(run, schema)
+class Trees:
+    """Boosted trees for 0/1 labels: logistic loss, splits of histograms, leaves shrunk by ``SHRINK``."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, rate: float = RATE, shrink: float = SHRINK) -> None:
+        share = (y.sum() + 0.5) / (len(y) + 1.0)
+        self.base, self.trees = float(np.log(share / (1 - share))), []
+        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+        for j, c in enumerate(self.cuts):  # a feature that is 0 nearly everywhere is still cut among the rest
+            some = x[:, j][x[:, j] > 0]
+            if len(some):
+                self.cuts[j] = np.unique(np.concatenate([c, [0.0], np.quantile(some, np.linspace(0, 1, 17)[:-1])]))
+        binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], axis=1)
+        raw = np.full(len(y), self.base)
+        for _ in range(trees):
+            p = 1 / (1 + np.exp(-raw))
+            tree, step = self._grow(binned, y - p, np.maximum(p * (1 - p), 1e-6), depth, leaf, shrink)
+            raw += rate * step
+            self.trees.append(tree)
+        self.rate = rate
+
+    def _grow(self, binned, g, h, depth, leaf, shrink):
+        """One tree as (feature, cut, left, right) nodes or leaf values, and its value for every row."""
+        step = np.zeros(len(g))
+
+        def node(rows: np.ndarray, level: int):
+            gs, hs = g[rows].sum(), h[rows].sum()
+            best = (1e-9, None, None)
+            if level < depth and len(rows) >= 2 * leaf:
+                for j in range(binned.shape[1]):
+                    b, size = binned[rows, j], len(self.cuts[j]) + 1
+                    n, gb, hb = np.bincount(b, minlength=size).cumsum(), np.bincount(b, g[rows], size).cumsum(), np.bincount(b, h[rows], size).cumsum()
+                    fits = (n[:-1] >= leaf) & (len(rows) - n[:-1] >= leaf)
+                    if fits.any():
+                        gain = gb[:-1] ** 2 / (hb[:-1] + shrink) + (gs - gb[:-1]) ** 2 / (hs - hb[:-1] + shrink) - gs**2 / (hs + shrink)
+                        gain[~fits] = -1
+                        k = int(gain.argmax())
+                        if gain[k] > best[0]:
+                            best = (float(gain[k]), j, k)
+            if best[1] is None:
+                value = float(gs / (hs + shrink))
+                step[rows] = value
+                return value
+            low = binned[rows, best[1]] <= best[2]
+            return (best[1], float(self.cuts[best[1]][best[2]]), node(rows[low], level + 1), node(rows[~low], level + 1))
+
+        return node(np.arange(len(g)), 0), step
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), self.base)
+
+        def walk(tree, rows: np.ndarray) -> None:
+            if not len(rows):
+                return
+            if not isinstance(tree, tuple):
+                out[rows] += self.rate * tree
+                return
+            low = x[rows, tree[0]] <= tree[1]
+            walk(tree[2], rows[low])
+            walk(tree[3], rows[~low])
+
+        for tree in self.trees:
+            walk(tree, np.arange(len(x)))
+        return out
+
+
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression by pooling adjacent violators: points (score, probability) to interpolate between."""
+    order = np.argsort(score, kind="stable")
+    x, first = np.unique(score[order], return_index=True)
+    ones, n = np.add.reduceat(y[order], first), np.diff([*first, len(y)])
+    blocks: list[list[float]] = []  # ones, cases, first and last score
+    for s, o, m in zip(x, ones, n):
+        blocks.append([float(o), float(m), s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            o2, m2, _, end = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + o2, blocks[-1][1] + m2, blocks[-1][2], end]
+    at, p = [], []
+    for o, m, lo, hi in blocks:
+        at += [lo, hi] if hi > lo else [lo]
+        p += [o / m] * (2 if hi > lo else 1)
+    return np.array(at), np.array(p)
+
+
+class Model:
+    """Trees on all labels and the calibration learnt on cross-fold scores."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> None:
+        self.share = float(y.mean()) if len(y) else 0.0
+        self.trees = None
+        if 0 < y.sum() < len(y):
+            seen = np.zeros(len(y))
+            for k in range(FOLDS):
+                held = fold == k
+                if held.any() and not held.all():
+                    seen[held] = Trees(x[~held], y[~held]).raw(x[held])
+            self.trees, self.curve = Trees(x, y), isotonic(seen, y)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.interp(self.trees.raw(x), *self.curve) if self.trees else np.full(len(x), self.share)
 
 
 def majority(labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -210,27 +331,25 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, key
     ties teach nothing; without labels of both kinds every score is the share of ones (0
     without any). An empty table gives an empty result.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
-
-    scratch = Scratch(spark, "abuse")
-    table, _ = scratch.write(feature_table(docs, key, text, list(keep)))
     chosen = majority(labels, key, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    known = table.join(F.broadcast(chosen), "doc_id")  # at most max_labels rows of two numbers
-    known = known.dropDuplicates(["doc_id"]).select("doc_id", array_to_vector("f").alias("features"), "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("fold"))
-    known, _ = scratch.write(known.coalesce(2))
-    named = [F.col(f"keep_{c}").alias(c) for c in keep]
-    facts = known.groupBy("fold", "y").count().collect()  # at most eight rows
-    n = sum(r["count"] for r in facts)
-    ones = sum(r["count"] for r in facts if r.y == 1)
-    enough = lambda folds, least: all(sum(r["count"] for r in facts if r.y == y and r.fold in folds) >= least for y in (0.0, 1.0))
-    if not enough((1, 2, 3), 2 * LEAF):
-        return table.select("doc_id", *named, F.lit(ones / n if n else 0.0).alias("score"))
-    trees = GBTClassifier(featuresCol="features", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.15, subsamplingRate=0.8, minInstancesPerNode=LEAF, maxBins=64, seed=17, checkpointInterval=-1).fit(known.where("fold > 0"))
-    raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    scored = raw(table.withColumn("features", array_to_vector("f")))
-    if not enough((0,), 5):
-        return scored.select("doc_id", *named, F.col("raw").alias("score"))
-    curve = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="score").fit(raw(known.where("fold = 0")))
-    return curve.transform(scored.drop("prediction")).select("doc_id", *named, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("score"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "y", "f"])
+
+    # at most max_labels rows of a few numbers are broadcast, and come back with their features
+    known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = known.select("doc_id", "y", "text").mapInArrow(measure, f"doc_id {kind}, y double, f array<double>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)))
+    known = known.groupBy("doc_id").agg(F.min(F.struct("fold", "y", "f")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.*").collect()
+    x = np.array([r.f for r in known]).reshape(len(known), len(FEATURES))
+    model = Model(x, np.array([r.y for r in known]), np.array([r.fold for r in known]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(model.score(f), pa.float64())], names=["doc_id", *keep, "score"])
+
+    kept = [F.col(c).cast("string").alias(f"keep_{i}") for i, c in enumerate(keep)]
+    schema = f"doc_id {kind}, " + "".join(f"`{c}` string, " for c in keep) + "score double"
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *kept).mapInArrow(run, schema)

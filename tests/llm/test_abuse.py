@@ -52,3 +52,25 @@ def test_without_labels_and_empty(spark):
 def test_majority(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (2, 1), (3, None), (None, 1), (4, 7)], "doc_id bigint, toxic int")
     assert [(r.doc_id, r.y) for r in abuse.majority(labels, "doc_id", "toxic").collect()] == [(1, 1.0)]
+
+
+def test_few_labels_still_tell_documents_apart(spark):
+    rows = corpus(400, 5)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.score for r in abuse.score_documents(spark, docs, spark.createDataFrame([(r[0], r[3]) for r in rows[:40]], "doc_id bigint, toxic int")).collect()}
+    assert sum((got[r[0]] >= 0.5) == bool(r[3]) for r in rows) >= 0.97 * len(rows)
+
+
+def test_attacks_of_other_wording():
+    for t in ("You people are subhuman.", "I will slit your throat.", "I hope they all burn.", "Drive them all out.", "Send me a nude.", "Ich werde dich umbringen.", "Te voy a matar.", "Ils sont des parasites."):
+        assert at(t, "attack") > 0, t
+    for t in ("The deceased was found hanging.", "He cut the rope with a knife.", "The accused hit the victim on the head."):
+        assert at(t, "attack") == 0, t
+    assert at("What is this?! Really?!", "punctuation") > 0
+
+
+def test_isotonic_pools_violators():
+    import numpy as np
+
+    x, p = abuse.isotonic(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert list(x) == [1.0, 2.0, 3.0, 4.0] and list(p) == [0.0, 0.5, 0.5, 1.0]
