@@ -88,7 +88,7 @@ def _near(a: list[str], b: list[str], gap: int, either: bool = True) -> str:
 
 #: Threat, wish of harm, dismissal, people called vermin, people to be driven out, sexual demand.
 ATTACKS = (
-    rf"{_class(HARM)}(?: \w+){{0,2}} {_class([w for w in SECOND if w not in ('du', 'ti', 'tu', 'te')])}(?: \w+){{0,2}}(?: {_class(BODY)})?", rf"(?:{_class([w for w in SECOND if len(w) > 2])} {_class(BODY)} (?:\w+ ){{0,2}}(?:in|off|open|out|smashed|kicked|broken|ein|auf|casser|romper))|(?:te|te la|te voy a|je vais te|ich werde dir) {_class(HARM)}",
+    rf"{_class(HARM)}(?: \w+){{0,2}} {_class([w for w in SECOND if w not in ('du', 'ti', 'tu', 'te')])}(?: \w+){{0,2}}(?: {_class(BODY)})?", rf"(?:{_class([w for w in SECOND if len(w) > 2])} {_class(BODY)} (?:\w+ ){{0,2}}(?:in|off|open|out|smashed|kicked|broken|ein|auf|casser|romper))|(?:te|te la|te voy a|je vais te|ich werde dir) {_class(HARM)}|(?:ich|wir) \w+ (?:dich|euch|dir)(?: \w+){{0,3}} {_class(HARM)}",
     _near(WISH, DEATH, 4, False), "|".join(DISMISS),
     rf"{_class(GROUP)}(?: \w+){{0,6}} (?:are|is|were|son|es|sont|est|sind|ist)(?: \w+){{0,4}} {_class(sorted({*VERMIN, *SLIGHT}))}",
     rf"{_class(OUT)}(?: \w+){{0,2}} {_class(GROUP)}|{_class(GROUP)}(?: \w+){{0,5}} {_class(OUT)}",
