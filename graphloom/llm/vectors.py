@@ -6,15 +6,18 @@ It has two parts. The first ``coarse`` functions name the bucket that is shuffle
 each vector is sent once a table. The remaining ``fine`` functions are looked up
 inside the bucket, where a query visits its own cell and then the cells its
 coordinates lie closest to, in the order of estimated success of the perturbation
-sets (Lv et al., VLDB 2007). What is sent is 24 bytes a vector and table, the fine
-coordinates and a 128-bit sign sketch; the sketch sieves a cell's members before
-anything is reported. The candidates of all tables are merged and every one is
-verified by exact cosine on the full vectors.
-
-The number of functions grows with the logarithm of the number of vectors, so a
-cell holds a constant number of unrelated vectors at any size. Exact copies are
-taken together first: of a group of equal vectors only the first few ids can be
-among the nearest ones of anything.
+sets (Lv et al., VLDB 2007). What is sent is 36 bytes a vector and table: the fine
+coordinates and a 128-bit sign sketch of the table's own, which sieves a cell's members before
+anything is reported; what one table's sketch loses another one may find. The candidates of all
+tables are merged and every one is verified by exact cosine on the full vectors.
+
+The coarse functions divide the vectors into buckets of ``BUCKET`` unrelated ones at any
+size, by their number and by the width of their cells (``plan``). The more of them there are, the
+less often a near pair agrees on all; so the number of tables grows with the number of
+vectors until a pair at the very threshold is found with probability ``TARGET``. (Sending a query
+to a second coarse bucket costs as much as a further table and finds less, so only
+the fine part is probed.) Exact copies are taken together first: of a group of equal
+vectors only the first few ids can be among the nearest ones of anything.
 """
 
 from __future__ import annotations
@@ -31,22 +34,71 @@ from pyspark.sql import functions as F
 
 from ..shared import Scratch
 
-#: Tables, width of a cell in units of a unit vector's projection, and perturbation sets tried after the own cell.
-TABLES, WIDTH, PROBES = 9, 1.2, 32
+#: Tables at least, width of a fine cell in units of a unit vector's projection, and perturbation sets tried after the own cell.
+TABLES, WIDTH, PROBES = 9, 1.2, 64
+#: Probability with which a pair at the threshold is to be found.
+TARGET = 0.96
 #: Fine coordinates are sent in sixteenths of a cell.
 STEP = 16
-#: Vectors a coarse bucket should hold.
-BUCKET = 40_000
+#: Unrelated vectors a coarse bucket should hold.
+BUCKET = 100_000
+#: Standard deviations by which a near pair's sketches may differ more than expected.
+SLACK = 1.5
 #: Query-candidate pairs compared at once, which bounds memory in a bucket of any size.
 BLOCK = 2_000_000
 
 
-def parameters(n: int) -> tuple[int, int]:
-    """(coarse, fine) numbers of functions for ``n`` vectors: unrelated vectors agree on one with probability about 0.32."""
-    p = math.log(1 / 0.32)
-    coarse = max(1, math.ceil(math.log(max(n, 2) / BUCKET) / p)) if n > BUCKET else 0
-    fine = max(4, min(8, math.ceil(math.log(max(n / 0.32 ** -coarse, 2)) / p)))
-    return coarse, fine
+def agreement(distance: float, width: float) -> float:
+    """Probability that two vectors at this distance agree on one function (Datar et al., SoCG 2004)."""
+    t = width / max(distance, 1e-9)
+    return math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
+
+
+def coarse_part(n: int, least: float, bucket: int = BUCKET) -> tuple[int, float, float]:
+    """(functions, width of a cell, probability that a pair at the threshold agrees on all) dividing ``n`` unrelated vectors into buckets."""
+    if n <= bucket:
+        return 0, WIDTH, 1.0
+    best = (0, WIDTH, 0.0)
+    for k in range(1, 33):
+        lo, hi = 0.05, 200.0
+        for _ in range(60):
+            w = (lo + hi) / 2
+            lo, hi = (lo, w) if agreement(math.sqrt(2), w) ** k > bucket / n else (w, hi)
+        p = agreement(math.sqrt(2 - 2 * least), lo) ** k
+        if p > best[2] and lo > 0.5:
+            best = (k, lo, p)
+    return best
+
+
+def planted(n: int, cosine: float, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` pairs of unit vectors of this very cosine."""
+    rng = np.random.default_rng([seed, n])
+    x, z = rng.standard_normal((n, dim)), rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    return x.astype(np.float32), (cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z).astype(np.float32)
+
+
+def fine_success(least: float, fine: int, probes: int, width: float, dim: int, seed: int, n: int = 2_000) -> float:
+    """Share of planted pairs at the threshold that one table finds inside their common bucket."""
+    x, y = planted(n, least, max(dim, 2), seed)
+    ids = np.arange(2 * n)
+    sets, limit = perturbations(fine, probes), hamming_limit(least)
+    both = np.concatenate([x, y])
+    _, _, q = next(encode(both, 1, 0, fine, 1.0, width, seed))
+    found = np.zeros(n, bool)
+    for a, b in bucket_pairs(ids, q, sketch(both, seed), sets, limit, seed):
+        found[a[b - a == n]] = True
+    return float(found.mean())
+
+
+def plan(n: int, least: float, dim: int, width: float = WIDTH, probes: int = PROBES, tables: int = TABLES, seed: int = 11) -> tuple[int, float, int, int]:
+    """(coarse functions, their width, fine functions, tables) for ``n`` vectors of ``dim`` numbers."""
+    coarse, wide, share = coarse_part(n, least)
+    fine = max(4, min(8, math.ceil(math.log(max(min(n, BUCKET), 2)) / -math.log(agreement(math.sqrt(2), width)))))
+    hit = min(0.999, share * fine_success(least, fine, probes, width, dim, seed))
+    return coarse, wide, fine, max(tables, math.ceil(math.log(1 - TARGET) / math.log(1 - hit))) if hit > 0 else tables
 
 
 def perturbations(fine: int, probes: int) -> list[tuple[int, ...]]:
@@ -64,9 +116,9 @@ def perturbations(fine: int, probes: int) -> list[tuple[int, ...]]:
     return [s for _, s in sorted(sets)[:probes]]
 
 
-def directions(dim: int, table: int, coarse: int, fine: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def directions(dim: int, table: int, coarse: int, fine: int, wide: float, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, table, dim])
-    a = rng.standard_normal((dim, coarse + fine)).astype(np.float32) / width
+    a = rng.standard_normal((dim, coarse + fine)).astype(np.float32) / np.array([wide] * coarse + [width] * fine, np.float32)
     return a, rng.uniform(0, 1, coarse + fine).astype(np.float32)
 
 
@@ -83,10 +135,10 @@ def _mix(codes: np.ndarray, seed: int) -> np.ndarray:
         return (codes.astype(np.int64) * r).sum(axis=1, dtype=np.int64)
 
 
-def encode(x: np.ndarray, tables: int, coarse: int, fine: int, width: float, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encode(x: np.ndarray, tables: int, coarse: int, fine: int, wide: float, width: float, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per table: (table, bucket of each row, fine coordinates in sixteenths as int8)."""
     for t in range(tables):
-        a, b = directions(x.shape[1], t, coarse, fine, width, seed)
+        a, b = directions(x.shape[1], t, coarse, fine, wide, width, seed)
         y = x @ a + b
         bucket = _mix(np.floor(y[:, :coarse]), seed + 1 + t) if coarse else np.zeros(len(x), np.int64)
         yield t, bucket, np.clip(np.floor(y[:, coarse:] * STEP), -128, 127).astype(np.int8)
@@ -99,9 +151,9 @@ def sketch(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def hamming_limit(cosine: float) -> int:
-    """Differing signs a pair of at least this cosine stays within but for one case in a thousand."""
+    """Differing signs a near pair's sketches may have at most: ``SLACK`` standard deviations above the expected number."""
     p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    return math.ceil(128 * p + 3.1 * math.sqrt(128 * p * (1 - p)) + 1)
+    return math.ceil(128 * p + SLACK * math.sqrt(128 * p * (1 - p)))
 
 
 def bucket_pairs(ids: np.ndarray, q: np.ndarray, sk: np.ndarray, probes: list[tuple[int, ...]], limit: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,7 +210,7 @@ def similar_pairs(spark: SparkSession, vectors: DataFrame, k: int, least: float,
     if facts is None:
         return empty
     n, dim = facts.n, facts.dim
-    coarse, fine = parameters(n)
+    coarse, wide, fine, tables = plan(n, least, dim, width, probes, tables, seed)
     sets, limit = perturbations(fine, probes), hamming_limit(least)
 
     # copies: of a group of equal vectors the first k + 1 ids stand for all
@@ -183,12 +235,12 @@ def similar_pairs(spark: SparkSession, vectors: DataFrame, k: int, least: float,
             x = _matrix(batch.column(1))
             x = x / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-300).astype(np.float32)
             h = batch.column(0)
-            sk = sketch(x, seed).view(np.int64)
-            for t, bucket, q in encode(x, tables, coarse, fine, width, seed):
+            for t, bucket, q in encode(x, tables, coarse, fine, wide, width, seed):
+                sk = sketch(x, seed + t).view(np.int64)
                 pad = np.zeros((len(q), 8), np.int8)
                 pad[:, :fine] = q
                 with np.errstate(over="ignore"):
-                    key = bucket * np.int64(31) + np.int64(t)
+                    key = ((bucket + np.int64(t)) * np.int64(-7046029254386353131) >> np.int64(32)).astype(np.int32)  # buckets of one key only meet needlessly
                 yield pa.RecordBatch.from_arrays([pa.array(key), h, pa.array(pad.view(np.int64)[:, 0]), pa.array(np.ascontiguousarray(sk[:, 0])), pa.array(np.ascontiguousarray(sk[:, 1]))], names=["bucket", "h", "q", "s0", "s1"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +298,7 @@ def similar_pairs(spark: SparkSession, vectors: DataFrame, k: int, least: float,
         if held:
             yield from search([np.concatenate(c) for c in zip(*held)])
 
-    rows = kept.select(F.xxhash64("id").alias("h"), "embedding").mapInArrow(hashes, "bucket bigint, h bigint, q bigint, s0 bigint, s1 bigint")
+    rows = kept.select(F.xxhash64("id").alias("h"), "embedding").mapInArrow(hashes, "bucket int, h bigint, q bigint, s0 bigint, s1 bigint")
     pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(candidates, "ha bigint, hb bigint").distinct()
 
     # exact reranking; ids are looked up by their hash, so a clash of hashes only adds rows that are verified too

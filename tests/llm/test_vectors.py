@@ -48,4 +48,18 @@ def test_perturbations_are_valid_and_ordered():
     sets = vectors.perturbations(6, 50)
     assert len(sets) == 50 and sets[0] == (0,)
     assert all(11 - j not in s for s in sets for j in s)
-    assert vectors.parameters(10**9)[0] > vectors.parameters(10**5)[0]
+
+
+def test_tables_grow_so_that_recall_does_not_fall():
+    """Planted pairs of cosine 0.90 through the very hashes of each size."""
+    x, y = vectors.planted(1_500, 0.9, 64, 3)
+    both, ids = np.concatenate([x, y]), np.arange(3_000)
+    for n in (200_000, 2_000_000, 20_000_000, 200_000_000):
+        coarse, wide, fine, tables = vectors.plan(n, 0.9, 64)
+        assert n * vectors.agreement(2**0.5, wide) ** coarse <= 1.05 * max(vectors.BUCKET, n if not coarse else 0)
+        found = np.zeros(1_500, bool)
+        for t, bucket, q in vectors.encode(both, tables, coarse, fine, wide, vectors.WIDTH, 11):
+            for a, b in vectors.bucket_pairs(ids, q, vectors.sketch(both, 11 + t), vectors.perturbations(fine, vectors.PROBES), vectors.hamming_limit(0.9), 11):
+                hit = (b - a == 1_500) & (bucket[a] == bucket[b])
+                found[a[hit]] = True
+        assert found.mean() >= 0.95, n
