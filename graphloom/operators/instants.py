@@ -1,19 +1,21 @@
 """Moments written in many ways to one instant each.
 
-Every written moment is read under all formats that fit it; each reading that
-names a possible instant is an *interpretation* (format, microseconds, cost).
-Where several remain, the choice is made jointly over each source's records in
-the order they came, by Viterbi: an interpretation costs what its reading
-departs from what is known of the source, and a step from one record to the next
-costs ``SWITCH`` if the format of an ambiguous kind changes and up to ``BACK`` if
-time runs backwards.
+Every written moment is read under all formats that fit it; each reading is an
+*interpretation* (format, microseconds, cost). Among them are readings a clock showed
+twice or never: they compete like all others, and where one wins the record names no instant.
+The choice is made jointly over each source's records in the order they came, by
+Viterbi: an interpretation costs what its reading departs from what is known of
+the source (``AGAINST``), and a step from one record to the next costs ``SWITCH`` if the order
+of day and month changes and up to ``BACK`` if time runs backwards. A record that
+shows no order (a month in letters, a year first) carries the order of those before it
+on, so a source's habit is learnt from all its records even where nothing is known of it.
 
 The chain of a source is cut into the partitions of one range partitioning by
 (source, order), so a source that holds a third of all rows is spread over many
 tasks. Minimal costs of paths are a (min, +) matrix product and thus associative:
 a first pass reduces each partition's part of a source to a matrix between the
 interpretations of its first and of its last record, the driver chains these few
-matrices (one per partition and source in it) and fixes the end points, a second
+matrices (two a partition at most, for other sources lie in one partition) and fixes the end points, a second
 pass traces the best path inside. The result equals Viterbi over the unbroken chain.
 """
 
@@ -35,7 +37,10 @@ SWITCH = 1.0
 #: Cost of a step back in time of a year or more; shorter steps cost proportionally less.
 BACK = 0.5
 #: Cost of a reading that contradicts the known habit of the source (its date order).
-AGAINST = 1e6
+AGAINST = 3.0
+ORDERS = ("DMY", "MDY")
+#: Marks a reading that the clock showed twice or never.
+NEVER = "never:"
 
 # English month and weekday names, day ordinals.
 MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
@@ -109,23 +114,21 @@ def _micros(local: datetime, minutes: int) -> int:
     return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
 
 
-def _on_clock(local: datetime, tz_name: str | None) -> int | None:
-    """The instant a zoneless clock reading names, if it names exactly one."""
+def _on_clock(local: datetime, tz_name: str | None) -> tuple[int, bool] | None:
+    """(instant of a zoneless clock reading, whether it names exactly one); None without a known zone."""
     zone = _zone(tz_name)
     if zone is None:
         return None
     first, second = local.replace(tzinfo=zone).utcoffset(), local.replace(tzinfo=zone, fold=1).utcoffset()
-    if first != second:  # read twice, or skipped
-        return None
-    return _micros(local, 0) - int(first.total_seconds()) * 1_000_000
+    return _micros(local, 0) - int(first.total_seconds()) * 1_000_000, first == second
 
 
 def interpretations(text: str | None, tz_name: str | None, date_order: str | None) -> list[tuple[str, int, float]]:
-    """(format, instant in microseconds, cost) of every valid reading, in a fixed order."""
+    """(format, instant in microseconds, cost) of every valid reading, in a fixed order; ``NEVER`` leads formats of clock readings that name no one instant."""
     text = " ".join((text or "").split())
     if _EPOCH.match(text):
         return [("epoch", int(text) * (1_000_000 if len(text) == 10 else 1_000), 0.0)]
-    if len(text) > 80 or not _DIGITS.search(text):
+    if not _DIGITS.search(text):
         return []
     out: dict[tuple[str, int], float] = {}
     for name, pattern in FORMATS:
@@ -143,7 +146,7 @@ def interpretations(text: str | None, tz_name: str | None, date_order: str | Non
         if g.get("n1"):
             a, b, year = int(g["n1"]), int(g["n2"]), int(g["ny"])
             year += 2000 if len(g["ny"]) == 2 else 0
-            known = date_order if date_order in ("DMY", "MDY") else None
+            known = date_order if date_order in ORDERS else None
             dates = [(f"{name}_{order}", year, mo, d, AGAINST if known not in (None, order) else 0.0) for order, d, mo in (("DMY", a, b), ("MDY", b, a))]
             if known is not None and a != b and not any(_possible(y, mo, d) for _, y, mo, d, cost in dates if not cost):
                 dates = []  # the source's own order makes it an impossible date
@@ -156,8 +159,9 @@ def interpretations(text: str | None, tz_name: str | None, date_order: str | Non
             local = datetime(year, month, day, hour, minute, second, micro)
             zone = (g.get("z") or "").strip()
             if not zone:
-                us = _on_clock(local, tz_name)
-                found = [us] if us is not None else []
+                at = _on_clock(local, tz_name)
+                found = [at[0]] if at else []
+                label = label if not at or at[1] else NEVER + label
             elif (minutes := _offset(zone)) is not None:
                 found = [_micros(local, minutes)]
             else:
@@ -175,10 +179,14 @@ def _possible(year: int, month: int, day: int) -> bool:
     return True
 
 
+def states(found: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
+    """The interpretations of one record, each under every order of day and month it leaves open (``|DMY``, ``|MDY``)."""
+    return [(f if f[-3:] in ORDERS else f"{f}|{o}", us, c) for f, us, c in found for o in (ORDERS if f[-3:] not in ORDERS else (None,))]
+
+
 def _step(a: tuple[str, int], b: tuple[str, int]) -> float:
     """Cost of reading one record as ``b`` after reading the one before as ``a``."""
-    fa, fb = a[0].rpartition("_")[2], b[0].rpartition("_")[2]
-    cost = SWITCH if fa != fb and fa in ("DMY", "MDY") and fb in ("DMY", "MDY") else 0.0
+    cost = SWITCH if a[0][-3:] != b[0][-3:] else 0.0
     back = a[1] - b[1]
     return cost + (BACK * min(1.0, back / 31_536_000_000_000) if back > 0 else 0.0)
 
@@ -224,7 +232,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (w, tz, order) in enumerate(zip(cols["written"], cols["tz_name"], cols["date_order"])):
             if x := interpretations(w, tz, order):
                 keep.append(i)
-                found.append(x)
+                found.append(states(x))
         yield pa.RecordBatch.from_arrays(
             [pa.array([cols["source"][i] for i in keep], pa.string()), pa.array([cols["record_key"][i] for i in keep], pa.string()), pa.array([pid] * len(keep), pa.int32()), pa.array([[y[0] for y in x] for x in found], pa.list_(pa.string())), pa.array([[y[1] for y in x] for x in found], pa.list_(pa.int64())), pa.array([[y[2] for y in x] for x in found], pa.list_(pa.float64()))],
             names=["source", "record_key", "pid", "fmts", "us", "costs"],
@@ -232,7 +240,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chains(batches: Iterator[pa.RecordBatch]):
-    """(source, pid, keys, chain) of each run of one source in a partition, at most ``_BLOCK`` records at a time."""
+    """(source, pid, keys, chain) of each run of one source in a partition."""
     source, pid, keys, chain, started = None, 0, [], [], False
     for batch in batches:
         rows = zip(*(batch.column(n).to_pylist() for n in ("source", "pid", "record_key", "fmts", "us", "costs")))
@@ -248,13 +256,23 @@ def _chains(batches: Iterator[pa.RecordBatch]):
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for source, pid, _, chain in _chains(batches):
+    """The first and the last run of a partition, which alone may go on in another one."""
+    rows, last = [], None
+
+    def summary(source, pid, chain) -> dict:
         matrix = []
         for i in range(len(chain[0])):
             start = [x[2] if i == j else float("inf") for j, x in enumerate(chain[0])]
             matrix.append(_forward(start, chain)[0])
-        rows.append({"source": source, "pid": pid, "fmts0": [x[0] for x in chain[0]], "us0": [x[1] for x in chain[0]], "fmts1": [x[0] for x in chain[-1]], "us1": [x[1] for x in chain[-1]], "matrix": matrix})
+        return {"source": source, "pid": pid, "fmts0": [x[0] for x in chain[0]], "us0": [x[1] for x in chain[0]], "fmts1": [x[0] for x in chain[-1]], "us1": [x[1] for x in chain[-1]], "matrix": matrix}
+
+    for source, pid, _, chain in _chains(batches):
+        if not rows:
+            rows.append(summary(source, pid, chain))
+        else:
+            last = (source, pid, chain)
+    if last:
+        rows.append(summary(*last))
     schema = pa.schema([("source", pa.string()), ("pid", pa.int32()), ("fmts0", pa.list_(pa.string())), ("us0", pa.list_(pa.int64())), ("fmts1", pa.list_(pa.string())), ("us1", pa.list_(pa.int64())), ("matrix", pa.list_(pa.list_(pa.float64())))])
     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -265,8 +283,10 @@ SUMMARY = "source string, pid int, fmts0 array<string>, us0 array<bigint>, fmts1
 def _ends(parts: list) -> dict[tuple[str | None, int], tuple[int, int]]:
     """First and last choice of each part, from the parts' matrices in order: Viterbi over the parts."""
     fixed: dict[tuple[str | None, int], tuple[int, int]] = {}
-    for source in dict.fromkeys(p.source for p in parts):
-        own = sorted((p for p in parts if p.source == source), key=lambda p: p.pid)
+    by_source: dict[str | None, list] = {}
+    for p in sorted(parts, key=lambda p: p.pid):
+        by_source.setdefault(p.source, []).append(p)
+    for source, own in by_source.items():
         costs = [0.0] * len(own[0].us0)
         trace, before = [], None
         for p in own:
@@ -300,13 +320,14 @@ def resolve_instants(spark: SparkSession, df: DataFrame) -> DataFrame:
     rows = df.where(F.col("record_key").isNotNull() & F.col("written").isNotNull()).select("source", "seq", "record_key", "written", "tz_name", "date_order")
     ordered = rows.repartitionByRange("source", "seq", "record_key").sortWithinPartitions("source", "seq", "record_key")
     parsed = ordered.drop("seq").mapInArrow(_parse, PARSED).checkpoint()  # keeps partitions and their order
-    fixed = _ends(parsed.mapInArrow(_summaries, SUMMARY).collect())  # one row per partition and source in it
+    fixed = _ends(parsed.mapInArrow(_summaries, SUMMARY).collect())  # two rows a partition at most
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, pid, keys, chain in _chains(batches):
-            picked = [x[i] for x, i in zip(chain, viterbi(chain, *fixed[source, pid]))]
-            for i in range(0, len(keys), 50_000):
+            best = viterbi(chain, *fixed.get((source, pid), (None, None)))
+            picked = [(k, x[i][1], x[i][0].partition("|")[0]) for k, x, i in zip(keys, chain, best) if not x[i][0].startswith(NEVER)]
+            for i in range(0, len(picked), 50_000):
                 part = picked[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.string()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[0] for x in part], pa.string())], names=["record_key", "instant_us", "fmt"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.string())], names=["record_key", "instant_us", "fmt"])
 
     return parsed.mapInArrow(choose, "record_key string, instant_us bigint, fmt string")
