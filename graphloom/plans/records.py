@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import instants, nested
 from ..session import tune
+from ..shared import Scratch
 from ..sources.tables import table
 
 #: Outermost arrays of a postmortem document, and all arrays whose objects get rows.
@@ -20,28 +21,47 @@ def _reports(spark: SparkSession, folder: str) -> DataFrame:
     return nested.latest(table(spark, folder, "postmortem_reports", ["report_id", "payload", "received_at"]), "report_id", "received_at", ["payload"])
 
 
+def _layout(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[str, str, bool]], dict[str, str]]:
+    """The objects of all reports as written down, their schema graph and its plan."""
+    found, _ = Scratch(spark, "nested").write(nested.objects(_reports(spark, folder), "report_id", "payload"))
+    graph = nested.schema_graph(found)
+    return found, graph, nested.relation_plan(graph)
+
+
+def objects_of(rows: DataFrame, plan: dict[str, str]) -> DataFrame:
+    """(report_id, path, label) from the tables of a plan: rows of those that have one, and what is inlined into a row, through it."""
+    label = lambda element, vals: F.coalesce(*[F.when(element == e, vals.getItem(v)) for e, v in LABEL.items()], F.lit(""))
+    own = rows.where(F.col("element").isin([e for e in ELEMENTS if e in plan])).select(F.col("doc_key").alias("report_id"), "path", label(F.col("element"), F.col("vals")).alias("label"))
+    inside = rows.select("doc_key", "path", F.explode("inlined").alias("x")).withColumn("element", F.element_at("x.names", -1)).where(F.col("element").isin([e for e in ELEMENTS if e not in plan]))
+    below = F.array_join(F.transform("x.names", lambda n: F.concat(n, F.lit("[0]"))), ".")
+    inside = inside.select(F.col("doc_key").alias("report_id"), F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), below).alias("path"), label(F.col("element"), F.col("x.vals")).alias("label"))
+    return own.unionByName(inside)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """(report_id, path, label): one row per object of the seven arrays.
 
-    The layout is read from the documents; of the elements that get tables by the
-    shared-inlining rule, and of the seven arrays even where each holds one object
-    only, those below an outermost array are emitted.
+    The layout is read from the documents; an element that has a table by the
+    shared-inlining rule gives that table's rows, one that was inlined is read out of the
+    row it was inlined into.
     """
     tune(spark)
-    reports = _reports(spark, folder)
-    graph = nested.schema_graph(reports)
-    plan = nested.relation_plan(graph)
-    names = {child for _, child, _ in graph}
-    rows = nested.flatten(reports, "report_id", "payload", [e for e in ELEMENTS if e in plan or e in names], ROOTS)
-    label = F.coalesce(*[F.when(F.col("element") == e, F.col("vals").getItem(v)) for e, v in LABEL.items()], F.lit(""))
-    return rows.select(F.col("doc_key").alias("report_id"), "path", label.alias("label"))
+    found, _, plan = _layout(spark, folder)
+    return objects_of(nested.relations(found, plan, ROOTS), plan)
+
+
+def p2_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(report_id, element, path, parent_element, parent_path, position, n_values, n_inlined): all rows of all tables with their foreign keys."""
+    tune(spark)
+    found, _, plan = _layout(spark, folder)
+    rows = nested.relations(found, plan)
+    return rows.select(F.col("doc_key").alias("report_id"), "element", "path", "parent_element", "parent_path", "position", F.size("vals").alias("n_values"), F.size("inlined").alias("n_inlined"))
 
 
 def p2_layout(spark: SparkSession, folder: str) -> DataFrame:
     """(parent, child, repeated, relation): the schema graph and what the shared-inlining rule makes of each element."""
     tune(spark)
-    graph = nested.schema_graph(table(spark, folder, "postmortem_reports", ["payload"]))
-    plan = nested.relation_plan(graph)
+    _, graph, plan = _layout(spark, folder)
     return spark.createDataFrame([(p, c, m, plan.get(c, "inlined")) for p, c, m in graph], "parent string, child string, repeated boolean, relation string")
 
 
@@ -77,4 +97,4 @@ def p4_formats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_layout": p2_layout, "p4_found": p4_found, "p4_formats": p4_formats}
+    return {"p2_found": p2_found, "p2_tables": p2_tables, "p2_layout": p2_layout, "p4_found": p4_found, "p4_formats": p4_formats}
