@@ -3,29 +3,33 @@
 A shingle is ``SHINGLE`` words. The shingles of an item are ordered by rarity, the
 number of documents of the whole corpus they occur in. A document that holds the
 required part of an item shares at least a fraction ``OVERLAP`` of its shingles, so it
-must share one of the rarest ``n - ceil(OVERLAP n) + 1``: the item's prefix. Documents
-are joined with items on these, candidates too short for the required part are
-left out, and so are those that share fewer shingles, or shared shingles in places that
-bound the passages below it.
+must share one of the rarest ``n - ceil(OVERLAP n) + 1``: the item's prefix. What the prefix
+leaves out are an item's commonest shingles, those of turns of phrase that stand in a large part of
+the corpus. Documents are joined with items by equality on prefix shingles; candidates too
+short for the required part are left out, and so are those that share fewer shingles, or shared
+shingles in places that bound the passages below it.
 What remains is verified by aligning document and item, word by word, in windows of
 the item's size around the shared places, all of them; the two best coherent passages count.
 
-The items are a query set: they are sent to the documents in blocks of bounded size
-(``ITEM_WORDS``), so no document is ever shuffled.
+The corpus is read once, whatever the number of items: a bitmap of ``BITMAP`` bits, marked where
+the hash of a shingle of any item falls, goes to the tasks, and of a document only its shingles
+that hit a marked bit are joined. A bitmap never misses a shingle; what it lets
+through needlessly the join removes. Items and documents meet in joins only, never on the driver.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import Scratch
@@ -34,8 +38,8 @@ from ..shared import Scratch
 SHINGLE, SEED = 5, 3
 #: Part of an item's shingles that survive in a document holding the required part of its words, changed in places.
 OVERLAP = 0.06
-#: Words of items sent to the documents at once.
-ITEM_WORDS = 200_000
+#: Bits (as a power of two) of the bitmap of item shingles: what is sent to every task is an eighth of 2 ** BITMAP bytes, whatever the items.
+BITMAP = 26
 #: A passage counts from this many matching words on; shorter ones are turns of phrase.
 PASSAGE = 12
 #: Words the seeds of a passage cover at least.
@@ -97,8 +101,8 @@ class Item:
             for d in deletions(w):
                 self.slips.setdefault(d, []).append(w)
 
-    def matches(self, doc: list[str]) -> np.ndarray:
-        """Word by word, whether document and item agree."""
+    def matches(self, doc: list[str]) -> list[np.ndarray]:
+        """For each word of the document, where it agrees with the item's words; equal words share one array."""
         rows: dict[str, np.ndarray] = {}
         for w in doc:
             if w not in rows:
@@ -106,44 +110,65 @@ class Item:
                     slips = {x for d in deletions(w) if d in self.slips for x in self.slips[d] if near(w, x)}
                     row = np.logical_or.reduce([self.rows[x] for x in slips]) if slips else self.none
                 rows[w] = row
-        return np.stack([rows[w] for w in doc]) if doc else np.zeros((0, len(self.words)), bool)
+        return [rows[w] for w in doc]
 
 
-#: A cell of the alignment is one number: score, matching words, and where it began in document and item.
-_SCORE, _MATCH, _ROW, _PLACE = 1 << 44, 1 << 30, 1 << 15, (1 << 15) - 1
+#: A cell of the alignment is one number: score and, among equal scores, matching words.
+_SCORE = 1 << 31
 
 
-def align(agree: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment (match 1, change or gap -2): (matching words, document from, to, item from, to)."""
-    n = agree.shape[1]
-    places = np.arange(n + 1, dtype=np.int64)
-    slope = 2 * _SCORE * places
-    prev = places.copy()
-    best, end = 0, (0, 0)
+def _sweep(agree: list[np.ndarray], n: int, local: bool, wanted: int | None = None) -> tuple[int, int, int]:
+    """(best cell, words of the document, of the item up to it); not ``local``: from the very first words on, until ``wanted`` is reached."""
+    slope = 2 * _SCORE * np.arange(n + 1, dtype=np.int64)
+    prev = np.zeros(n + 1, np.int64) if local else -slope
+    best = (0, 0, 0)
     for i, row in enumerate(agree, 1):
-        fresh = i * _ROW + places
-        now = fresh.copy()
-        np.maximum(np.where(row, prev[:-1] + (_SCORE + _MATCH), prev[:-1] - 2 * _SCORE), prev[1:] - 2 * _SCORE, out=now[1:])
+        now = np.empty(n + 1, np.int64)
+        now[0] = 0 if local else -2 * _SCORE * i
+        np.maximum(np.where(row, prev[:-1] + (_SCORE + 1), prev[:-1] - 2 * _SCORE), prev[1:] - 2 * _SCORE, out=now[1:])
         now = np.maximum.accumulate(now + slope) - slope
-        now = np.where(now < _SCORE, fresh, now)
+        if local:
+            now[now < _SCORE] = 0
         j = int(now.argmax())
-        if now[j] > best and now[j] >= _SCORE:
-            best, end = int(now[j]), (i, j)
+        if now[j] > best[0]:
+            best = (int(now[j]), i, j)
+            if wanted is not None and best[0] >= wanted:
+                break
         prev = now
-    return best % _SCORE // _MATCH, best % _MATCH // _ROW, end[0], best & _PLACE, end[1]
+    return best
+
+
+def align(agree: list[np.ndarray]) -> tuple[int, int, int, int, int]:
+    """Best local alignment (match 1, change or gap -2): (matching words, document from, to, item from, to)."""
+    n = len(agree[0]) if len(agree) else 0
+    value, i, j = _sweep(agree, n, True)
+    if not value:
+        return 0, 0, 0, 0, 0
+    # where it began: the same way back from its end
+    _, di, dj = _sweep([r[:j][::-1] for r in agree[:i][::-1]], j, False, value)
+    return value % _SCORE, i - di, i, j - dj, j
 
 
 def chains(hits: list[tuple[int, int]]) -> list[list[int]]:
-    """Seeds (document place, item place) chained where both run on with few words between: [from, to, item from, to, covered, ...]."""
+    """Seeds (document place, item place) chained where both run on with few words between: [from, to, item from, to, covered].
+
+    The end of every chain is kept by its diagonal (document less item place), so whatever
+    else begins in between, a seed finds the nearest chain it goes on.
+    """
     out: list[list[int]] = []
+    ends: dict[int, list[int]] = {}
     for p, q in sorted(hits):
-        for c in reversed(out[-40:]):
-            if 0 < p - c[1] <= 8 and 0 < q - c[3] <= 8 and abs((p - q) - (c[1] - c[3])) <= 3:
-                c[4] += min(SEED, q - c[3])
-                c[1], c[3] = p, q
-                break
+        fits = [c for d in range(p - q - 3, p - q + 4) if (c := ends.get(d)) and 0 < p - c[1] <= 8 and 0 < q - c[3] <= 8]
+        if fits:
+            c = min(fits, key=lambda c: (p - c[1] + q - c[3], c[0]))
+            if ends.get(c[1] - c[3]) is c:
+                del ends[c[1] - c[3]]
+            c[4] += min(SEED, q - c[3])
+            c[1], c[3] = p, q
         else:
-            out.append([p, p, q, q, SEED])
+            c = [p, p, q, q, SEED]
+            out.append(c)
+        ends[p - q] = c
     return out
 
 
@@ -172,92 +197,120 @@ def contained(doc: list[str], item: Item, hits: list[tuple[int, int]]) -> int:
                 passages.append(p)
             if a + lo <= c[0] < b + lo and s <= c[2] < e:
                 break
-            agree[a:b] = False
+            agree[a:b] = [item.none] * (b - a)
     # words of the item that two passages share count once
     best = max((p[0] for p in passages), default=0)
     return max([best, *(p[0] + q[0] - max(0, min(p[4], q[4]) - max(p[3], q[3])) for i, p in enumerate(passages) for q in passages[i + 1 :])])
 
 
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+_ODD = np.array([xxhash.xxh64_intdigest(f"place {i}") | 1 for i in range(SHINGLE)], np.uint64)
+
+
+def shingle_hashes(w: list[str], k: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``k`` words, one a place."""
+    if len(w) < k:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(_word_hash, w), np.uint64, len(w))
+    out = np.full(len(w) - k + 1, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            out += h[i : len(w) - k + 1 + i] * _ODD[i]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+    return out.view(np.int64)
+
+
+@lru_cache(maxsize=512)
+def _item(text: str) -> tuple[Item, dict[str, list[int]], frozenset]:
+    w = text.split(" ")
+    seeds: dict[str, list[int]] = {}
+    for q, s in enumerate(shingles(w, SEED)):
+        seeds.setdefault(s, []).append(q)
+    return Item(w), seeds, frozenset(shingles(w, SHINGLE))
+
+
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", part: float = 0.4) -> DataFrame:
     """(doc_id, item_id, matched, item_words): documents holding at least ``part`` of an item's words in one or two passages.
 
     Null keys and null or empty texts match nothing, items of the same text match alike, a
-    repeated row is reported repeatedly, other columns aren't read, and an empty table on
+    repeated row is reported once, other columns aren't read, and an empty table on
     either side gives an empty result. Items shorter than a shingle count as one shingle.
     """
     scratch = Scratch(spark, "leakage")
-    kinds = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    doc_kind, item_kind = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    schema = f"doc_id {doc_kind}, item_id {item_kind}, matched int, item_words int"
+
+    def read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (w := words(t))]
+            hashes = [np.unique(shingle_hashes(w, min(SHINGLE, len(w)))) for _, w in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], batch.column(0).type), pa.array([" ".join(r[1]) for r in rows], pa.string()), pa.array([len(r[1]) for r in rows], pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["item_id", "item", "size", "hashes"]
+            )
+
+    wanted = items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(item_key, text).mapInArrow(read_items, f"item_id {item_kind}, item string, size int, hashes array<bigint>")
+    wanted, _ = scratch.write(wanted.dropDuplicates(["item_id", "item"]).withColumn("v", F.xxhash64("item_id", "item")))
+    of_items = wanted.select("v", "size", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    lengths = sorted(r.k for r in wanted.select(F.least(F.col("size"), F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most SHINGLE rows
+    if not lengths:
+        return spark.createDataFrame([], schema)
+    slot = F.shiftrightunsigned("h", 64 - BITMAP)
+    marked = of_items.groupBy(F.shiftright(slot, 3).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(h, {64 - BITMAP}) & 7 as int))")).cast("short").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP - 3), np.uint8)  # as many rows at most
+    bitmap[marked.column("at").to_numpy()] = marked.column("bits").to_numpy()
+    shared, shift = spark.sparkContext.broadcast(bitmap), np.uint64(64 - BITMAP)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            kept = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(t)
+                h = np.concatenate([shingle_hashes(w, n) for n in lengths]) if w else np.zeros(0, np.int64)
+                at = (h.view(np.uint64) >> shift).astype(np.int64)
+                hit = h[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                if len(hit):
+                    kept.append((k, " ".join(w), len(w), np.unique(hit)))
+            cols = list(zip(*kept)) if kept else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], names=["doc_id", "words", "length", "hits"])
+
+    # the texts are read once; what shares no shingle with any item ends here
     source = docs.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(doc_key, text)
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, matched int, item_words int"
-    out, block, size = None, [], 0
-
-    def search(block: list[tuple]) -> DataFrame:
-        wanted = frozenset(s for _, w in block for s in shingles(w, SHINGLE))
-        vocabulary = frozenset(x for _, w in block for x in w)
-        run = b"\x01" * min(SHINGLE, *(len(w) for _, w in block))
-
-        def shared_with(w: list[str], sought: frozenset) -> frozenset | set:
-            """The sought shingles of a document; most have no run of item words as long as a shingle."""
-            return sought.intersection(shingles(w, SHINGLE)) if run in bytes([x in vocabulary for x in w]) or len(run) < SHINGLE else frozenset()
-
-        def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept = [(k, " ".join(w), sorted(s)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (s := shared_with(w := words(t), wanted))]
-                cols = list(zip(*kept)) if kept else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], names=["doc_id", "words", "shared"])
-
-        # the texts are read once; what shares no shingle with any item ends here
-        sharing, _ = scratch.write(source.mapInArrow(sieve, f"doc_id {kinds[0]}, words string, shared array<string>"))
-        # one row per shingle of this block of items at most
-        rarity = {r.s: r.n for r in sharing.select(F.explode("shared").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
-        prefix: dict[str, set[int]] = {}
-        seeds: dict[str, list[tuple[int, int]]] = {}
-        for i, (_, w) in enumerate(block):
-            own = sorted(set(shingles(w, SHINGLE)), key=lambda s: (rarity.get(s, 0), s))
-            for s in own[: len(own) - math.ceil(OVERLAP * len(own)) + 1]:
-                prefix.setdefault(s, set()).add(i)
-            for q, s in enumerate(shingles(w, SEED)):
-                seeds.setdefault(s, []).append((i, q))
-        all_of: dict[str, list[int]] = {}
-        for i, (_, w) in enumerate(block):
-            for s in set(shingles(w, SHINGLE)):
-                all_of.setdefault(s, []).append(i)
-        least = [math.ceil(OVERLAP * len(set(shingles(w, SHINGLE)))) for _, w in block]
-        prepared = [Item(w) for _, w in block]
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for k, t, shared in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    w = t.split(" ")
-                    cand = {i for s in shared for i in prefix.get(s, ()) if len(w) >= part * len(block[i][1])}
-                    overlap = Counter(i for s in shared for i in all_of[s])
-                    cand = {i for i in cand if overlap[i] >= least[i]}
-                    if not cand:
-                        continue
-                    hits: dict[int, list[tuple[int, int]]] = {}
-                    for p, s in enumerate(shingles(w, SEED)):
-                        for i, q in seeds.get(s, ()):
-                            if i in cand:
-                                hits.setdefault(i, []).append((p, q))
-                    for i, h in hits.items():
-                        key, iw = block[i]
-                        n = contained(w, prepared[i], h)
-                        if n >= part * len(iw):
-                            rows.append((k, key, n, len(iw)))
-                cols = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int64() if kinds[1] in ("bigint", "int") else pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "matched", "item_words"])
-
-        return sharing.mapInArrow(find, schema)
-
-    for r in items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(item_key, text).toLocalIterator():
-        w = words(r[1])
-        if w:
-            block.append((r[0], w))
-            size += len(w)
-        if size >= ITEM_WORDS:
-            found, _ = scratch.write(search(block))
-            out, block, size = (found if out is None else out.unionByName(found)), [], 0
-    if block:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out if out is not None else spark.createDataFrame([], schema)
+    sharing, _ = scratch.write(source.mapInArrow(sieve, f"doc_id {doc_kind}, words string, length int, hits array<bigint>").withColumn("u", F.xxhash64("doc_id", "words")))
+    hits, _ = scratch.write(sharing.select("u", "length", F.explode("hits").alias("h")).join(of_items.select("h").distinct(), "h", "left_semi").distinct())
+    rarity = hits.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    # the prefix of every item: all but its commonest shingles
+    ranked = of_items.join(rarity, "h", "left").withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.coalesce("docs", F.lit(0)), "h")))
+    prefix = ranked.where(F.col("docs").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(OVERLAP * F.col("n")) + 1)).select("h", "v", "size")
+    candidates = hits.join(prefix, "h").where(F.col("length") >= part * F.col("size")).select("u", "v").distinct()
+    pairs = candidates.join(wanted.select("v", "item_id", "item"), "v").join(sharing.select("u", "doc_id", "words").dropDuplicates(["u"]), "u")
+    # few bytes, but seconds of work: not to be left to one task; the pairs of one document stand together
+    pairs = pairs.repartition(8 * spark.sparkContext.defaultParallelism, "u", "v").sortWithinPartitions("u", "v").select("doc_id", "words", "item_id", "item")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, w, own = None, [], {}
+        for batch in batches:
+            rows = []
+            for k, t, i, x in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                item, seeds, five = _item(x)
+                if t != last:  # pairs of one document mostly stand together
+                    last, w, own = t, t.split(" "), {}
+                size = len(item.words)
+                length = min(SHINGLE, size)
+                if length not in own:
+                    own[length] = set(shingles(w, length))
+                if len(five & own[length]) < OVERLAP * len(five):
+                    continue
+                found = [(p, q) for p, s in enumerate(shingles(w, min(SEED, size))) for q in seeds.get(s, ())]
+                n = contained(w, item, found)
+                if n >= part * size:
+                    rows.append((k, i, n, size))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], batch.column(2).type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "matched", "item_words"])
+
+    return pairs.mapInArrow(verify, schema)

@@ -37,15 +37,34 @@ def test_whole_part_changed_and_decoys(spark):
     assert not {g for g in got if g[0] == 4}
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_a_crowded_bitmap_lets_nothing_through_wrongly(spark, monkeypatch):
     rnd = random.Random(8)
     items = [(k, " ".join(text(rnd, 40))) for k in range(6)]
-    docs = [(k, items[k % 6][1]) for k in range(12)]
+    docs = [(k, items[k % 6][1]) for k in range(12)] + [(99, " ".join(text(rnd, 400)))] * 2
     whole = run(spark, docs, items)
-    monkeypatch.setattr(leakage, "ITEM_WORDS", 50)
+    monkeypatch.setattr(leakage, "BITMAP", 6)
     assert run(spark, docs, items) == whole == sorted((k, k % 6) for k in range(12))
 
 
+def test_shingle_hashes_tell_order_and_length_apart():
+    h = leakage.shingle_hashes("a b c a b c b a c".split(), 3)
+    assert len(h) == 7 and h[0] == h[3] and len(set(h.tolist())) == 6
+    assert len(leakage.shingle_hashes(["a"], 3)) == 0 and leakage.shingle_hashes(["a", "b"], 2)[0] != leakage.shingle_hashes(["b", "a"], 2)[0]
+
+
+def test_a_shingle_told_often_does_not_break_a_chain():
+    item = [f"word{i:03d}x" for i in range(48)] + ["again", "and", "again"] * 17
+    doc = item[:21] + ["changed"] + item[22:42] + ["more"] * 30 + ["again", "and", "again"] * 17
+    found = leakage.chains(seeds(doc, item))
+    assert max(c[1] - c[0] for c in found if c[2] < 10) >= 38
+
+
+def test_places_in_very_long_items():
+    item = [f"w{i}" for i in range(40_000)]
+    doc = [f"d{i}" for i in range(10)] + item[39_900:]
+    assert leakage.align(leakage.Item(item).matches(doc)) == (100, 10, 110, 39_900, 40_000)
+
+
 def test_nulls_empty_and_short(spark):
     assert run(spark, [(1, None), (2, ""), (None, "a b c d e f g")], [(1, "a b c d e f g"), (2, None), (None, "x"), (3, "")]) == []
     assert run(spark, [], [(1, "a b c")]) == []
