@@ -9,36 +9,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# Titles and roles that name normalisation removes.
-HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "shri", "smt", "sri", "kumari", "adv", "advocate", "justice", "judge", "insp", "inspector", "si", "asi", "constable", "sgt", "officer", "witness", "accused", "victim", "complainant", "late")
+# Titles and roles that name normalisation removes, as patterns.
+HONORIFICS = ("j", "jj", "mr", "mrs", "ms", "dr", "md", "smt", "sri", "shri", "justice", "hon'?ble", "inspector", "sub-?inspector", "si", "asi", "constable", "the", "late", "deceased", "accused", "appellant", "respondent", "petitioner", "plaintiff", "defendant")
+# Titles that evaluation removes.
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir", "smt", "justice", "hon'ble", "shri")
 # Placeholders that name nobody and nothing.
-GENERIC = ("", "unknown", "unidentified", "none", "null", "na", "n a", "not specified", "not known", "anonymous", "person", "victim", "suspect")
+GENERIC = ("weapon", "vehicle", "unknown", "n/a", "na", "none", "person", "victim", "suspect", "accused", "object", "item", "")
 # Words a keyword search leaves out.
-STOP_WORDS = ("the", "and", "for", "are", "was", "were", "who", "what", "when", "where", "which", "how", "all", "any", "with", "from", "that", "this", "has", "have", "had", "does", "did", "show", "list", "find", "give", "tell", "about", "between", "into", "case", "cases")
-# Keywords of criminal matters.
-CRIMINAL = ("murder", "homicide", "theft", "robbery", "assault", "rape", "kidnap", "accused", "fir", "police", "weapon", "evidence", "convicted", "sentence", "prosecution", "witness", "offence", "crime", "bail", "victim", "section")
+STOP_WORDS = tuple(
+    """a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought
+    of in to for with on at from by about as into through during before after above below between out off over under again further then
+    once here there when where why how all each every both few more most other some such no nor not only own same so than too very
+    and but or if while what which who whom this that these those i me my we our you your he him his she her it its they them
+    their show find get tell list give many""".split()
+)
+# Keywords of criminal matters, and how many of a judgment's first characters are searched.
+CRIMINAL = ("murder", "homicide", "assault", "robbery", "theft", "kidnapping", "rape", "dowry", "fir", "ipc", "crpc", "accused", "convicted", "acquitted", "culpable homicide", "criminal conspiracy", "section 302", "section 307", "section 376", "section 420", "section 498")
+OPENING = 3000
 # Category -> words that point to it.
 CRIME_CATEGORIES = {
-    "assault": ("assault", "hurt", "beating"), "burglary": ("burglary", "house breaking"), "fraud": ("fraud", "cheating", "forgery"), "kidnapping": ("kidnap", "abduct"),
-    "murder": ("murder", "homicide"), "rape": ("rape", "sexual assault"), "robbery": ("robbery", "dacoity"), "theft": ("theft", "stolen"),
+    "murder": ("murder", "homicide", "killing", "killed", "honour killing"), "rape": ("rape", "gang rape", "gang-rape", "sexual assault"), "poisoning": ("poison",), "kidnapping": ("kidnap", "abduct"),
+    "robbery": ("robbery", "robbed", "loot"), "assault": ("assault",), "arson": ("arson", "set ablaze", "set on fire", "burned the body", "burnt"), "serial killing": ("serial",),
 }
-# Role -> substrings that point to it, first match wins.
-ROLES = (("accused", ("accused", "suspect", "defendant")), ("victim", ("victim", "deceased", "complainant")), ("witness", ("witness",)), ("officer", ("officer", "police", "inspector")), ("judge", ("judge", "justice")))
+# Role -> the word that points to it, first match wins.
+ROLES = (("victim", "victim"), ("accused", "accused"), ("witness", "witness"), ("officer", "officer"), ("forensic_analyst", "forensic"))
+# Cities that places are compared by; words of place names that don't tell places apart.
+CITIES = ("delhi", "mumbai", "kozhikode", "ghaziabad", "noida", "kolkata")
+PLACE_STOP = ("the", "of", "a", "an", "near", "at", "in", "district", "region", "new", "and")
+# Names known to be borne by different people of different cases.
+COLLISIONS = ("ajay kumar",)
 
 
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def name_normalise(c: Column) -> Column:
-    """Lower case, honorifics removed, anything but letters and digits to single spaces."""
-    words = rf"\b({'|'.join(HONORIFICS)})\b"
-    return collapse(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), words, " "), "[^a-z0-9]+", " "))
+def name_normalise(c: Column, person: Column | None = None) -> Column:
+    """Lower case, anything but letters and digits to single spaces; of persons (all, if not told) honorifics and roles removed first."""
+    low = F.lower(F.trim(c))
+    bare = F.regexp_replace(low, rf"\b({'|'.join(HONORIFICS)})\b", " ")
+    return collapse(F.regexp_replace(bare if person is None else F.when(person, bare).otherwise(low), "[^a-z0-9 ]", " "))
 
 
 def eval_normalise(c: Column) -> Column:
-    """Lower case, titles with their dots removed, single spaces."""
-    return collapse(F.regexp_replace(F.lower(F.trim(c)), r"\b(mr|mrs|ms|dr|shri|smt|insp|adv|sgt|justice)\b\.?", " "))
+    """Lower case, titles with their dots and the space after them removed, single spaces."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), rf"\b({'|'.join(TITLES)})\.?\s*", ""), r"\s+", " ")
 
 
 def is_generic(c: Column) -> Column:
@@ -81,8 +96,9 @@ def category_by_prefix(c: Column) -> Column:
 
 
 def crime_categories(c: Column) -> Column:
+    """The categories a text points to, in order of name."""
     low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(F.greatest(*[low.contains(w).cast("int") for w in (*words, words[0])]) == 1, name) for name, words in CRIME_CATEGORIES.items()]))
+    return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike("|".join(words)), name) for name, words in CRIME_CATEGORIES.items()])))
 
 
 def primary_crime(categories: Column) -> Column:
@@ -90,12 +106,13 @@ def primary_crime(categories: Column) -> Column:
 
 
 def role_normalise(c: Column) -> Column:
+    """The role a text points to, else the text in lower case, 'unknown' for none."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    out = None
-    for role, words in ROLES:
-        hit = low.rlike("|".join(words))
-        out = F.when(hit, role) if out is None else out.when(hit, role)
-    return out.otherwise("other")
+    out = F
+    for role, word in ROLES:
+        out = out.when(low.contains(word), role)
+    bare = F.trim(low)
+    return out.otherwise(F.when(bare == "", "unknown").otherwise(bare))
 
 
 def keyword_hits(c: Column, words: tuple[str, ...] = CRIMINAL) -> Column:
@@ -103,6 +120,40 @@ def keyword_hits(c: Column, words: tuple[str, ...] = CRIMINAL) -> Column:
     return sum((low.contains(w).cast("int") for w in words), F.lit(0))
 
 
+def is_criminal(text: Column, title: Column) -> Column:
+    """At least two of the keywords in a judgment's opening or its title."""
+    return keyword_hits(F.concat_ws(" ", F.substring(text, 1, OPENING), F.coalesce(title, F.lit("")))) >= 2
+
+
+def city(c: Column) -> Column:
+    """The first of ``CITIES`` a place names, '' if none."""
+    out = F
+    for name in CITIES:
+        out = out.when(F.lower(c).contains(name), name)
+    return out.otherwise("")
+
+
+def place_tokens(c: Column) -> Column:
+    """Words of more than two letters that tell places apart."""
+    words = F.split(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " ")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*PLACE_STOP)))
+
+
+def same_place(gold: Column, found: Column) -> Column:
+    """Both name something, and one's words are among the other's."""
+    g, e = place_tokens(gold), place_tokens(found)
+    return (F.size(g) > 0) & (F.size(e) > 0) & (subset(g, e) | subset(e, g))
+
+
+def should_link(label: Column, a: Column, b: Column, score: Column) -> Column:
+    """Whether two values mean one thing by rule: a score of 0.9 for places and crime types, else equal names but for ``COLLISIONS``."""
+    bare = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s*\[.*?\]", "")))
+    clash = F.lit(False)
+    for name in COLLISIONS:
+        clash = clash | ((label == "Person") & bare(a).contains(name) & bare(b).contains(name))
+    return F.when(clash, False).when(label.isin("CrimeType", "Location"), score >= 0.9).otherwise(bare(a) == bare(b))
+
+
 def split_places(c: Column) -> Column:
     """Sentences of a location text, the part after a colon, those of more than five characters."""
     pieces = F.transform(F.split(c, "[.;]"), lambda p: F.trim(F.regexp_replace(p, "^[^:]*:", "")))
@@ -115,10 +166,20 @@ def titled_person(c: Column) -> Column:
     return F.when(titled != "", F.trim(titled)).otherwise(F.array_join(F.slice(F.split(F.trim(c), " "), 1, 2), " "))
 
 
+# Headings that open the facts of a judgment and those that end them.
+FACTS_OPEN = r"(?:FACTS?\s+(?:OF\s+THE\s+)?CASE|FACTUAL\s+BACKGROUND|BRIEF\s+FACTS|PROSECUTION\s+(?:CASE|STORY)|CASE\s+OF\s+THE\s+PROSECUTION)\s*[:\-.]?\s*\n"
+FACTS_CLOSE = r"\n\s*(?:ARGUMENTS?|SUBMISSIONS?|CONTENTIONS?|ISSUES?|QUESTIONS?\s+(?:OF|FOR)|DISCUSSION|ANALYSIS|REASONING|FINDINGS?|CONCLUSION|JUDGMENT|ORDER)\s*[:\-.]?\s*\n"
+FACTS_INLINE = r"(?:\d+\.\s+)?(?:The\s+)?(?:brief\s+)?facts\s+(?:of\s+the\s+case\s+)?(?:are|in\s+brief)[:\s]+([\s\S]{200,3000}?)(?:\n\s*\d+\.|\n\s*(?:It\s+is|The\s+learned|We\s+have))"
+
+
 def facts_section(c: Column) -> Column:
-    """The text between a heading that opens the facts and the next heading; else the first 3 000 characters."""
-    found = F.regexp_extract(c, r"(?is)\b(?:brief facts|facts of the case|factual background)\b[:.\s]*(.+?)(?=\n\s*(?:issues|submissions|analysis|findings|judgment|order)\b|\z)", 1)
-    return F.when(F.length(found) > 0, F.trim(found)).otherwise(F.substring(c, 1, 3000))
+    """The facts of a judgment, if longer than 200 characters: from their heading to the next one, or after "facts are"; else 3 000 characters from the first long line on."""
+    headed = F.trim(F.regexp_extract(c, rf"(?i){FACTS_OPEN}([\s\S]+?)(?={FACTS_CLOSE})", 1))
+    inline = F.trim(F.regexp_extract(c, rf"(?i){FACTS_INLINE}", 1))
+    lines = F.split(c, "\n")
+    long = F.filter(F.transform(lines, lambda line, i: F.when((F.length(F.trim(line)) > 100) & ~F.trim(line).startswith("("), i)), lambda i: i.isNotNull())
+    rest = F.array_join(F.slice(lines, F.coalesce(F.try_element_at(long, F.lit(1)), F.lit(0)) + 1, F.size(lines)), "\n")
+    return F.when(F.length(headed) > 200, headed).when(F.length(inline) > 200, inline).when(F.length(rest) > 200, F.trim(F.substring(rest, 1, 3000))).otherwise("")
 
 
 def node_text(label: Column, name: Column, props: Column, fields: int = 25, length: int = 2000) -> Column:

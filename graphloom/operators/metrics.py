@@ -94,6 +94,32 @@ def greedy_match(df: DataFrame, key: str, gold: str, found: str, threshold: floa
     return df.select(key, gold, found).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, tp bigint, fp bigint, fn bigint")
 
 
+def greedy_dates(df: DataFrame, key: str, gold: str, found: str, total: str) -> DataFrame:
+    """(key, tp, fp, fn): each gold date in order takes the first unused found one that shares a year and, if both name months, a month.
+
+    Dates are structs of years ``y`` and months ``m``. ``found`` may hold as many of one kind as there are
+    gold dates; ``total`` is the number of all. Null lists count as empty.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, g, f, n in zip(pdf[key], pdf[gold], pdf[found], pdf[total]):
+                free = [(set(x["y"]), set(x["m"])) for x in f] if f is not None else []
+                want = [(set(x["y"]), set(x["m"])) for x in g] if g is not None else []
+                tp = 0
+                for y, m in want:
+                    at = next((i for i, (fy, fm) in enumerate(free) if y & fy and (not m or not fm or m & fm)), None)
+                    if at is not None:
+                        free.pop(at)
+                        tp += 1
+                n = 0 if pd.isna(n) else int(n)
+                rows.append((k, tp, n - tp, len(want) - tp))
+            yield pd.DataFrame(rows, columns=[key, "tp", "fp", "fn"])
+
+    return df.select(key, gold, found, total).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, tp bigint, fp bigint, fn bigint")
+
+
 def numeric_error(df: DataFrame, by: str, predicted: str, gold: str, tolerance: str) -> DataFrame:
     d = F.abs(F.col(predicted) - F.col(gold))
     return df.where(F.col(gold).isNotNull()).groupBy(by).agg(F.avg(d).alias("mae"), F.avg((d <= F.col(tolerance)).cast("double")).alias("within"))

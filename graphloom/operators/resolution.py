@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, is_generic, jaccard, match_confidence, name_normalise, name_score, ratio_bound, seq_ratio
+from ..functions.text import cosine, is_generic, jaccard, match_confidence, name_normalise, name_score, seq_ratio
 
-# Label -> property that names a node of it.
-RESOLVABLE = {"Person": "name", "Location": "name", "Weapon": "name", "Evidence": "description", "Vehicle": "type"}
-DISTINCTIVE_ROLES = ("officer", "judge", "forensic_analyst")
+# Label -> property that names a node of it; roles that recur across cases and identify with a name.
+RESOLVABLE = {"Person": "name", "Location": "name", "Weapon": "type", "Vehicle": "type", "CrimeType": "name"}
+DISTINCTIVE_ROLES = ("officer", "forensic_analyst", "judge", "examiner")
 
 
 #: Rows of a block compared with each other in one task; larger blocks become a grid of such tasks.
@@ -96,22 +96,31 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
 def decide(pairs: DataFrame, name_threshold: float = 0.88) -> DataFrame:
     """Name score, context overlap, decision, confidence and its basis for candidate pairs.
 
-    Accepted: a name score of the threshold unless initials conflict and neither shared
-    context nor a distinctive role speaks for it; single words never match fuller names.
+    Accepted: a name score of the threshold. A name that says little (of one word, or with initials
+    in conflict) also needs shared context or a distinctive role in common. The basis is
+    'name', with '+context' and '+role' where these speak for it, else why not.
     """
-    possible = F.when(ratio_bound(F.col("a_norm"), F.col("b_norm")) >= 0.3, seq_ratio(F.col("a_norm"), F.col("b_norm"))).otherwise(F.lit(0.0))
-    scored = pairs.withColumn("ratio", possible).withColumn("s", name_score(F.col("a_norm"), F.col("b_norm"), F.col("ratio"))).withColumn("overlap", jaccard(F.col("a_ctx"), F.col("b_ctx")))
-    role = (F.col("a_role") == F.col("b_role")) & F.col("a_role").isin(*DISTINCTIVE_ROLES)
-    single = (F.col("s.min_tokens") < 2) & F.col("s.subset") & (F.col("a_norm") != F.col("b_norm"))
-    named = (F.col("s.score") >= name_threshold) & ~single
-    ok = named & (~F.col("s.conflict") | (F.col("overlap") > 0) | F.coalesce(role, F.lit(False)))
-    basis = F.when(~ok, "rejected").when(F.col("a_norm") == F.col("b_norm"), "exact").when(F.col("s.subset"), "token_subset").when(F.col("overlap") > 0, "name_context").otherwise("name")
-    return scored.withColumn("accepted", ok).withColumn("confidence", match_confidence(F.col("s.score"), F.col("overlap"), F.coalesce(role, F.lit(False)).cast("double"))).withColumn("basis", basis)
+    short = 2.0 * F.least(F.length("a_norm"), F.length("b_norm")) >= name_threshold * F.greatest(F.length("a_norm") + F.length("b_norm"), F.lit(1))
+    words = lambda c: F.split(F.col(c), " ")
+    inside = (F.size(F.array_except(words("a_norm"), words("b_norm"))) == 0) | (F.size(F.array_except(words("b_norm"), words("a_norm"))) == 0)
+    # the ratio is only computed where its bound reaches the threshold or the name may count as contained
+    scored = pairs.withColumn("ratio", F.coalesce(seq_ratio(F.when(short | inside, F.col("a_norm")), F.col("b_norm")), F.lit(0.0)))
+    scored = scored.withColumn("s", name_score(F.col("a_norm"), F.col("b_norm"), F.col("ratio"))).withColumn("overlap", jaccard(F.col("a_ctx"), F.col("b_ctx")))
+    same_role = F.coalesce((F.col("a_role") == F.col("b_role")) & (F.col("a_role") != ""), F.lit(False))
+    distinctive = same_role & F.col("a_role").isin(*DISTINCTIVE_ROLES)
+    vague = (F.col("s.min_tokens") < 2) | F.col("s.conflict")
+    named, backed = F.col("s.score") >= name_threshold, distinctive | (F.col("overlap") > 0)
+    reason = F.when(~named, "").when(F.col("s.conflict"), "conflicting-initials-no-corroboration").otherwise("ambiguous-name-no-corroboration")
+    basis = F.concat(F.lit("name"), F.when(F.col("overlap") > 0, "+context").otherwise(""), F.when(distinctive, "+role").otherwise(""))
+    scored = scored.withColumn("accepted", named & (~vague | backed))
+    confidence = F.round(match_confidence(F.col("s.score"), F.col("overlap"), same_role.cast("double")), 3)
+    return scored.withColumn("confidence", F.when(F.col("accepted"), confidence).otherwise(0.0)).withColumn("basis", F.when(F.col("accepted"), basis).otherwise(reason))
 
 
 def prepare(nodes: DataFrame, value: str) -> DataFrame:
-    """Nodes with a normalised name that says something."""
-    return nodes.withColumn("norm", name_normalise(F.col(value))).where(~is_generic(F.col("norm")) & F.col("norm").isNotNull())
+    """Nodes with a normalised name that says something; titles and roles are only taken off persons."""
+    named = nodes.withColumn("norm", name_normalise(F.col(value), F.col("label") == "Person"))
+    return named.where(F.col("norm").isNotNull() & ~is_generic(F.col("norm")))
 
 
 def deduplicate(entities: DataFrame, known: DataFrame, relations: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import jsontext
 from ..functions import text as T
+from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import resolution as R
 from ..operators import stats as S
@@ -24,41 +25,32 @@ def r4(x: str) -> str:
     return R4.format(x)
 
 
-def _strip(words, extra=""):
-    return rf"regexp_replace(regexp_replace(regexp_replace(lower(trim({{0}})), '\b({'|'.join(words)})\b{extra}', ' ', 'g'), '{{1}}', ' ', 'g'), '\s+', ' ', 'g')"
-
-
 # --- text
-_NORM = f"trim({_strip(T.HONORIFICS).format('{0}', '[^a-z0-9]+')})"
-
-
-@query("name_normalise", f"SELECT person_id, {_NORM.format('name')} norm FROM person_records WHERE name IS NOT NULL AND regexp_full_match(name, '[ -~]*')")
-def _(s, d):
-    t = table(s, d, "person_records", ["person_id", "name"]).where(F.col("name").rlike("^[ -~]*$"))
-    return t.select("person_id", T.name_normalise(F.col("name")).alias("norm"))
+#: Letters, digits and underscore of any script: what the twins' word borders lie between.
+_W = r"[\p{L}\p{N}_]"
+_NOISE_SQL = r"j|jj|mr|mrs|ms|dr|md|smt|sri|shri|justice|hon''?ble|inspector|sub-?inspector|si|asi|constable|the|late|deceased|accused|appellant|respondent|petitioner|plaintiff|defendant"
+_ONCE = r"regexp_replace({0}, '([^\p{{L}}\p{{N}}_])(" + _NOISE_SQL.replace("{", "{{") + r")([^\p{{L}}\p{{N}}_])', '\1 \3', 'g')"
+_NORM = r"trim(regexp_replace(regexp_replace(" + _ONCE.format(_ONCE.format("' ' || lower(trim({0})) || ' '").replace("{0}", "{{0}}")).replace("{{0}}", "{0}") + r", '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_EVAL_ONCE = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}_])(mr|mrs|ms|dr|prof|sir|smt|justice|hon''ble|shri)\.?\s*', '\1', 'g')"
 
 
-@query("eval_normalise", r"SELECT person_id, trim(regexp_replace(regexp_replace(lower(trim(name)), '\b(mr|mrs|ms|dr|shri|smt|insp|adv|sgt|justice)\b\.?', ' ', 'g'), '\s+', ' ', 'g')) norm FROM person_records WHERE name IS NOT NULL AND regexp_full_match(name, '[ -~]*')")
-def _(s, d):
-    t = table(s, d, "person_records", ["person_id", "name"]).where(F.col("name").rlike("^[ -~]*$"))
-    return t.select("person_id", T.eval_normalise(F.col("name")).alias("norm"))
+def norm_sql(column: str) -> str:
+    return _NORM.replace("{0}", column)
 
 
-@query("name_normalise_all")
+@query("name_normalise", f"SELECT person_id, {norm_sql('name')} norm FROM person_records WHERE name IS NOT NULL")
 def _(s, d):
-    """(person_id, norm): as name_normalise, over names of any characters; its SQL twin holds plain ASCII only."""
     return table(s, d, "person_records", ["person_id", "name"]).where("name is not null").select("person_id", T.name_normalise(F.col("name")).alias("norm"))
 
 
-@query("eval_normalise_all")
+@query("eval_normalise", r"SELECT person_id, regexp_replace(" + _EVAL_ONCE.format(_EVAL_ONCE.format("lower(trim(name))")) + r", '\s+', ' ', 'g') norm FROM person_records WHERE name IS NOT NULL")
 def _(s, d):
-    """(person_id, norm): as eval_normalise, over names of any characters."""
     return table(s, d, "person_records", ["person_id", "name"]).where("name is not null").select("person_id", T.eval_normalise(F.col("name")).alias("norm"))
 
 
-@query("generic_filter", "SELECT person_id FROM person_records WHERE lower(trim(name)) NOT IN (" + ", ".join(f"'{g}'" for g in T.GENERIC) + ")")
+@query("generic_filter", f"SELECT person_id FROM (SELECT person_id, {norm_sql('name')} norm FROM person_records) WHERE norm NOT IN ('weapon', 'vehicle', 'unknown', 'n/a', 'na', 'none', 'person', 'victim', 'suspect', 'accused', 'object', 'item', '')")
 def _(s, d):
-    return table(s, d, "person_records", ["person_id", "name"]).where(~T.is_generic(F.lower(F.trim("name")))).select("person_id")
+    return table(s, d, "person_records", ["person_id", "name"]).where(~T.is_generic(T.name_normalise(F.col("name")))).select("person_id")
 
 
 @query("identifier_filter", "SELECT DISTINCT role FROM person_records WHERE regexp_full_match(role, '[A-Za-z_][A-Za-z0-9_]*')")
@@ -71,21 +63,17 @@ def _(s, d):
     return table(s, d, "person_records", ["person_id"]).select(T.document_prefix(F.col("person_id")).alias("doc")).distinct()
 
 
-@query("keywords", "SELECT case_id, array_to_string(list_filter(regexp_extract_all(lower(title), '([a-z0-9\\-]+)', 1), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], w))[1:8], ' ') kw FROM case_records")
-def _(s, d):
-    return table(s, d, "case_records", ["case_id", "title"]).select("case_id", F.array_join(T.keywords(F.col("title")), " ").alias("kw"))
+_STOPS = "a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought of in to for with on at from by about as into through during before after above below between out off over under again further then once here there when where why how all each every both few more most other some such no nor not only own same so than too very and but or if while what which who whom this that these those i me my we our you your he him his she her it its they them their show find get tell list give many"
 
 
-@query("html_strip", r"SELECT doc_id, length(trim(regexp_replace(regexp_replace('<p>' || regexp_replace(text, '[<>]', '', 'g') || '</p><br/>', '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) n FROM documents WHERE regexp_full_match(text, '[ -~\n]*')")
+@query("keywords", f"SELECT case_id, array_to_string(list_filter(regexp_extract_all(lower(title), '([a-z0-9\\-]+)', 1), lambda w: length(w) > 2 AND NOT list_contains(string_split('{_STOPS}', ' '), w))[1:8], ' ') kw FROM case_records")
 def _(s, d):
-    t = table(s, d, "documents", ["doc_id", "text"]).where(F.col("text").rlike(r"^[ -~\n]*\z"))
-    page = F.concat(F.lit("<p>"), F.regexp_replace("text", "[<>]", ""), F.lit("</p><br/>"))
-    return t.select("doc_id", F.length(T.html_strip(page)).cast("bigint").alias("n"))
+    return table(s, d, "case_records", ["case_id", "title"]).select("case_id", F.array_join(T.keywords(F.col("title")), " ").alias("kw"))
 
 
-@query("html_strip_all")
+@query("html_strip", r"SELECT doc_id, length(trim(regexp_replace(regexp_replace('<p>' || regexp_replace(text, '[<>]', '', 'g') || '</p><br/>', '<[^>]+>', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g'))) n FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    """(doc_id, n): as html_strip, over texts of any characters."""
+    """(doc_id, n): length of every text set as a page and stripped again."""
     page = F.concat(F.lit("<p>"), F.regexp_replace("text", "[<>]", ""), F.lit("</p><br/>"))
     return table(s, d, "documents", ["doc_id", "text"]).where("text is not null").select("doc_id", F.length(T.html_strip(page)).cast("bigint").alias("n"))
 
@@ -110,32 +98,44 @@ def _(s, d):
     return table(s, d, "customer", ["c_mktsegment"]).groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("n")).withColumn("cat", T.category_by_prefix(F.col("seg")))
 
 
-_CATS = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(crime_type), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in T.CRIME_CATEGORIES.items())
+_CATS_SQL = """list_sort(list_filter([CASE WHEN regexp_matches({0}, 'murder|homicide|killing|killed|honour killing') THEN 'murder' END, CASE WHEN regexp_matches({0}, 'rape|gang rape|gang-rape|sexual assault') THEN 'rape' END,
+ CASE WHEN contains({0}, 'poison') THEN 'poisoning' END, CASE WHEN regexp_matches({0}, 'kidnap|abduct') THEN 'kidnapping' END, CASE WHEN regexp_matches({0}, 'robbery|robbed|loot') THEN 'robbery' END, CASE WHEN contains({0}, 'assault') THEN 'assault' END,
+ CASE WHEN regexp_matches({0}, 'arson|set ablaze|set on fire|burned the body|burnt') THEN 'arson' END, CASE WHEN contains({0}, 'serial') THEN 'serial killing' END], lambda x: x IS NOT NULL))"""
 
 
-@query("crime_canon", f"SELECT case_id, array_to_string(list_filter([{_CATS}], lambda x: x IS NOT NULL), '|') cats FROM case_records WHERE crime_type IS NOT NULL")
+def cats_sql(column: str) -> str:
+    return _CATS_SQL.format(f"lower({column})")
+
+
+@query("crime_canon", f"SELECT case_id, array_to_string({cats_sql('crime_type')}, '|') cats FROM case_records WHERE crime_type IS NOT NULL")
 def _(s, d):
     return table(s, d, "case_records", ["case_id", "crime_type"]).where("crime_type is not null").select("case_id", F.array_join(T.crime_categories(F.col("crime_type")), "|").alias("cats"))
 
 
-@query("primary_crime", f"WITH c AS (SELECT case_id, list_filter([{_CATS}], lambda x: x IS NOT NULL) l FROM case_records WHERE crime_type IS NOT NULL) SELECT case_id, CASE WHEN list_contains(l, 'murder') THEN 'murder' ELSE coalesce(list_min(l), 'none') END crime FROM c")
+@query("primary_crime", f"WITH c AS (SELECT case_id, {cats_sql('crime_type')} l FROM case_records WHERE crime_type IS NOT NULL) SELECT case_id, CASE WHEN list_contains(l, 'murder') THEN 'murder' ELSE coalesce(l[1], 'none') END crime FROM c")
 def _(s, d):
     return table(s, d, "case_records", ["case_id", "crime_type"]).where("crime_type is not null").select("case_id", T.primary_crime(T.crime_categories(F.col("crime_type"))).alias("crime"))
 
 
-@query("role_norm", "SELECT role, CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(role, '')), '{'|'.join(ws)}') THEN '{r}'" for r, ws in T.ROLES) + " ELSE 'other' END norm, count(*) n FROM person_records GROUP BY 1")
+@query("role_norm", "SELECT role, CASE WHEN contains(lower(role), 'victim') THEN 'victim' WHEN contains(lower(role), 'accused') THEN 'accused' WHEN contains(lower(role), 'witness') THEN 'witness' WHEN contains(lower(role), 'officer') THEN 'officer' WHEN contains(lower(role), 'forensic') THEN 'forensic_analyst' WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(lower(role)) END norm, count(*) n FROM person_records GROUP BY 1")
 def _(s, d):
     return table(s, d, "person_records", ["role"]).groupBy("role").agg(F.count(F.lit(1)).alias("n")).withColumn("norm", T.role_normalise(F.col("role")))
 
 
-@query("criminal_filter", "SELECT doc_id FROM documents WHERE " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in T.CRIMINAL) + " >= 2")
+_CRIMINAL_SQL = "murder homicide assault robbery theft kidnapping rape dowry fir ipc crpc accused convicted acquitted"
+
+
+@query("criminal_filter", "WITH t AS (SELECT case_id, min(title) title FROM case_records GROUP BY 1), x AS (SELECT doc_id, lower(text[1:3000] || ' ' || coalesce(title, '')) x FROM documents LEFT JOIN t USING (case_id) WHERE text IS NOT NULL) SELECT doc_id FROM x WHERE len(list_filter(list_concat(string_split('" + _CRIMINAL_SQL + "', ' '), ['culpable homicide', 'criminal conspiracy', 'section 302', 'section 307', 'section 376', 'section 420', 'section 498']), lambda w: contains(x, w))) >= 2")
 def _(s, d):
-    return table(s, d, "documents", ["doc_id", "text"]).where(T.keyword_hits(F.col("text")) >= 2).select("doc_id")
+    """(doc_id): judgments with two keywords in their opening or the title of their case."""
+    titles = table(s, d, "case_records", ["case_id", "title"]).groupBy("case_id").agg(F.min("title").alias("title"))
+    return table(s, d, "documents", ["doc_id", "text", "case_id"]).where("text is not null").join(titles, "case_id", "left").where(T.is_criminal(F.col("text"), F.col("title"))).select("doc_id")
 
 
-@query("length_filter", "SELECT source_type, count(*) n FROM documents WHERE n_chars >= 500 GROUP BY source_type")
+@query("length_filter", "SELECT source_type, count(*) FILTER (n_chars >= 100) n100, count(*) FILTER (n_chars >= 200) n200, count(*) FILTER (n_chars >= 500) n500 FROM documents GROUP BY source_type")
 def _(s, d):
-    return table(s, d, "documents", ["source_type", "n_chars"]).where("n_chars >= 500").groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    """Texts a source keeps at each of the least lengths in use."""
+    return table(s, d, "documents", ["source_type", "n_chars"]).groupBy("source_type").agg(*[F.count_if(F.col("n_chars") >= n).alias(f"n{n}") for n in (100, 200, 500)])
 
 
 @query("location_split", "SELECT location_id, array_to_string(list_filter(list_transform(regexp_split_to_array(address, '[.;]'), lambda p: trim(regexp_replace(p, '^[^:]*:', ''))), lambda p: length(p) > 5), '|') p FROM location_records WHERE address IS NOT NULL")
@@ -148,10 +148,9 @@ def _(s, d):
     return table(s, d, "documents", ["doc_id", "text"]).select("doc_id", T.titled_person(F.col("text")).alias("p"))
 
 
-@query("city_canon", "SELECT station_code, CASE WHEN starts_with(lower(city), 'new ') OR starts_with(lower(city), 'old ') THEN split_part(lower(city), ' ', 2) ELSE lower(city) END city FROM stations")
+@query("city_canon", "SELECT location_id, CASE WHEN contains(lower(name), 'delhi') THEN 'delhi' WHEN contains(lower(name), 'mumbai') THEN 'mumbai' WHEN contains(lower(name), 'kozhikode') THEN 'kozhikode' WHEN contains(lower(name), 'ghaziabad') THEN 'ghaziabad' WHEN contains(lower(name), 'noida') THEN 'noida' WHEN contains(lower(name), 'kolkata') THEN 'kolkata' ELSE '' END city FROM location_records WHERE name IS NOT NULL")
 def _(s, d):
-    low = F.lower("city")
-    return table(s, d, "stations", ["station_code", "city"]).select("station_code", F.when(low.startswith("new ") | low.startswith("old "), F.split_part(low, F.lit(" "), F.lit(2))).otherwise(low).alias("city"))
+    return table(s, d, "location_records", ["location_id", "name"]).where("name is not null").select("location_id", T.city(F.col("name")).alias("city"))
 
 
 @query("facts_section")
@@ -223,10 +222,16 @@ def _(s, d):
     return T.category_matches(v, table(s, d, "crime_type_list", ["name"]).where("name is not null").distinct())
 
 
-@query("should_link_label", "SELECT a, b, CASE WHEN label IN ('Location', 'Evidence') THEN name_score >= 0.9 ELSE coalesce(cos, 0) >= 0.95 END should FROM match_candidates WHERE name_score IS NOT NULL")
+_BARE = r"lower(trim(regexp_replace({0}, '\s*\[.*?\]', '', 'g')))"
+
+
+@query("should_link_label", "SELECT m.a, m.b, CASE WHEN m.label = 'Person' AND contains(" + _BARE.format("x.val") + ", 'ajay kumar') AND contains(" + _BARE.format("y.val") + ", 'ajay kumar') THEN false WHEN m.label IN ('CrimeType', 'Location') THEN name_score >= 0.9 ELSE " + _BARE.format("x.val") + " = " + _BARE.format("y.val") + " END should FROM match_candidates m JOIN kg_nodes x ON x.node_id = m.a JOIN kg_nodes y ON y.node_id = m.b WHERE m.name_score IS NOT NULL AND x.val IS NOT NULL AND y.val IS NOT NULL")
 def _(s, d):
-    t = table(s, d, "match_candidates", ["a", "b", "label", "name_score", "cos"]).where("name_score is not null")
-    return t.select("a", "b", F.when(F.col("label").isin("Location", "Evidence"), F.col("name_score") >= 0.9).otherwise(F.coalesce("cos", F.lit(0.0)) >= 0.95).alias("should"))
+    """(a, b, should): whether a scored pair of nodes is one thing by rule."""
+    k = table(s, d, "kg_nodes", ["node_id", "val"]).where("val is not null")
+    t = table(s, d, "match_candidates", ["a", "b", "label", "name_score"]).where("name_score is not null")
+    t = t.join(k.select(F.col("node_id").alias("a"), F.col("val").alias("x")), "a").join(k.select(F.col("node_id").alias("b"), F.col("val").alias("y")), "b")
+    return t.select("a", "b", T.should_link(F.col("label"), F.col("x"), F.col("y"), F.col("name_score")).alias("should"))
 
 
 # --- arrays, maps, JSON
@@ -274,28 +279,34 @@ def _(s, d):
 
 
 # --- dates
-@query("timestamp_ladder", "SELECT event_id, coalesce(try_strptime(timestamp, '%Y-%m-%dT%H:%M:%S'), try_strptime(timestamp, '%Y-%m-%d %H:%M:%S')) ts FROM time_events WHERE regexp_full_match(timestamp, '\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}')")
-def _(s, d):
-    t = table(s, d, "time_events", ["event_id", "timestamp"]).where(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"))
-    return t.select("event_id", D.ladder(F.col("timestamp"), D.LADDER[:2]).alias("ts"))
+_MONTHS_SQL = "string_split('january february march april may june july august september october november december', ' ')"
+_YEARS_SQL = r"list_sort(list_distinct(regexp_extract_all({0}, '\b((?:19|20)[0-9]{{2}})\b', 1)))"
+_COMPATIBLE = "len(list_intersect({0}.y, {1}.y)) > 0 AND (len({0}.m) = 0 OR len({1}.m) = 0 OR len(list_intersect({0}.m, {1}.m)) > 0)"
+_LADDER_SQL = "coalesce(" + ", ".join(f"try_strptime({{0}}, '{f}')" for f in ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%d %B %Y", "%B %Y")) + ", CASE WHEN regexp_full_match({0}, '[0-9]{{4}}') THEN try_strptime({0}, '%Y') END)"
+
+
+def keys_sql(column: str) -> str:
+    return f"{_YEARS_SQL.format(column)} y, list_filter({_MONTHS_SQL}, lambda m: contains(lower({column}), m)) m"
 
 
-@query("timestamp_ladder_all")
+@query("timestamp_ladder", f"SELECT event_id, {_LADDER_SQL.format('timestamp')} ts FROM time_events")
 def _(s, d):
     """(event_id, ts): every event through all formats of the ladder; null where none fits."""
     return table(s, d, "time_events", ["event_id", "timestamp"]).select("event_id", D.ladder(F.col("timestamp")).alias("ts"))
 
 
-@query("year_month_keys", "SELECT event_id, array_to_string(list_sort(list_distinct(regexp_extract_all(timestamp, '\\b((?:19|20)[0-9]{2})\\b', 1))), '|') y FROM time_events WHERE timestamp IS NOT NULL")
+@query("year_month_keys", f"SELECT event_id, array_to_string(y, '|') y, array_to_string(m, '|') m FROM (SELECT event_id, {keys_sql('timestamp')} FROM time_events WHERE timestamp IS NOT NULL)")
 def _(s, d):
-    return table(s, d, "time_events", ["event_id", "timestamp"]).where("timestamp is not null").select("event_id", F.array_join(D.years(F.col("timestamp")), "|").alias("y"))
+    t = table(s, d, "time_events", ["event_id", "timestamp"]).where("timestamp is not null")
+    return t.select("event_id", F.array_join(D.years(F.col("timestamp")), "|").alias("y"), F.array_join(D.months(F.col("timestamp")), "|").alias("m"))
 
 
-@query("date_match", "WITH t AS (SELECT case_id, i, g, list_distinct(regexp_extract_all(g, '\\b((?:19|20)[0-9]{2})\\b', 1)) y FROM (SELECT case_id, unnest(gold.time_events) g, generate_subscripts(gold.time_events, 1) i FROM gold_cases) ) SELECT a.case_id, a.i, b.i j FROM t a JOIN t b ON a.case_id = b.case_id AND a.i < b.i WHERE len(list_intersect(a.y, b.y)) > 0")
+@query("date_match", f"WITH t AS (SELECT case_id, i, {keys_sql('g')} FROM (SELECT case_id, unnest(gold.time_events) g, generate_subscripts(gold.time_events, 1) i FROM gold_cases)) SELECT a.case_id, a.i, b.i j FROM t a JOIN t b ON a.case_id = b.case_id AND a.i < b.i WHERE {_COMPATIBLE.format('a', 'b')}")
 def _(s, d):
+    """(case_id, i, j): annotated moments of a case that can mean the same date."""
     t = table(s, d, "gold_cases", ["case_id", "gold"]).select("case_id", F.posexplode("gold.time_events").alias("i", "g")).withColumn("i", (F.col("i") + 1).cast("bigint"))
     a, b = t.select("case_id", "i", F.col("g").alias("x")), t.select("case_id", F.col("i").alias("j"), F.col("g").alias("y"))
-    return a.join(b, "case_id").where((F.col("i") < F.col("j")) & F.arrays_overlap(D.years(F.col("x")), D.years(F.col("y")))).select("case_id", "i", "j")
+    return a.join(b, "case_id").where((F.col("i") < F.col("j")) & D.compatible(F.col("x"), F.col("y"))).select("case_id", "i", "j")
 
 
 # --- timeline
@@ -334,7 +345,18 @@ def _(s, d):
     return TL.contradictions(said, e, "event_id", "ts").select("src_event", "dst_event")
 
 
-QUERIES["case_timeline_full"], SQL["case_timeline_full"] = QUERIES["timeline_inconsistencies"], SQL["timeline_inconsistencies"]
+_TS = f"WITH e AS (SELECT case_id, event_id, min({_LADDER_SQL.format('coalesce(timestamp, date)')}) ts FROM time_events WHERE case_id IS NOT NULL GROUP BY 1, 2), g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY case_id ORDER BY ts, event_id)) us FROM e WHERE ts IS NOT NULL)"
+
+
+@query("case_timeline_full", _TS + ' SELECT e.case_id, count(*) n_events, count(e.ts) n_dated, min(e.ts) AS "start", max(e.ts) AS "end", count(*) FILTER (us > 86400000000) n_gaps, ' + r4("max(us) / 3.6e9") + " widest_hours FROM e LEFT JOIN g USING (case_id, event_id) GROUP BY 1")
+def _(s, d):
+    """One row a case: events, those with a date, span, gaps of more than a day and the widest one."""
+    e = table(s, d, "time_events", ["case_id", "event_id", "timestamp", "date"]).where("case_id is not null")
+    e = e.groupBy("case_id", "event_id").agg(F.min(D.ladder(F.coalesce("timestamp", "date"))).alias("ts"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = e.withColumn("us", F.when(F.col("ts").isNotNull(), us - F.lag(us).over(W.partitionBy("case_id").orderBy(F.asc_nulls_last("ts"), "event_id"))))
+    span = [F.min("ts").alias("start"), F.max("ts").alias("end")]
+    return e.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"), F.count("ts").alias("n_dated"), *span, F.count_if(F.col("us") > 86_400_000_000).alias("n_gaps"), T.round4(F.max("us") / 3.6e9).alias("widest_hours"))
 
 
 # --- statistics
@@ -467,7 +489,13 @@ def _(s, d):
     return M.frontier(_labels(s, d), "name_score", F.col("gold") == 1)
 
 
-QUERIES["cumulative_pr"], SQL["cumulative_pr"] = QUERIES["threshold_frontier"], SQL["threshold_frontier"]
+@query("cumulative_pr", f"WITH {_LAB}, b AS (SELECT label, name_score, count(*) n, sum(gold) g FROM l GROUP BY 1, 2) SELECT label, name_score, CAST(sum(n) OVER w AS BIGINT) accepted, {r4('sum(g) OVER w * 1.0 / sum(n) OVER w')} AS precision, {r4('sum(g) OVER w * 1.0 / nullif(sum(g) OVER (PARTITION BY label), 0)')} AS recall FROM b WINDOW w AS (PARTITION BY label ORDER BY name_score DESC)")
+def _(s, d):
+    """Precision and recall of each label as the threshold falls, one row a score."""
+    b = _labels(s, d).groupBy("label", "name_score").agg(F.count(F.lit(1)).alias("n"), F.sum("gold").alias("g"))
+    down, whole = W.partitionBy("label").orderBy(F.desc("name_score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy("label")
+    n, g = F.sum("n").over(down), F.sum("g").over(down)
+    return b.select("label", "name_score", n.alias("accepted"), T.round4(g / n).alias("precision"), T.round4(F.try_divide(g.cast("double"), F.sum("g").over(whole))).alias("recall"))
 
 
 @query("tier_counts", f"WITH {_LAB} SELECT CASE WHEN name_score >= 0.9 THEN 'auto' WHEN name_score >= 0.75 THEN 'review' ELSE 'reject' END tier, count(*) n, CAST(sum(gold) AS BIGINT) g FROM l GROUP BY 1")
@@ -507,11 +535,17 @@ def _(s, d):
 
 @query("date_greedy")
 def _(s, d):
-    """(case_id, tp, fp, fn): annotated moments of a case against its events' moments, exact texts first fit."""
-    g = table(s, d, "gold_cases", ["case_id", "gold"]).select("case_id", F.col("gold.time_events").alias("gold"))
-    e = table(s, d, "time_events", ["case_id", "event_id", "timestamp"]).where("timestamp is not null").dropDuplicates(["event_id"])
-    found = e.join(g.select("case_id", F.explode("gold").alias("timestamp")).distinct(), ["case_id", "timestamp"]).groupBy("case_id").agg(F.array_sort(F.collect_set("timestamp")).alias("found"))
-    return M.greedy_match(g.join(found, "case_id", "left"), "case_id", "gold", "found", 1.0)
+    """(case_id, tp, fp, fn): annotated moments of a case, in order, each against the first unused event of the case that can mean its date."""
+    g = table(s, d, "gold_cases", ["case_id", "gold"]).where("case_id is not null").dropDuplicates(["case_id"]).select("case_id", F.coalesce("gold.time_events", F.array().cast("array<string>")).alias("gold"))
+    e = table(s, d, "time_events", ["case_id", "event_id", "description", "timestamp", "date"]).dropDuplicates(["event_id"])
+    e = e.join(g.select("case_id", F.size("gold").alias("k")), "case_id").select("case_id", "event_id", "k", F.concat_ws(" ", "description", "timestamp", "date").alias("t"))
+    e = e.select("case_id", "event_id", "k", D.years(F.col("t")).alias("y"), D.months(F.col("t")).alias("m"))
+    # of events with the same years and months a case can use as many as it has annotated moments
+    first = F.row_number().over(W.partitionBy("case_id", "y", "m").orderBy("event_id"))
+    found = e.withColumn("r", first).where("r <= k").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "y", "m"))).alias("found"))
+    total = e.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    want = g.select("case_id", F.transform("gold", lambda t: F.struct(D.years(t).alias("y"), D.months(t).alias("m"))).alias("gold"))
+    return M.greedy_dates(want.join(found, "case_id", "left").join(total, "case_id", "left"), "case_id", "gold", "found", "n")
 
 
 @query("evaluate_real_cases", "SELECT case_id, len(list_intersect(list_distinct(list_transform(gold.crime_types, lambda x: lower(x))), list_distinct([lower(crime_type)]))) tp, len(list_distinct(gold.crime_types)) n FROM gold_cases WHERE crime_type IS NOT NULL")
@@ -525,10 +559,15 @@ def _(s, d):
     return table(s, d, "location_extractions", ["case_id", "gold", "extracted"]).where("gold is not null").select("case_id", F.array_join(F.array_sort(F.array_except("gold", "extracted")), "|").alias("only_gold"))
 
 
-@query("place_recall", "SELECT " + r4("avg(CASE WHEN len(list_intersect(gold, extracted)) > 0 THEN 1.0 ELSE 0.0 END)") + " AS recall FROM location_extractions WHERE gold IS NOT NULL AND len(gold) > 0")
+_TOK = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: length(w) > 2 AND NOT list_contains(['the', 'of', 'a', 'an', 'near', 'at', 'in', 'district', 'region', 'new', 'and'], w)))"
+
+
+@query("place_recall", "WITH t AS (SELECT " + _TOK.format("gold[1]") + " g, list_transform(extracted, lambda e: " + _TOK.format("e") + ") x FROM location_extractions WHERE gold IS NOT NULL AND len(gold) > 0) SELECT count(*) n, count(*) FILTER (len(g) > 0 AND len(list_filter(x, lambda e: len(e) > 0 AND (list_has_all(e, g) OR list_has_all(g, e)))) > 0) hits FROM t")
 def _(s, d):
+    """Cases, and those of which a place read out of the text contains the principal place or is contained in it."""
     t = table(s, d, "location_extractions", ["gold", "extracted"]).where((F.size("gold") > 0) & F.col("gold").isNotNull())
-    return t.agg(T.round4(F.avg((F.size(F.array_intersect("gold", "extracted")) > 0).cast("double"))).alias("recall"))
+    hit = F.exists(F.coalesce("extracted", F.array().cast("array<string>")), lambda e: T.same_place(F.element_at("gold", 1), e))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"))
 
 
 @query("first_mention", "SELECT case_id, extracted[1] first_place FROM location_extractions WHERE len(extracted) > 0")
@@ -555,23 +594,6 @@ def _(s, d):
     return a.join(b, "label").where("x < y").where(T.cosine(F.col("u"), F.col("v")) >= 0.3).select("x", "y")
 
 
-def _knn(s, d, label=None):
-    t = table(s, d, "embeddings", ["vec_id", "embedding", "label"])
-    q = t.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    pool = t.where(f"label = {label}") if label is not None else t
-    return pool.crossJoin(F.broadcast(q)).where("vec_id <> 0").select("vec_id", T.cosine(F.col("embedding"), F.col("q")).alias("c"))  # one query vector
-
-
-@query("knn_topk", "SELECT vec_id FROM embeddings WHERE vec_id <> 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")
-def _(s, d):
-    return _knn(s, d).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id")
-
-
-@query("knn_label_filtered", "SELECT vec_id FROM embeddings WHERE vec_id <> 0 AND label = 3 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")
-def _(s, d):
-    return _knn(s, d, 3).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id")
-
-
 def _knn_all(s, d, label=None, k=10):
     """(q, vec_id): the k nearest rows of every vector whose id is divisible by 20."""
     t = table(s, d, "embeddings", ["vec_id", "embedding", "label"]).where("embedding is not null")
@@ -582,12 +604,12 @@ def _knn_all_sql(label=None):
     return "SELECT q, vec_id FROM (SELECT a.vec_id q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL" + (f" AND b.label = {label}" if label is not None else "") + ") WHERE r <= 10"
 
 
-@query("knn_topk_all", _knn_all_sql())
+@query("knn_topk", _knn_all_sql())
 def _(s, d):
     return _knn_all(s, d)
 
 
-@query("knn_label_filtered_all", _knn_all_sql(3))
+@query("knn_label_filtered", _knn_all_sql(3))
 def _(s, d):
     return _knn_all(s, d, 3)
 
@@ -630,6 +652,13 @@ def _(s, d):
     return p.groupBy(F.col("a_label").alias("label")).agg(F.count(F.lit(1)).alias("links"))
 
 
+@query("resolve_clusters")
+def _(s, d):
+    """(component, n): groups of linked nodes and their sizes."""
+    p = R.decide(R.candidates(_people(s, d), 0.78)).where("accepted").select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"))
+    return G.components(s, p).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("resolution_benchmark", f"WITH {_LAB} SELECT label, count(*) pool, count(*) FILTER (pred = 1) accepted, CAST(sum(gold) AS BIGINT) should FROM l GROUP BY label")
 def _(s, d):
     return _labels(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("pool"), F.count_if(F.col("pred") == 1).alias("accepted"), F.sum("gold").alias("should"))
@@ -687,7 +716,8 @@ def _(s, d):
 
 @query("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200000000 THEN 0 ELSE 1 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g) SELECT user_id, min(ts) AS \"start\", count(*) n FROM k GROUP BY user_id, k.k")
 def _(s, d):
-    return streams.sessions(table(s, d, "events", ["user_id", "ts"]), "ts", "user_id", "2 hours")
+    st = streams.sessions(streams.read(s, f"{d}/events.parquet").select("user_id", "ts"), "ts", "user_id", "2 hours")
+    return streams.drain(st, "complete", Scratch(s, "stream"))
 
 
 @query("stream_gap_state", f"SELECT user_id, count(*) n FROM ({_GAPS}) WHERE us / 3.6e9 > 2 GROUP BY user_id")

@@ -269,14 +269,7 @@ def _(s, d):
     return endpoint_types(s, n.select("key").distinct(), n, o)
 
 
-@query("blocked_incremental_join", "SELECT n.node_id a, k.node_id b FROM kg_nodes n JOIN kg_nodes k ON n.label = k.label AND n.val = k.val AND n.case_id <> k.case_id WHERE starts_with(n.case_id, 'FIR-2024-0000000')")
-def _(s, d):
-    k = table(s, d, "kg_nodes", ["node_id", "label", "val", "case_id"])
-    n = k.where(F.col("case_id").startswith("FIR-2024-0000000")).select(F.col("node_id").alias("a"), "label", "val", F.col("case_id").alias("c"))
-    return n.join(k, ["label", "val"]).where("c <> case_id").select("a", F.col("node_id").alias("b"))
-
-
-@query("blocked_incremental_join_all", "SELECT n.node_id a, k.node_id b FROM kg_nodes n JOIN kg_nodes k ON n.label = k.label AND n.val = k.val AND n.case_id <> k.case_id WHERE starts_with(n.case_id, 'FIR-2024')")
+@query("blocked_incremental_join", "SELECT n.node_id a, k.node_id b FROM kg_nodes n JOIN kg_nodes k ON n.label = k.label AND n.val = k.val AND n.case_id <> k.case_id WHERE starts_with(n.case_id, 'FIR-2024')")
 def _(s, d):
     """(a, b): as blocked_incremental_join, all cases of the newest year as the new side."""
     k = table(s, d, "kg_nodes", ["node_id", "label", "val", "case_id"])
@@ -360,33 +353,32 @@ def _same_as(s, d):
     return m.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
-@query("same_as_closure", f"WITH {_SAME}, s0 AS (SELECT node_id FROM kg_nodes WHERE label = 'Person' AND starts_with(case_id, 'FIR-2020-0000000')), s1 AS (SELECT node_id a, node_id b FROM s0 UNION SELECT node_id, y FROM s0 JOIN sym ON x = node_id), s2 AS (SELECT a, b FROM s1 UNION SELECT a, y FROM s1 JOIN sym ON x = b), s3 AS (SELECT a, b FROM s2 UNION SELECT a, y FROM s2 JOIN sym ON x = b) SELECT a node_id, count(DISTINCT k.case_id) case_count FROM s3 JOIN kg_nodes k ON k.node_id = b GROUP BY a")
+@query("same_as_closure", f"WITH {_SAME}, s0 AS (SELECT node_id FROM kg_nodes WHERE label = 'Person'), s1 AS (SELECT node_id a, node_id b FROM s0 UNION SELECT node_id, y FROM s0 JOIN sym ON x = node_id), s2 AS (SELECT a, b FROM s1 UNION SELECT a, y FROM s1 JOIN sym ON x = b), s3 AS (SELECT a, b FROM s2 UNION SELECT a, y FROM s2 JOIN sym ON x = b) SELECT a node_id, count(DISTINCT k.case_id) case_count FROM s3 JOIN kg_nodes k ON k.node_id = b GROUP BY a")
 def _(s, d):
+    """(node_id, case_count): as same_as_closure, from every person."""
     k = table(s, d, "kg_nodes", ["node_id", "label", "case_id"])
     pairs = _same_as(s, d)
     sym = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    seen = k.where((F.col("label") == "Person") & F.col("case_id").startswith("FIR-2020-0000000")).select(F.col("node_id").alias("a"), F.col("node_id").alias("b"))
+    seen = k.where("label = 'Person'").select(F.col("node_id").alias("a"), F.col("node_id").alias("b")).distinct()
     for _i in range(3):
         seen = seen.unionByName(seen.join(sym, F.col("b") == F.col("x")).select("a", F.col("y").alias("b"))).distinct()
     return seen.join(k.select(F.col("node_id").alias("b"), "case_id"), "b").groupBy(F.col("a").alias("node_id")).agg(F.count_distinct("case_id").alias("case_count"))
 
 
-QUERIES["cross_case_lookup"], SQL["cross_case_lookup"] = QUERIES["same_as_closure"], SQL["same_as_closure"]
-
-
-@query("same_as_closure_all", f"WITH {_SAME}, s0 AS (SELECT node_id FROM kg_nodes WHERE label = 'Person'), s1 AS (SELECT node_id a, node_id b FROM s0 UNION SELECT node_id, y FROM s0 JOIN sym ON x = node_id), s2 AS (SELECT a, b FROM s1 UNION SELECT a, y FROM s1 JOIN sym ON x = b), s3 AS (SELECT a, b FROM s2 UNION SELECT a, y FROM s2 JOIN sym ON x = b) SELECT a node_id, count(DISTINCT k.case_id) case_count FROM s3 JOIN kg_nodes k ON k.node_id = b GROUP BY a")
+@query("cross_case_lookup", f"WITH {_SAME}, p AS (SELECT node_id, case_id FROM kg_nodes WHERE label = 'Person'), s1 AS (SELECT node_id a, node_id b FROM p UNION SELECT node_id, y FROM p JOIN sym ON x = node_id), s2 AS (SELECT a, b FROM s1 UNION SELECT a, y FROM s1 JOIN sym ON x = b), s3 AS (SELECT a, b FROM s2 UNION SELECT a, y FROM s2 JOIN sym ON x = b), t AS (SELECT case_id, min(title) title FROM case_records GROUP BY 1) SELECT DISTINCT s3.a node_id, k.case_id, t.title FROM s3 JOIN p ON p.node_id = s3.a JOIN kg_nodes k ON k.node_id = s3.b LEFT JOIN t ON t.case_id = k.case_id WHERE k.case_id <> p.case_id")
 def _(s, d):
-    """(node_id, case_count): as same_as_closure, from every person."""
+    """(node_id, case_id, title): other cases in which a person occurs, through up to three links."""
     k = table(s, d, "kg_nodes", ["node_id", "label", "case_id"])
     pairs = _same_as(s, d)
     sym = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    seen = k.where("label = 'Person'").select(F.col("node_id").alias("a"), F.col("node_id").alias("b")).distinct()
+    people = k.where("label = 'Person'").select(F.col("node_id").alias("a"), F.col("case_id").alias("own"))
+    seen = people.select("a", F.col("a").alias("b"))
     for _i in range(3):
         seen = seen.unionByName(seen.join(sym, F.col("b") == F.col("x")).select("a", F.col("y").alias("b"))).distinct()
-    return seen.join(k.select(F.col("node_id").alias("b"), "case_id"), "b").groupBy(F.col("a").alias("node_id")).agg(F.count_distinct("case_id").alias("case_count"))
-
+    titles = table(s, d, "case_records", ["case_id", "title"]).groupBy("case_id").agg(F.min("title").alias("title"))
+    at = seen.join(k.select(F.col("node_id").alias("b"), "case_id"), "b").join(people, "a").where("case_id <> own").select(F.col("a").alias("node_id"), "case_id").distinct()
+    return at.join(titles, "case_id", "left").select("node_id", "case_id", "title")
 
-QUERIES["cross_case_lookup_all"], SQL["cross_case_lookup_all"] = QUERIES["same_as_closure_all"], SQL["same_as_closure_all"]
 _CC = f"WITH RECURSIVE {_SAME}, r(x, m) AS (SELECT x, x FROM sym UNION SELECT sym.y, r.m FROM r JOIN sym ON sym.x = r.x WHERE r.m < sym.y), c AS (SELECT x node_id, min(m) component FROM r GROUP BY x)"
 
 

@@ -15,17 +15,29 @@ def one(spark, fn, *values):
 
 def test_text(spark):
     assert one(spark, T.name_normalise, " Dr. Anil  K. Sharma (accused) ") == "anil k sharma"
+    assert one(spark, T.name_normalise, "JJ. Hon'ble Sub-Inspector Rao, the appellant; MD Khan") == "rao khan"
+    assert one(spark, lambda c: T.name_normalise(c, F.lit(False)), "The Late Road, Pune") == "the late road pune"
+    assert one(spark, T.eval_normalise, "Mr. Sir  Anil  Rao") == "anil rao"
     assert one(spark, T.document_prefix, "doc_16bead11_person_1") == "doc_16bead11"
     assert one(spark, T.document_prefix, "b_1") == "b_1"
     assert one(spark, T.keywords, "Who was the witness in FIR-2019 near Rome") == ["witness", "fir-2019", "near", "rome"]
+    assert one(spark, T.keywords, "Please find all of the weapons used by suspects") == ["please", "weapons", "used", "suspects"]
     assert one(spark, T.html_strip, "<p>a <b>b</b></p>\n c") == "a b c"
     assert one(spark, T.csv_guard, "=1+1") == "'=1+1" and one(spark, T.csv_guard, "a=1") == "a=1"
-    assert one(spark, T.crime_categories, "Murder and theft") == ["murder", "theft"]
-    assert one(spark, lambda c: T.primary_crime(T.crime_categories(c)), "theft; robbery") == "robbery"
-    assert one(spark, T.role_normalise, "Prime Suspect") == "accused"
+    assert one(spark, T.crime_categories, "Robbed, then set ablaze: Murder") == ["arson", "murder", "robbery"]
+    assert one(spark, lambda c: T.primary_crime(T.crime_categories(c)), "robbery; arson") == "arson" and one(spark, lambda c: T.primary_crime(T.crime_categories(c)), "theft") == "none"
+    assert [one(spark, T.role_normalise, x) for x in ("Co-Accused", "Forensic expert", " Prime Suspect ", "")] == ["accused", "forensic_analyst", "prime suspect", "unknown"]
+    assert [one(spark, T.city, x) for x in ("New Delhi", "Greater NOIDA", "Pune")] == ["delhi", "noida", ""]
+    assert one(spark, T.same_place, "Red Fort, New Delhi", "the district of Delhi, near Red Fort area")
+    assert not one(spark, T.same_place, "Pune Camp", "Camp Nashik") and not one(spark, T.same_place, "at", "Pune")
+    assert [one(spark, lambda a, b: T.should_link(F.lit("Person"), a, b, F.lit(1.0)), *x) for x in (("Ajay Kumar [a]", "ajay kumar"), ("Anil Rao [1]", "anil rao"), ("Anil Rao", "Anil Roy"))] == [False, True, False]
+    assert one(spark, T.is_criminal, "the accused was convicted", None) and not one(spark, T.is_criminal, "x" * 3000 + " murder theft", "a title") and one(spark, T.is_criminal, "murder", "FIR 12")
     assert one(spark, T.safe_id, "a b/c.txt") == "a_b_c.txt"
     assert one(spark, T.titled_person, "Mr. Ram Lal, aged 30") == "Mr. Ram Lal"
-    assert one(spark, T.facts_section, "Title\nBrief facts: He ran.\nJudgment: guilty") == "He ran."
+    facts = "He ran away from the scene. " * 10
+    assert one(spark, T.facts_section, f"Title\nBrief facts:\n{facts}\nJUDGMENT:\nguilty") == facts.strip()
+    assert one(spark, T.facts_section, f"Title\nThe facts of the case are: {facts}\n2. It is so.") == facts.strip()
+    assert one(spark, T.facts_section, "Title\n" + "y" * 4000) == "y" * 3000 and one(spark, T.facts_section, "short") == ""
 
 
 def test_seq_ratio_and_bound(spark):

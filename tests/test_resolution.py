@@ -21,6 +21,31 @@ def cases(tmp_path):
 
 def test_variants_are_resolved(spark, cases):
     got = {(r.x, r.y): r.basis for r in entry.queries()["resolve_links"](spark, cases).collect()}
-    assert got == {("a1", "a2"): "name", ("a2", "a4"): "name", ("a1", "a3"): "token_subset", ("a3", "a4"): "token_subset", ("b1", "b2"): "name_context"}
+    assert got == {("a1", "a2"): "name", ("a2", "a4"): "name", ("a1", "a3"): "name", ("a3", "a4"): "name", ("b1", "b2"): "name+context"}
     assert {(r.x, r.y) for r in entry.queries()["resolve_incremental"](spark, cases).collect()} == {("a1", "a2"), ("a2", "a4")}
     assert {r.label: r.links for r in entry.queries()["resolve_summary"](spark, cases).collect()} == {"Person": 5}
+
+
+def test_decisions_and_their_basis(spark):
+    from graphloom.operators import resolution as R
+
+    def pair(a, b, role_a="", role_b="", ctx_a=(), ctx_b=()):
+        df = spark.createDataFrame([(a, b, role_a, role_b, list(ctx_a), list(ctx_b))], "a_norm string, b_norm string, a_role string, b_role string, a_ctx array<string>, b_ctx array<string>")
+        r = R.decide(df).first()
+        return r.accepted, r.basis, r.confidence
+
+    assert pair("anil sharma", "anil k sharma") == (True, "name", 0.57)
+    assert pair("sharma", "sharma") == (False, "ambiguous-name-no-corroboration", 0.0)
+    assert pair("sharma", "sharma", "judge", "judge") == (True, "name+role", 0.75)
+    assert pair("sharma", "sharma", "victim", "victim") == (False, "ambiguous-name-no-corroboration", 0.0)
+    assert pair("g c mathur", "g s mathur", ctx_a=["x"], ctx_b=["x"])[:2] == (True, "name+context")
+    assert pair("g c mathur", "g s mathur")[1] == "conflicting-initials-no-corroboration"
+    assert pair("anil sharma", "ravi verma") == (False, "", 0.0)
+
+
+def test_date_greedy_counts_false_positives(spark, tmp_path):
+    pq.write_table(pa.Table.from_pylist([{"case_id": "c", "gold": {"time_events": ["3 May 2020", "2019", "June 2021"]}}, {"case_id": "d", "gold": {"time_events": None}}]), tmp_path / "gold_cases.parquet")
+    events = [("e1", "seen in May 2020", None, None), ("e2", None, "2020-06-01 10:00", None), ("e3", "June 2019", None, None), ("e4", None, None, "April 2021")]
+    pq.write_table(pa.Table.from_pylist([{"case_id": "c", "event_id": e, "description": x, "timestamp": t, "date": y} for e, x, t, y in events]), tmp_path / "time_events.parquet")
+    got = {r.case_id: (r.tp, r.fp, r.fn) for r in entry.queries()["date_greedy"](spark, str(tmp_path)).collect()}
+    assert got == {"c": (2, 2, 1), "d": (0, 0, 0)}
