@@ -6,17 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
+from ..shared import Scratch
 from ..sources.tables import table
 from . import abuse, addresses, canonical, components, leakage, names, packing, vectors
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(record_key_a, record_key_b): records that mean the same person or organisation."""
-    tune(spark)
+def _named(spark: SparkSession, folder: str) -> DataFrame:
     people = table(spark, folder, "person_records", ["person_id", "name", "age", "gender", "phone"]).withColumnRenamed("person_id", "record_key")
     gold = table(spark, folder, "gold_cases", ["case_id", "gold"]).select("case_id", F.posexplode("gold.persons").alias("i", "p"))
     gold = gold.select(F.concat("case_id", F.lit("#"), F.col("i").cast("string")).alias("record_key"), F.try_element_at("p", F.lit(1)).alias("name"), F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast("string").alias("phone"))
-    return names.link_names(spark, people.unionByName(gold))
+    return people.unionByName(gold)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_key_a, record_key_b): records that mean the same person or organisation."""
+    tune(spark)
+    return names.link_names(spark, _named(spark, folder))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_key, group_id, n_links): the group of every named record and how many others are in it."""
+    tune(spark)
+    at, _ = Scratch(spark, "names").write(names.name_groups(spark, _named(spark, folder)))
+    sizes = at.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    return at.join(sizes, "group_id").select("record_key", "group_id", "n_links")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +105,7 @@ SELECT x AS record_id, min(r) AS group_id FROM reach GROUP BY x
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:
