@@ -64,7 +64,7 @@ ALIASES = {
 NOISE = ("a case of", "case of", "alleged", "allegedly", "suspected", "offence of", "offense of", "charge of", "charges of", "under inv", "under investigation", "u/s", "us", "under section", "section", "sec", "reported", "complaint of", "fir for", "registered", "pending", "incident of", "crime of", "act of", "re", "regarding", "confirmed", "ipc", "probable", "possible", "case", "cases", "matter of", "matter")
 
 #: Edits allowed by length of the reference string: (longest length, edits). Longer ones get the last.
-EDITS = ((4, 1), (8, 2), (13, 3), (99, 4))
+EDITS = ((2, 0), (4, 1), (8, 2), (13, 3), (14, 4))
 
 
 def _sql_list(words) -> str:
@@ -131,30 +131,38 @@ def map_to_list(spark: SparkSession, values: DataFrame, reference: DataFrame, al
       select codes.value, min(r.entry_id) entry_id from codes join r on codes.c = r.c group by codes.value""").createOrReplaceTempView("canon_by_code")
     # pigeonhole: k + 1 segments of the name, equal to the value's substring at most k places off
     spark.sql(f"""
-      with n as (select s, entry_id, p, length(s) len, {_edits_sql('s')} k from canon_names where length(s) >= 3),
+      with n as (select s, entry_id, p, length(s) len, {_edits_sql('s')} k from canon_names),
       cut as (select *, explode(sequence(0, k)) i from n)
       select s, entry_id, p, len, k, i, cast(floor(len * i / (k + 1)) as int) at, substring(s, cast(floor(len * i / (k + 1)) as int) + 1, cast(floor(len * (i + 1) / (k + 1)) - floor(len * i / (k + 1)) as int)) seg
       from cut""").createOrReplaceTempView("canon_segments")
+    # a value meets the shapes of every length within reach by equality
     spark.sql(f"""
-      with v as (select distinct s, length(s) len from canon_distinct where length(s) between 2 and {EDITS[-1][0]}),
+      with v as (select distinct s, length(s) len from canon_distinct where s <> ''),
       shape as (select distinct len, k, at, length(seg) seg_len from canon_segments),
+      near as (select s, len, explode(sequence(greatest(1, len - {EDITS[-1][1]}), len + {EDITS[-1][1]})) rlen from v),
       probe as (
-        select v.s, shape.len rlen, shape.k, shape.at, substring(v.s, q + 1, shape.seg_len) seg
-        from v join shape on shape.len between v.len - shape.k and v.len + shape.k
+        select n.s, n.rlen, shape.k, shape.at, substring(n.s, q + 1, shape.seg_len) seg
+        from near n join shape on shape.len = n.rlen and abs(n.len - n.rlen) <= shape.k
         lateral view explode(sequence(greatest(0, at - k), at + k)) t as q
-        where q + seg_len <= v.len),
+        where q + seg_len <= n.len),
       pairs as (select distinct p.s, g.s r, g.entry_id, g.p, g.k from probe p join canon_segments g on p.seg = g.seg and p.at = g.at and p.rlen = g.len and p.k = g.k),
       checked as (select s, entry_id, p, r, levenshtein(s, r, k) d, k from pairs)
       select s, min(struct(d, p, entry_id)).entry_id entry_id from checked where d >= 0 group by s""").createOrReplaceTempView("canon_by_edits")
-    # abbreviated words (griev. hurt, rob'y): each word of the name begins with the written one, or with its start and ends with its end
+    # abbreviated words (griev. hurt, rob'y): each word of the name begins with the written one, or with its start and ends with its end;
+    # they meet by the number of words and the place and beginning of the first abbreviated word, its two first letters where it has them
+    start = "case when {0} like '%.%' then rtrim('.', {0}) else split({0}, chr(39))[0] end"
     spark.sql(f"""
-      with v as (select value, s, split(trim(regexp_replace(dotted, concat('\\\\b(', '{'|'.join(sorted((w.replace('/', ' ') for w in NOISE), key=len, reverse=True))}', ')\\\\b'), ' ')), ' +') w
+      with w as (select value, split(trim(regexp_replace(dotted, concat('\\\\b(', '{"|".join(sorted((w.replace("/", " ") for w in NOISE), key=len, reverse=True))}', ')\\\\b'), ' ')), ' +') w
                  from canon_distinct d where (dotted like '%.%' or dotted like '%''%')),
-      n as (select entry_id, s, p, split(s, ' ') w from canon_names)
-      select v.value, min(struct(n.p, n.entry_id)).entry_id entry_id from v join n on size(v.w) = size(n.w) and substring(v.w[0], 1, 1) = substring(n.w[0], 1, 1) and n.p < 2
+      at as (select value, w, coalesce(array_min(filter(transform(w, (a, i) -> case when (a like '%.' and length(a) > 2) or (a like '%''%' and a not like concat(chr(39), '%')) then i end), i -> i is not null)), -1) i from w),
+      v as (select value, w, i, case when i < 0 then '' else substring({start.format('w[i]')}, 1, 2) end b from at),
+      n as (select entry_id, s, p, split(s, ' ') w from canon_names where p < 2),
+      placed as (select entry_id, p, w, i, explode(array(substring(w[i], 1, 1), substring(w[i], 1, 2))) b from (select *, explode(sequence(0, size(w) - 1)) i from n)
+                 union all select entry_id, p, w, -1, '' from n)
+      select v.value, min(struct(n.p, n.entry_id)).entry_id entry_id from v join (select distinct * from placed) n on size(v.w) = size(n.w) and v.i = n.i and v.b = n.b
       where forall(zip_with(v.w, n.w, (a, b) -> coalesce(
         case when a like '%.' and length(a) > 2 then startswith(b, rtrim('.', a))
-             when a like '%''%' then startswith(b, split(a, '''')[0]) and endswith(b, split(a, '''')[1])
+             when a like '%''%' then startswith(b, split(a, chr(39))[0]) and endswith(b, split(a, chr(39))[1])
              else levenshtein(rtrim('.', a), b) <= case when length(b) <= 4 then 1 else 2 end end, false)), x -> x)
       group by v.value""").createOrReplaceTempView("canon_by_abbreviation")
     # a code names the entry, then an abbreviation, then the nearest spelling

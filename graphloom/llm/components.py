@@ -10,8 +10,10 @@ to them by new edges. A vertex that has a parent leaves the
 graph, so every round shrinks it, and the rounds end when no edge is left. The
 parents are then followed back from the last round to the first.
 
-A vertex with a third of all edges is spread over the B cells of its row, and what
-is exchanged for it is 2B-1 rows, whatever its degree.
+A vertex with a third of all edges is spread over the B cells of its row, and a cell
+that holds more than ``CELL_EDGES`` all the same is cut by the hash of its edges into so
+many parts that none does. What is exchanged for a vertex is a row a part, reduced
+to the smallest before it is shuffled, whatever its degree.
 """
 
 from __future__ import annotations
@@ -114,18 +116,20 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
         blocks = max(1, math.ceil(math.sqrt(n / cell_edges)))
         block = lambda c: F.pmod(F.xxhash64(F.lit(len(rounds)), c), F.lit(blocks))  # noqa: B023, E731
         celled = current.select((block("u") * blocks + block("v")).alias("cell"), "u", "v")
-        local, local_path = scratch.write(celled.repartition(min(blocks * blocks, max(1, 4 * spark.sparkContext.defaultParallelism)), "cell").sortWithinPartitions("cell").mapInArrow(_cells, "v string, rep string"))
-        # at most 2 * blocks - 1 representatives meet at a vertex
-        met, met_path = scratch.write(local.groupBy("v").agg(F.min("rep").alias("parent"), F.collect_set("rep").alias("reps")))
-        parents, _ = _stable(scratch, met.select("v", "parent"))
+        # cells over the limit, as those of a hub's row are, in parts
+        full = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_edges).cast("int").alias("parts")).where("parts > 1")
+        if not full.isEmpty():
+            part = F.coalesce(F.pmod(F.xxhash64("u", "v"), F.col("parts")), F.lit(0))
+            celled = celled.join(full, "cell", "left").select(F.xxhash64("cell", part).alias("cell"), "u", "v")
+        local, local_path = scratch.write(celled.repartition(4 * spark.sparkContext.defaultParallelism, "cell").sortWithinPartitions("cell").mapInArrow(_cells, "v string, rep string"))
+        parents, _ = _stable(scratch, local.groupBy("v").agg(F.min("rep").alias("parent")))
         rounds.append(parents)
-        rest = met.select("v", F.explode("reps").alias("rep")).join(parents, "v").select("parent", "rep").where(F.col("rep") != F.col("parent"))
+        rest = local.join(parents, "v").select("parent", "rep").where(F.col("rep") != F.col("parent")).distinct()
         root_of_rep = parents.select(F.col("v").alias("rep"), F.col("parent").alias("root"))
         rest = rest.join(root_of_rep, "rep", "left").select("parent", F.coalesce("root", "rep").alias("rep")).where(F.col("rep") != F.col("parent"))
         ahead, ahead_path = scratch.write(rest.select(F.least("parent", "rep").alias("u"), F.greatest("parent", "rep").alias("v")).distinct())
         scratch.drop(path)
         scratch.drop(local_path)
-        scratch.drop(met_path)
         current, path = ahead, ahead_path
     if not rounds:
         return spark.createDataFrame([], "record_id string, group_id string")

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import Scratch
@@ -119,8 +120,10 @@ def pack(spark: SparkSession, docs: DataFrame, key: str, text: str, capacity: in
     counts, _ = scratch.write(token_counts(docs, key, text, path).where("n_tokens > 0"))
     n = counts.where(F.col("n_tokens") % capacity != 0).count()
     groups = max(1, round(n / group))
-    whole = counts.where(F.col("n_tokens") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_tokens") / capacity) - 1)).alias("i"))
-    whole = whole.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("i").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("sequence_id"), F.lit(0).alias("position"), "doc_id", (F.col("i") * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("n_tokens"))
+    # long documents alone are numbered, so that repeated rows get sequences of their own
+    long = counts.where(F.col("n_tokens") >= capacity).withColumn("copy", F.row_number().over(W.partitionBy("doc_id").orderBy("n_tokens")))
+    whole = long.select("doc_id", "copy", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_tokens") / capacity) - 1)).alias("i"))
+    whole = whole.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("i").cast("string"), F.lit("-"), F.col("copy").cast("string")).alias("sequence_id"), F.lit(0).alias("position"), "doc_id", (F.col("i") * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("n_tokens"))
     rest = counts.where(F.col("n_tokens") % capacity != 0).select((F.col("n_tokens") - F.col("n_tokens") % capacity).alias("start_token"), (F.col("n_tokens") % capacity).alias("n"), "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(groups)).alias("g"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

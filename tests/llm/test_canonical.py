@@ -61,3 +61,19 @@ def test_repeated_rows_stay(spark):
     ref = spark.createDataFrame([("1", "murder", None)], "entry_id string, name string, code string")
     rows = spark.createDataFrame([("k", "murder"), ("k", "murder"), (None, "murder")], "record_key string, value string")
     assert [tuple(r) for r in canonical.map_to_list(spark, rows, ref).collect()] == [("k", "1")] * 2
+
+
+def test_short_and_long_values_take_part(spark):
+    ref = spark.createDataFrame([("1", "dv", None), ("2", "x" * 120, None), ("3", "murder", None)], "entry_id string, name string, code string")
+    none = spark.createDataFrame([], "name string, alias string")
+    rows = [("a", "DV case"), ("b", "x" * 118 + "yy"), ("c", "x" * 114), ("d", "q"), ("e", "murdr"), ("f", "dw")]
+    got = {r.record_key: r.entry_id for r in canonical.map_to_list(spark, spark.createDataFrame(rows, "record_key string, value string"), ref, none).collect()}
+    assert got == {"a": "1", "b": "2", "c": "unmatched", "d": "unmatched", "e": "3", "f": "unmatched"}
+
+
+def test_abbreviations_in_any_place(spark):
+    ref = spark.createDataFrame([("1", "grievous hurt", None), ("2", "criminal breach of trust", None), ("3", "robbery", None)], "entry_id string, name string, code string")
+    none = spark.createDataFrame([], "name string, alias string")
+    rows = [("a", "griev. hurt"), ("b", "crim. br. of trust"), ("c", "rob'y"), ("d", "grievous h'rt"), ("e", "gr. hurt")]
+    got = {r.record_key: r.entry_id for r in canonical.map_to_list(spark, spark.createDataFrame(rows, "record_key string, value string"), ref, none).collect()}
+    assert got == {"a": "1", "b": "2", "c": "3", "d": "1", "e": "1"}

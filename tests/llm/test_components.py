@@ -50,3 +50,12 @@ def test_nulls_self_pairs_and_empty(spark):
 
 def test_local_union_find():
     assert components.local_components(["b", "d"], ["a", "c"]) == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
+def test_a_hub_fills_no_cell(spark, monkeypatch):
+    """A hub with nearly all edges: its cells are cut, and no part holds more than a few times the limit."""
+    from pyspark.sql import functions as F
+
+    edges = spark.range(3_000).select(F.lit("hub").alias("a"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("b")).unionByName(spark.createDataFrame([("v1", "w1"), ("w2", "w3")], "a string, b string"))
+    got = {r.record_id: r.group_id for r in components.connected_components(spark, edges, cell_edges=50).collect()}
+    assert len(got) == 3_004 and got["w2"] == got["w3"] == "w2" and {got[k] for k in got if k not in ("w2", "w3")} == {"hub"}
