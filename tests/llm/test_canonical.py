@@ -28,7 +28,7 @@ def test_every_edit_up_to_k_is_found(spark):
 
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randint(5, 16))) for _ in range(25)]
-    allowed = lambda n: next(k for limit, k in canonical.EDITS if n <= limit)
+    allowed = lambda n: next((k for limit, k in canonical.EDITS if n <= limit), canonical.EDITS[-1][1])
     values = []
     for w in words:
         v = list(w)
