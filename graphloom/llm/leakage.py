@@ -285,9 +285,11 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_key: str =
     hits, _ = scratch.write(sharing.select("u", "length", F.explode("hits").alias("h")).join(of_items.select("h").distinct(), "h", "left_semi").distinct())
     rarity = hits.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
     # the prefix of every item: all but its commonest shingles
-    ranked = of_items.join(rarity, "h", "left").withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.coalesce("docs", F.lit(0)), "h")))
-    prefix = ranked.where(F.col("docs").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(OVERLAP * F.col("n")) + 1)).select("h", "v", "size")
-    candidates = hits.join(prefix, "h").where(F.col("length") >= part * F.col("size")).select("u", "v").distinct()
+    ranked = of_items.join(rarity, "h").withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("docs"), F.desc("h"))))
+    marked = ranked.select("h", "v", "size", "n", (F.col("r") >= F.ceil(OVERLAP * F.col("n"))).alias("prefix"))
+    # pairs that share a prefix shingle, and so many shingles in all that the required part can be there
+    common = hits.join(marked, "h").where(F.col("length") >= part * F.col("size")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.max("prefix").alias("prefix"), F.max("n").alias("n"))
+    candidates = common.where(F.col("prefix") & (F.col("c") >= OVERLAP * F.col("n"))).select("u", "v")
     pairs = candidates.join(wanted.select("v", "item_id", "item"), "v").join(sharing.select("u", "doc_id", "words").dropDuplicates(["u"]), "u")
     # few bytes, but seconds of work: not to be left to one task; the pairs of one document stand together
     pairs = pairs.repartition(8 * spark.sparkContext.defaultParallelism, "u", "v").sortWithinPartitions("u", "v").select("doc_id", "words", "item_id", "item")
