@@ -156,6 +156,41 @@ def hamming_limit(cosine: float) -> int:
     return math.ceil(128 * p + SLACK * math.sqrt(128 * p * (1 - p)))
 
 
+class Cells:
+    """Runs of equal keys in a sorted array, looked up by an open hash table."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.first, self.count = np.unique(keys, return_index=True, return_counts=True)
+        self.bits = max(4, (4 * len(self.keys)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(self.keys), dtype=np.int32), self._slot(self.keys)
+        while len(left):
+            free = self.table[at[left]] < 0
+            self.table[at[left][free]] = left[free]
+            left = left[self.table[at[left]] != left]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the keys that have a run, which runs)."""
+        at = self._slot(keys)
+        place, run = np.arange(len(keys)), self.table[at]
+        found = []
+        while len(place):
+            some = run >= 0
+            place, run = place[some], run[some]
+            same = self.keys[run] == keys[place]
+            found.append((place[same], run[same]))
+            place = place[~same]
+            at[place] = (at[place] + 1) & self.mask
+            run = self.table[at[place]]
+        return np.concatenate([x[0] for x in found] or [place]), np.concatenate([x[1] for x in found] or [run])
+
+
 def bucket_pairs(ids: np.ndarray, q: np.ndarray, sk: np.ndarray, probes: list[tuple[int, ...]], limit: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (smaller id, greater id) of one bucket whose sketches differ in at most ``limit`` signs."""
     n, m = q.shape
@@ -166,28 +201,30 @@ def bucket_pairs(ids: np.ndarray, q: np.ndarray, sk: np.ndarray, probes: list[tu
     with np.errstate(over="ignore"):
         home = (code.astype(np.int64) * r).sum(axis=1, dtype=np.int64)
         order = np.argsort(home, kind="stable")
-        keys = home[order]
+        cells = Cells(home[order])
+        s0, s1 = np.ascontiguousarray(sk[:, 0]), np.ascontiguousarray(sk[:, 1])
+        t0, t1 = s0[order], s1[order]  # as a cell's members lie together
         walls = np.concatenate([frac, 1 - frac], axis=1)
         rank = np.argsort(walls, axis=1, kind="stable")
-        delta = np.concatenate([-r, r])[rank]  # what crossing the j-th closest wall adds to the hash
+        delta = np.ascontiguousarray(np.concatenate([-r, r])[rank].T)  # what crossing the j-th closest wall adds to the hash
         for s in [(), *probes]:
-            hit = home + delta[:, list(s)].sum(axis=1, dtype=np.int64) if s else home
-            lo, hi = np.searchsorted(keys, hit, "left"), np.searchsorted(keys, hit, "right")
-            count = hi - lo
-            some = np.flatnonzero(count)
-            ends = np.cumsum(count[some])
+            hit = home + sum(delta[j] for j in s) if s else home
+            some, run = cells.find(hit)
+            lo, count = cells.first[run], cells.count[run]
+            ends = np.cumsum(count)
             start = 0
             while start < len(some):
                 done = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
-                part = some[start:stop]
-                c = count[part]
-                i = np.repeat(part, c)
-                j = order[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[part], c)]
-                keep = i < j if not s else i != j
-                i, j = i[keep], j[keep]
-                far = np.bitwise_count(sk[i, 0] ^ sk[j, 0]).astype(np.int16) + np.bitwise_count(sk[i, 1] ^ sk[j, 1])
-                near = far <= limit
+                part, c = some[start:stop], count[start:stop]
+                at = np.arange(c.sum()) + np.repeat(lo[start:stop] - np.cumsum(c) + c, c)
+                # half of the sketch rules most out
+                far = np.bitwise_count(np.repeat(s0[part], c) ^ t0[at])
+                near = np.flatnonzero(far <= limit)
+                i, at, far = np.repeat(part, c)[near], at[near], far[near]
+                far = far + np.bitwise_count(s1[i] ^ t1[at])
+                j = order[at]
+                near = (far <= limit) & (i != j if s else i < j)
                 a, b = ids[i[near]], ids[j[near]]
                 yield np.minimum(a, b), np.maximum(a, b)
                 start = stop
