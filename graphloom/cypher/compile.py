@@ -14,11 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Scratch
 from .guard import is_destructive
 from .parser import CypherError, Match, Node, Projection, Rel, Unwind, parse
 
-#: Rows a query without LIMIT returns at most, unless the caller says otherwise, and hops of an unbounded ``*``.
-DEFAULT_LIMIT, MAX_HOPS = 50, 5
+#: Rows a query without LIMIT returns at most, unless the caller says otherwise.
+DEFAULT_LIMIT = 50
 COLUMNS = ("node_id", "label", "key", "name", "props")
 
 
@@ -169,15 +170,30 @@ class Compiler:
         return pick("src", "dst").unionByName(pick("dst", "src").where(f"{var}__a <> {var}__b"))
 
     def hops(self, rel: Rel, var: str, start: DataFrame, column: str) -> DataFrame:
-        """(var__a, var__b) of all distinct pairs low..high hops apart, from the starts at hand."""
-        high = rel.high if rel.high is not None else MAX_HOPS
-        one = self.edges(Rel(None, rel.types, rel.direction), "h").select("h__a", "h__b").distinct()
-        level = start.select(F.col(column).alias(f"{var}__a")).distinct().withColumn("at", F.col(f"{var}__a"))
-        found = level if rel.low == 0 else None
-        for d in range(1, high + 1):
-            level = level.join(one, level["at"] == one["h__a"]).select(f"{var}__a", F.col("h__b").alias("at")).distinct()
-            if d >= max(1, rel.low or 1):
-                found = level if found is None else found.unionByName(level)
+        """(var__a, var__b) of all distinct pairs low..high hops apart, from the starts at hand; without ``high`` until nothing new is reached.
+
+        Edges and levels are written down, and from ``low`` on a level goes on from its new
+        pairs only: what is reached again was left before.
+        """
+        scratch = Scratch(start.sparkSession, "hops")
+        one, _ = scratch.write(self.edges(Rel(None, rel.types, rel.direction), "h").select("h__a", "h__b").distinct())
+        level, _ = scratch.write(start.select(F.col(column).alias(f"{var}__a")).distinct().withColumn("at", F.col(f"{var}__a")))
+        low = 1 if rel.low is None else rel.low
+        found = level if low == 0 else None
+        seen, d = None, 0
+        while rel.high is None or d < rel.high:
+            d += 1
+            ahead = level.join(one, level["at"] == one["h__a"]).select(f"{var}__a", F.col("h__b").alias("at")).distinct()
+            if seen is not None:
+                ahead = ahead.join(seen, [f"{var}__a", "at"], "left_anti")
+            level, _ = scratch.write(ahead)
+            if level.isEmpty():
+                break
+            if d >= max(1, low):
+                seen = level if seen is None else seen.unionByName(level)
+        if seen is not None:
+            found = seen if found is None else found.unionByName(seen)
+        found = level.limit(0) if found is None else found
         return found.distinct().withColumnRenamed("at", f"{var}__b")
 
     def match(self, frame: DataFrame | None, clause: Match) -> DataFrame:

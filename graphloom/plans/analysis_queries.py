@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import jsontext
 from ..functions import text as T
+from ..operators import gold as GOLD
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import resolution as R
@@ -581,6 +582,45 @@ def _(s, d):
     return v.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("lo") == F.col("hi")).alias("agree"))
 
 
+def _two_readings(s, d):
+    """Cases annotated by hand, and what the rules find in their narratives."""
+    from ..providers import extract
+
+    g = table(s, d, "gold_cases", ["case_id", "narrative", "gold"]).where("case_id is not null").dropDuplicates(["case_id"])
+    found = extract(g.select(F.col("case_id").alias("doc_id"), "narrative"), "doc_id", "narrative")[0]
+    of = lambda t: F.array_sort(F.collect_list(F.when(F.col("entity_type") == t, F.col("name"))))
+    b = found.groupBy(F.col("doc_id").alias("case_id")).agg(F.struct(F.transform(of("Person"), lambda n: F.array(n, F.lit(None).cast("string"))).alias("persons"), of("Location").alias("locations"), of("Weapon").alias("weapons"), of("CrimeType").alias("crime_types"), of("TimeEvent").alias("time_events")).alias("b"))  # one narrative's
+    return g.select("case_id", F.col("gold").alias("a")).join(b, "case_id", "left")
+
+
+@query("agreement_by_type")
+def _(s, d):
+    """(entity_type, tp, fp, fn, f1): hand annotation against what the rules find in the narratives."""
+    return GOLD.agreement(_two_readings(s, d))[0]
+
+
+@query("agreement_kappas")
+def _(s, d):
+    """(kind, n, po, kappa) of roles and main crimes of the same two readings."""
+    return GOLD.agreement(_two_readings(s, d))[1]
+
+
+@query("gold_items")
+def _(s, d):
+    """(entity_type, n): what the annotations of postmortem documents name."""
+    t = table(s, d, "postmortem_reports", ["report_id", "payload"]).select(F.col("report_id").alias("doc_key"), F.lit("postmortem").alias("source_type"), F.col("payload").alias("gold")).dropDuplicates(["doc_key"])
+    return GOLD.gold_items(t).groupBy("entity_type").agg(F.sum(F.size("gold")).alias("n"))
+
+
+@query("ingest_pipeline")
+def _(s, d):
+    """(label, n): the graph that extraction, deduplication, storing, embedding and resolution make of all documents."""
+    from .. import pipeline
+
+    docs = table(s, d, "documents", ["doc_id", "text"]).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return pipeline.ingest(s, docs, *pipeline.empty_graph(s)).nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("evaluate_attributes", f"WITH {_LAB} SELECT label, count(*) n, {r4('avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END)')} accuracy FROM l GROUP BY label")
 def _(s, d):
     return _labels(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), T.round4(F.avg((F.col("gold") == F.col("pred")).cast("double"))).alias("accuracy"))

@@ -93,6 +93,10 @@ def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     return entities, relations
 
 
+#: Labels a graph may have to be asked about in words.
+MAX_LABELS = 1_000
+
+
 class TemplateTranslator:
     """Questions to queries by templates; the first that fits wins."""
 
@@ -115,7 +119,9 @@ def answer(graph, question: str, translator: TemplateTranslator | None = None, a
     """Translates, guards, runs, and on failure tries again; at most 30 rows are put in words."""
     from .cypher import run
 
-    labels = [r.label for r in graph.nodes.select("label").distinct().limit(1_000).collect()]
+    labels = [r.label for r in graph.nodes.select("label").distinct().limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError("too many labels")
     last = None
     for _ in range(attempts):
         query = (translator or TemplateTranslator()).translate(question, labels)

@@ -2,8 +2,9 @@
 
 Everything that is read more than once, or that must keep its partitions, is
 written to the folder all executors share. That folder is the session's
-``spark.checkpoint.dir``; only where it is unset (tests, a laptop) is a
-temporary folder of this machine taken.
+``spark.checkpoint.dir``; only where it is unset and the master is local (tests, a
+laptop) is a temporary folder of this machine taken. On a cluster without a shared
+folder nothing is written: that is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="graphloom-")

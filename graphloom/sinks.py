@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from .functions.text import csv_guard
 
+#: Property names above which a wide table is refused: properties are used as values.
+MAX_COLUMNS = 5_000
 STATUSES = ("open", "investigating", "closed", "cold")
 
 
 def wide(df: DataFrame, key: str, props: str) -> DataFrame:
-    """One column a property name seen, sorted, '' where missing; cells guarded against formulas."""
-    names = [r.k for r in df.select(F.explode(F.map_keys(props)).alias("k")).distinct().orderBy("k").limit(5_000).collect()]
+    """One column a property name seen, sorted, '' where missing; cells guarded against formulas. More than ``MAX_COLUMNS`` names are an error."""
+    names = sorted(r.k for r in df.select(F.explode(F.map_keys(props)).alias("k")).distinct().limit(MAX_COLUMNS + 1).collect())
+    if len(names) > MAX_COLUMNS:
+        raise ValueError("too many property names for a wide table")
     return df.select(key, *[csv_guard(F.coalesce(F.col(props).getItem(n), F.lit(""))).alias(n) for n in names])
 
 

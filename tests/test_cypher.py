@@ -56,3 +56,25 @@ def test_guard(text, expected):
 def test_refuses(g, text):
     with pytest.raises(CypherError):
         cypher.run(g, text)
+
+
+def test_unbounded_paths_run_to_the_end(spark):
+    """A chain of twelve and a ring of three: no number of hops is set."""
+    n = 12
+    nodes = spark.createDataFrame([(f"n{i}", "P", str(i), f"n{i}", {}) for i in range(n)] + [(f"r{i}", "R", str(i), f"r{i}", {}) for i in range(3)], "node_id string, label string, key string, name string, props map<string,string>")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "NEXT") for i in range(n - 1)] + [(f"r{i}", f"r{(i + 1) % 3}", "NEXT") for i in range(3)], "src string, dst string, type string")
+    g = cypher.Graph(nodes, edges)
+    at = lambda q: sorted(int(r.k) for r in cypher.run(g, q, limit=1_000).collect())
+    assert at("MATCH (a:P {key: '0'})-[:NEXT*]->(b) RETURN b.key AS k") == list(range(1, n))
+    assert at("MATCH (a:P {key: '0'})-[:NEXT*3..]->(b) RETURN b.key AS k") == list(range(3, n))
+    assert at("MATCH (a:P {key: '0'})-[:NEXT*2..4]->(b) RETURN b.key AS k") == [2, 3, 4]
+    assert at("MATCH (a:R {key: '0'})-[:NEXT*2..]->(b) RETURN b.key AS k") == [0, 1, 2]
+
+
+def test_wide_tables_are_not_cut(spark, monkeypatch):
+    from graphloom import sinks
+
+    monkeypatch.setattr(sinks, "MAX_COLUMNS", 3)
+    df = spark.createDataFrame([("a", {f"p{i}": "x" for i in range(4)})], "k string, props map<string,string>")
+    with pytest.raises(ValueError):
+        sinks.wide(df, "k", "props")
