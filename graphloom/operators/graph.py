@@ -33,7 +33,9 @@ def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     one in a shuffle join. Repeated edges do no harm.
     """
     scratch = Scratch(start.sparkSession, "reach")
-    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionByName(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")))
+    # edges may be a view over large tables: it is computed once
+    one, _ = scratch.write(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")))
+    both = one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y")))
     seen, _ = scratch.write(start.select("node_id").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):

@@ -6,10 +6,11 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import round4
+from ..shared import Scratch
+from .running import running_totals
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -46,13 +47,11 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def frontier(df: DataFrame, score: str, gold: str) -> DataFrame:
     """Per distinct score: accepted, tp, fp, precision and recall of the threshold at it.
 
-    Counts are taken per distinct score first, so the running sum is over scores, not rows.
+    Counts are taken per distinct score first, and their running totals range by range.
     """
     by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(gold).alias("g"))
-    total = by.agg(F.sum("g").alias("all"))
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    run = by.withColumn("accepted", F.sum("n").over(w)).withColumn("tp", F.sum("g").over(w)).crossJoin(total)
-    return run.select(score, "accepted", "tp", (F.col("accepted") - F.col("tp")).alias("fp"), round4(F.col("tp") / F.col("accepted")).alias("precision"), round4(ratio(F.col("tp"), F.col("all"))).alias("recall"))
+    run = running_totals(by, [], [F.desc(score)], {"accepted": "n", "tp": "g"}, Scratch(df.sparkSession, "frontier"))
+    return run.select(score, "accepted", "tp", (F.col("accepted") - F.col("tp")).alias("fp"), round4(F.col("tp") / F.col("accepted")).alias("precision"), round4(ratio(F.col("tp"), F.col("all_tp"))).alias("recall"))
 
 
 def pair_counts(df: DataFrame, by: str, case: str) -> DataFrame:

@@ -9,11 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..shared import Scratch
+from .running import running_totals
+
 
 def describe(df: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
-    """count, mean, population deviation, min, max, median of each feature; nulls are left out."""
-    long = df.unpivot(by or [], features, "feature", "x").where(F.col("x").isNotNull())
-    return long.groupBy(*(by or []), "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.median("x").alias("median"))
+    """count, mean, population deviation, min, max, median of each feature; nulls are left out.
+
+    All is taken from the counts of distinct values, which are aggregated before they are
+    shuffled; the exact median is where their running total passes the middle.
+    """
+    by = by or []
+    keys = [*by, "feature"]
+    long = df.unpivot(by, features, "feature", "x").where(F.col("x").isNotNull())
+    values = long.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
+    run = running_totals(values, keys, [F.col("x").asc()], {"upto": "n"}, Scratch(df.sparkSession, "stats"))
+    low, high = F.floor((F.col("all_upto") + 1) / 2), F.floor((F.col("all_upto") + 2) / 2)  # the middle places, one and the same for odd counts
+    holds = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place), F.col("x")))
+    middle = run.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias("median"))
+    base = long.groupBy(*keys).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    named = middle.select(*[F.col(k).alias(f"m_{k}") for k in keys], "median")
+    return base.join(named, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]).select(*keys, "n", "mean", "std", "min", "max", "median")
 
 
 def _log_beta(a: float, b: float) -> float:

@@ -173,11 +173,17 @@ def _(s, d):
     return t.select("case_id", F.format_string("Case %s (%s): %s, %s.", "case_id", na(F.col("status")), "title", na(F.col("crime_type"))).alias("line"))
 
 
-@query("jaccard_pairs", "WITH t AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) w FROM eval_items) SELECT a.item_id x, b.item_id y, " + r4("len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w)))") + " j FROM t a JOIN t b ON a.item_id < b.item_id")
+@query("jaccard_pairs", "WITH t AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) w FROM eval_items), p AS (SELECT a.item_id x, b.item_id y, len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) j FROM t a JOIN t b ON a.item_id < b.item_id) SELECT x, y, " + r4("j") + " j FROM p WHERE j >= 0.2")
 def _(s, d):
+    """(x, y, j): items whose words overlap by a fifth or more, joined on the rarest four fifths of their words."""
     t = table(s, d, "eval_items").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
-    a, b = t.select(F.col("item_id").alias("x"), F.col("w").alias("u")), t.select(F.col("item_id").alias("y"), F.col("w").alias("v"))
-    return a.join(b, F.col("x") < F.col("y")).select("x", "y", T.round4(T.jaccard(F.col("u"), F.col("v"))).alias("j"))
+    each = t.select("item_id", F.size("w").alias("n"), F.explode("w").alias("k"))
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy("m", "k"))  # the words of one item
+    prefix = each.join(each.groupBy("k").agg(F.count(F.lit(1)).alias("m")), "k").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(0.2 * F.col("n")) + 1).select("item_id", "k")
+    a, b = prefix.select(F.col("item_id").alias("x"), "k"), prefix.select(F.col("item_id").alias("y"), "k")
+    p = a.join(b, "k").where("x < y").select("x", "y").distinct()
+    p = p.join(t.select(F.col("item_id").alias("x"), F.col("w").alias("u")), "x").join(t.select(F.col("item_id").alias("y"), F.col("w").alias("v")), "y")
+    return p.withColumn("j", T.jaccard(F.col("u"), F.col("v"))).where("j >= 0.2").select("x", "y", T.round4(F.col("j")).alias("j"))
 
 
 @query("token_subset", "SELECT DISTINCT g.name || '|' || l.name p FROM crime_type_list g, crime_type_list l WHERE g.name <> l.name AND len(list_filter(string_split(g.name, ' '), lambda x: NOT list_contains(string_split(l.name, ' '), x))) = 0")
@@ -242,18 +248,19 @@ def _(s, d):
     return t.select("case_id", F.array_join(F.slice("gold.locations", 1, 2), "|").alias("s"), F.array_contains("gold.crime_types", "murder").alias("c"), F.array_join(F.concat("gold.crime_types", F.array(F.lit("x"))), "|").alias("k"))
 
 
-@query("map_ops", "SELECT c_custkey k, c_mktsegment v, 2 n FROM customer")
+@query("map_ops", "SELECT c_custkey k, c_mktsegment v, CASE WHEN c_name IS NULL THEN 1 ELSE 2 END n FROM customer")
 def _(s, d):
+    """A later map's value replaces an earlier one's; keys without a value are left out."""
     t = table(s, d, "customer", ["c_custkey", "c_name", "c_mktsegment"])
     m = F.map_concat(F.create_map(F.lit("name"), F.col("c_name"), F.lit("seg"), F.lit("old")), F.create_map(F.lit("seg"), F.col("c_mktsegment")))
-    return t.withColumn("m", m).select(F.col("c_custkey").alias("k"), F.col("m").getItem("seg").alias("v"), F.size("m").alias("n"))
+    return t.withColumn("m", F.map_filter(m, lambda k, v: v.isNotNull())).select(F.col("c_custkey").alias("k"), F.col("m").getItem("seg").alias("v"), F.size("m").alias("n"))
 
 
-@query("map_key_union", "SELECT k FROM (VALUES ('c_mktsegment'), ('p_brand'), ('p_type'), ('o_orderstatus'), ('o_orderpriority')) t(k)")
+@query("map_key_union", "SELECT k, count(*) n FROM (SELECT unnest(list_distinct(json_keys(props))) k FROM events WHERE json_valid(props)) GROUP BY k")
 def _(s, d):
-    from ..model import nodes
-
-    return nodes(s, d).select(F.explode(F.map_keys("props")).alias("k")).distinct()
+    """(k, n): every key of the events' properties and how many have it."""
+    m = F.from_json("props", "map<string,string>")
+    return table(s, d, "events", ["props"]).select(F.explode(F.array_distinct(F.map_keys(m))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("meaningful_props", "SELECT person_id, (CASE WHEN coalesce(description, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(address, '') <> '' THEN 1 ELSE 0 END) n FROM person_records")
@@ -375,9 +382,15 @@ def _(s, d):
     return t.withColumn("mean", T.round4(F.col("mean"))).withColumn("std", T.round4(F.col("std")))
 
 
-@query("t_interval", f"SELECT g AS l_returnflag, feature, count(x) n, {r4('avg(x)')} mean FROM ({_LONG}) GROUP BY g, feature HAVING count(x) > 1")
+#: Student's 0.975 quantile by its expansion in powers of 1 / degrees of freedom, for the twin.
+_T975 = "(1.959963984540054 + 2.372271230298562 / (n - 1) + 2.8224986157396 / ((n - 1) * (n - 1)) + 2.555849679507722 / ((n - 1.0) * (n - 1) * (n - 1)))"
+
+
+@query("t_interval", f"WITH x AS (SELECT g AS l_returnflag, feature, count(x) n, avg(x) mean, stddev_samp(x) / sqrt(count(x)) sem FROM ({_LONG}) GROUP BY g, feature HAVING count(x) > 1) SELECT l_returnflag, feature, n, {r4('mean')} mean, floor((mean - sem * {_T975}) * 1000 + 0.5) / 1000 low, floor((mean + sem * {_T975}) * 1000 + 0.5) / 1000 high FROM x")
 def _(s, d):
-    return S.t_interval(_stats_frame(s, d), NUM, ["l_returnflag"]).select("l_returnflag", "feature", "n", T.round4(F.col("mean")).alias("mean"))
+    """95 % interval of each feature's mean by return flag."""
+    three = lambda c: F.floor(F.col(c) * 1000 + 0.5) / 1000
+    return S.t_interval(_stats_frame(s, d), NUM, ["l_returnflag"]).select("l_returnflag", "feature", "n", T.round4(F.col("mean")).alias("mean"), three("low").alias("low"), three("high").alias("high"))
 
 
 @query("corr_matrix", "SELECT 'l_quantity' a, 'l_extendedprice' b, " + r4("corr(l_quantity, l_extendedprice)") + " r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', " + r4("corr(l_quantity, l_discount)") + " FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', " + r4("corr(l_extendedprice, l_discount)") + " FROM lineitem")
@@ -629,9 +642,11 @@ def _(s, d):
 # --- vectors and resolution
 @query("cosine_pairs", "SELECT a.vec_id x, b.vec_id y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
 def _(s, d):
+    """(x, y): pairs of a label of cosine 0.3 or more, block against block."""
     t = table(s, d, "embeddings", ["vec_id", "embedding", "label"])
-    a, b = t.select(F.col("vec_id").alias("x"), F.col("embedding").alias("u"), "label"), t.select(F.col("vec_id").alias("y"), F.col("embedding").alias("v"), "label")
-    return a.join(b, "label").where("x < y").where(T.cosine(F.col("u"), F.col("v")) >= 0.3).select("x", "y")
+    t = t.select(F.col("vec_id").cast("string").alias("eid"), "label", F.col("vec_id").cast("string").alias("doc"), F.col("embedding").alias("emb"))
+    p = R.candidates(t, 0.3).select(F.col("a_eid").cast("bigint").alias("a"), F.col("b_eid").cast("bigint").alias("b"))
+    return p.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
 
 
 def _knn_all(s, d, label=None, k=10):

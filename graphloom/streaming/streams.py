@@ -76,20 +76,34 @@ def gap_state(stream: DataFrame, key: str, ts: str, hours: float) -> DataFrame:
     return event_time(stream, ts).select(key, ts).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, from_ts timestamp, to_ts timestamp, gap_hours double", "last timestamp", "append", "NoTimeout")
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], order: str, scratch: Scratch) -> DataFrame:
-    """The last row of each key after all micro-batches: each batch is merged into the table written before it."""
+#: Parts the table of an upserting stream is kept in; a micro-batch rewrites those its keys fall into.
+PARTS = 64
+
+
+def upsert_stream(stream: DataFrame, keys: list[str], order: str, scratch: Scratch, parts: int = PARTS) -> DataFrame:
+    """The last row of each key after all micro-batches: each batch is merged into the parts of the table its keys fall into."""
     spark = stream.sparkSession
-    state: dict[str, str | None] = {"path": None}
+    state: dict[int, str] = {}
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
     def merge(batch: DataFrame, n: int) -> None:
-        old = spark.read.parquet(state["path"]) if state["path"] else None
-        both = batch if old is None else old.unionByName(batch)
+        new, new_path = scratch.write(batch.withColumn("part__", bucket))
+        touched = sorted(r[0] for r in new.select("part__").distinct().collect())  # parts at most
+        if not touched:
+            return
+        old = [state[p] for p in touched if p in state]
+        both = new.drop("part__") if not old else new.drop("part__").unionByName(spark.read.schema(stream.schema).parquet(*old))
         rest = [c for c in both.columns if c not in keys]
-        new = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r")).select(*keys, *[F.col("r").getField(c).alias(c) for c in rest])
-        state["path"] = scratch.write(new)[1]
+        last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r")).select(*keys, *[F.col("r").getField(c).alias(c) for c in rest])
+        scratch.n += 1
+        out = f"{scratch.root}/{scratch.n}"
+        last.withColumn("part__", bucket).repartition("part__").write.partitionBy("part__").parquet(out)
+        state.update({p: f"{out}/part__={p}" for p in touched})
+        for path in [*old, new_path]:
+            scratch.drop(path)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{scratch.root}/state-{scratch.n}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(state["path"]).select(*stream.columns) if state["path"] else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*state.values()).select(*stream.columns) if state else spark.createDataFrame([], stream.schema)
 
 
 def incremental(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -102,7 +102,7 @@ def test_decisions(spark):
     v = [1.0, 0.0]
     rows = [("a", "d1", "anil sharma", None, v, []), ("b", "d2", "anil k sharma", None, v, []), ("c", "d3", "g c x", None, v, ["p"]), ("d", "d4", "g s x", None, v, ["p"]), ("e", "d5", "sharma", None, v, []), ("z", "d9", "anil sharma", None, [0.0, 0.0], [])]
     got = {(r.a_eid, r.b_eid): (r.accepted, r.basis) for r in resolution.decide(resolution.candidates(nodes(spark, rows), 0.78)).collect()}
-    assert got["a", "b"] == (True, "token_subset") and not got["a", "e"][0]
+    assert got["a", "b"] == (True, "name") and not got["a", "e"][0]
     assert not any("z" in k for k in got)
 
 
@@ -124,3 +124,24 @@ def test_image_measures(spark):
     assert r["a"].n_stains == 2 and r["a"].n_lines == 2 and r["b"].n_stains is None and r["c"].sobel_max is None
     s = images.stains(images.decode_pnm(data))[0]
     assert (s["area"], s["width"], s["height"]) == (300.0, 20.0, 15.0)
+
+
+def test_running_totals_and_median_over_cut_groups(spark):
+    import random
+    import statistics
+
+    from graphloom.operators import stats as S
+    from graphloom.operators.running import running_totals
+    from graphloom.shared import Scratch
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    rows = [("hot" if rnd.random() < 0.8 else rnd.choice(["a", None]), i, rnd.randrange(50)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    got = {r.i: (r.s, r.all_s) for r in running_totals(df, ["g"], [F.desc("i")], {"s": "v"}, Scratch(spark, "t")).collect()}
+    for g, i, _ in rows:
+        own = [x for x in rows if x[0] == g]
+        assert got[i] == (sum(x[2] for x in own if x[1] >= i), sum(x[2] for x in own))
+    assert running_totals(df.limit(0), ["g"], [F.desc("i")], {"s": "v"}, Scratch(spark, "t")).collect() == []
+    med = {r.g: r.median for r in S.describe(df, ["v"], ["g"]).collect()}
+    assert med == {g: statistics.median(x[2] for x in rows if x[0] == g) for g in ("hot", "a", None)}
