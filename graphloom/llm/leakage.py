@@ -122,10 +122,15 @@ def _sweep(agree: list[np.ndarray], n: int, local: bool, wanted: int | None = No
     slope = 2 * _SCORE * np.arange(n + 1, dtype=np.int64)
     prev = np.zeros(n + 1, np.int64) if local else -slope
     best = (0, 0, 0)
+    gains: dict[int, np.ndarray] = {}  # by row, for equal words share one; of long items only while in use
     for i, row in enumerate(agree, 1):
+        if (gain := gains.get(id(row))) is None:
+            gain = np.where(row, _SCORE + 1, -2 * _SCORE)
+            if n <= 4096:
+                gains[id(row)] = gain
         now = np.empty(n + 1, np.int64)
         now[0] = 0 if local else -2 * _SCORE * i
-        np.maximum(np.where(row, prev[:-1] + (_SCORE + 1), prev[:-1] - 2 * _SCORE), prev[1:] - 2 * _SCORE, out=now[1:])
+        np.maximum(prev[:-1] + gain, prev[1:] - 2 * _SCORE, out=now[1:])
         now = np.maximum.accumulate(now + slope) - slope
         if local:
             now[now < _SCORE] = 0
@@ -138,14 +143,15 @@ def _sweep(agree: list[np.ndarray], n: int, local: bool, wanted: int | None = No
     return best
 
 
-def align(agree: list[np.ndarray]) -> tuple[int, int, int, int, int]:
-    """Best local alignment (match 1, change or gap -2): (matching words, document from, to, item from, to)."""
+def align(agree: list[np.ndarray], least: int = 1) -> tuple[int, int, int, int, int]:
+    """Best local alignment (match 1, change or gap -2): (matching words, document from, to, item from, to); zeros where fewer than ``least`` match."""
     n = len(agree[0]) if len(agree) else 0
     value, i, j = _sweep(agree, n, True)
-    if not value:
+    if value % _SCORE < least:
         return 0, 0, 0, 0, 0
     # where it began: the same way back from its end
-    _, di, dj = _sweep([r[:j][::-1] for r in agree[:i][::-1]], j, False, value)
+    turned = {id(r): r[:j][::-1] for r in agree[:i]}
+    _, di, dj = _sweep([turned[id(r)] for r in agree[:i][::-1]], j, False, value)
     return value % _SCORE, i - di, i, j - dj, j
 
 
@@ -191,7 +197,7 @@ def contained(doc: list[str], item: Item, hits: list[tuple[int, int]]) -> int:
             continue
         lo, hi = max(0, c[0] - c[2] - 4), min(len(doc), c[1] + size - c[3] + 4)
         agree = item.matches(doc[lo:hi])
-        while (got := align(agree))[0] >= min(PASSAGE, size):
+        while (got := align(agree, min(PASSAGE, size)))[0] >= min(PASSAGE, size):
             n, a, b, s, e = got
             if (p := (n, a + lo, b + lo, s, e)) not in passages:
                 passages.append(p)
