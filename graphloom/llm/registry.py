@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import tune
 from ..shared import Scratch
 from ..sources.tables import table
-from . import abuse, addresses, canonical, components, leakage, names, packing, vectors
+from . import abuse, addresses, canonical, canonical_twin, components, leakage, names, packing, vectors
 
 
 def _named(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,4 +109,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p3_found": canonical_twin.P3_SQL, "p5_found": P5_SQL}
