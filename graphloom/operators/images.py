@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 LARGEST = 1024
 
@@ -30,11 +34,98 @@ def decode_pnm(data: bytes | None) -> np.ndarray | None:
     body = np.frombuffer(data, np.uint8, offset=at + 1)
     if len(body) < w * h * depth:
         return None
-    img = body[: w * h * depth].reshape((h, w, 3) if depth == 3 else (h, w)).astype(np.float64)
-    step = max(1, -(-max(h, w) // LARGEST))
+    return _bounded(body[: w * h * depth].reshape((h, w, 3) if depth == 3 else (h, w)).astype(np.float64))
+
+
+def _bounded(img: np.ndarray) -> np.ndarray:
+    """Every n-th row and column, so that neither side is longer than ``LARGEST``."""
+    step = max(1, -(-max(img.shape[:2]) // LARGEST))
     return img[::step, ::step]
 
 
+def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
+    """One row of a PNG with its filter undone; sums are modulo 256."""
+    if kind == 0:
+        return row
+    if kind == 2:
+        return row + above
+    if kind == 1:
+        return np.add.accumulate(row.reshape(-1, bpp), axis=0, dtype=np.uint8).ravel()
+    out = bytearray(row.tobytes())
+    up = above.tobytes()
+    for i in range(len(out)):
+        a, b = out[i - bpp] if i >= bpp else 0, up[i]
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            c = up[i - bpp] if i >= bpp else 0
+            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+        out[i] = (out[i] + guess) & 255
+    return np.frombuffer(bytes(out), np.uint8)
+
+
+#: Colour type of a PNG -> numbers a pixel.
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def decode_png(data: bytes | None) -> np.ndarray | None:
+    """A PNG of 8 bits a sample, not interlaced, as (height, width[, 3]) floats without its transparency; None where it can't be read."""
+    if not data or data[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    at, head, palette, packed = 8, None, None, []
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR" and len(body) == 13:
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body[: len(body) // 3 * 3], np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + size
+    if head is None or head[2] != 8 or head[3] not in _CHANNELS or head[6] or not head[0] or not head[1] or (head[3] == 3 and palette is None):
+        return None
+    w, h, n = head[0], head[1], _CHANNELS[head[3]]
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    except zlib.error:
+        return None
+    if len(raw) < h * (w * n + 1):
+        return None
+    rows, above = np.empty((h, w * n), np.uint8), np.zeros(w * n, np.uint8)
+    for y, line in enumerate(raw[: h * (w * n + 1)].reshape(h, w * n + 1)):
+        if line[0] > 4:
+            return None
+        rows[y] = above = _unfilter(int(line[0]), line[1:], above, n)
+    img = rows.reshape(h, w, n)
+    if head[3] == 3:
+        if img.max() >= len(palette):
+            return None
+        img = palette[img[:, :, 0]]
+    img = img[:, :, 0] if n == 2 or img.shape[2] == 1 else img[:, :, :3]
+    return _bounded(img.astype(np.float64))
+
+
+def decode(data: bytes | None) -> np.ndarray | None:
+    """A PNG, PGM or PPM, told apart by its first bytes; None for anything else."""
+    return decode_png(data) if data and data[:4] == b"\x89PNG" else decode_pnm(data)
+
+
+# Measures of which any one above zero means that something was found, and flags that say so themselves.
+FOUND_COUNTS = ("total_stains", "minutiae_count", "striation_count")
+FOUND_FLAGS = ("wound_detected", "text_detected")
+
+
+def has_findings(df: DataFrame) -> Column:
+    """Whether the measures of an image found anything; measures that aren't there or are null count as nothing."""
+    parts = [F.coalesce(F.col(c), F.lit(0)) > 0 for c in FOUND_COUNTS if c in df.columns] + [F.coalesce(F.col(c), F.lit(False)) for c in FOUND_FLAGS if c in df.columns]
+    out = F.lit(False)
+    for p in parts:
+        out = out | p
+    return out
+
+
 def gray(img: np.ndarray) -> np.ndarray:
     return img if img.ndim == 2 else img @ np.array([0.299, 0.587, 0.114])
 
@@ -125,7 +216,7 @@ def measure(df: DataFrame, key: str = "path", content: str = "content") -> DataF
         for pdf in it:
             rows = []
             for k, data in zip(pdf[key], pdf[content]):
-                img = decode_pnm(bytes(data) if data is not None else None)
+                img = decode(bytes(data) if data is not None else None)
                 rows.append((k, None, None, None, None, None, None) if img is None else (k, len(stains(img)), *sharpness(img).values(), line_count(img), red_share(img)))
             yield pd.DataFrame(rows, columns=[key, "n_stains", "sobel_max", "sobel_mean", "laplacian_var", "n_lines", "red_share"])
 

@@ -478,6 +478,27 @@ def _(s, d):
     return M.micro(M.confusion(_labels(s, d), ["label"], "gold", "pred"), "label").select("label", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
+@query("macro_average", f"WITH {_LAB}, s AS (SELECT tp, fp, fn, {_PRF} FROM c) SELECT 'macro' label, CAST(sum(tp) AS BIGINT) tp, CAST(sum(fp) AS BIGINT) fp, CAST(sum(fn) AS BIGINT) fn, {r4('avg(precision)')} AS precision, {r4('avg(recall)')} AS recall, {r4('avg(f1)')} f1 FROM s")
+def _(s, d):
+    """Unweighted means of the scores over labels."""
+    return GOLD.macro(M.with_scores(M.confusion(_labels(s, d), ["label"], "gold", "pred").drop("tn")), "label")
+
+
+@query("trial_means", f"WITH t AS (SELECT label, month(scored_at) trial, {r4('avg(CASE WHEN accepted = (name_score >= 0.85 AND cos >= 0.85) THEN 1.0 ELSE 0.0 END)')} accuracy FROM match_candidates WHERE accepted IS NOT NULL AND name_score IS NOT NULL AND cos IS NOT NULL AND scored_at IS NOT NULL GROUP BY 1, 2) SELECT label, count(*) trials, floor(avg(accuracy) * 1000 + 0.5) / 1000 accuracy_mean, floor(stddev_pop(accuracy) * 1000 + 0.5) / 1000 accuracy_sd FROM t GROUP BY 1")
+def _(s, d):
+    """Mean and deviation of a label's accuracy over months, each a trial."""
+    t = table(s, d, "match_candidates", ["label", "accepted", "name_score", "cos", "scored_at"]).where("accepted is not null and name_score is not null and cos is not null and scored_at is not null")
+    right = (F.col("accepted") == ((F.col("name_score") >= 0.85) & (F.col("cos") >= 0.85))).cast("double")
+    return GOLD.over_trials(t.groupBy("label", F.month("scored_at").alias("trial")).agg(T.round4(F.avg(right)).alias("accuracy")), ["label"], ["accuracy"])
+
+
+@query("date_coverage", f"WITH t AS (SELECT case_id, list_distinct(flatten(list_transform(gold.time_events, lambda g: {_YEARS_SQL.format('g')}))) g, {_YEARS_SQL.format('narrative')} f FROM gold_cases) SELECT case_id, CASE WHEN len(g) > 0 THEN {r4('len(list_intersect(g, f)) * 1.0 / len(g)')} END coverage FROM t")
+def _(s, d):
+    """Share of the annotated years of each case that its narrative names."""
+    t = table(s, d, "gold_cases", ["case_id", "narrative", "gold"]).select("case_id", F.col("gold.time_events").alias("g"), F.array("narrative").alias("f"))
+    return t.select("case_id", T.round4(GOLD.date_coverage(t, "g", "f")).alias("coverage"))
+
+
 @query("mae_tolerance", "SELECT label, " + r4("avg(abs(name_score - cos))") + " mae, " + r4("avg(CASE WHEN abs(name_score - cos) <= 0.1 THEN 1.0 ELSE 0.0 END)") + ' AS "within" FROM match_candidates WHERE cos IS NOT NULL AND name_score IS NOT NULL GROUP BY label')
 def _(s, d):
     t = table(s, d, "match_candidates", ["label", "cos", "name_score"]).where("name_score is not null").withColumn("tol", F.lit(0.1))

@@ -621,3 +621,17 @@ def _(s, d):
 @query("blob_contains", "SELECT n_nationkey k, contains(lower(n_name), 'nation_2') hit FROM nation")
 def _(s, d):
     return table(s, d, "nation", ["n_nationkey", "n_name"]).select(F.col("n_nationkey").alias("k"), F.lower(F.to_json(F.struct("n_name"))).contains("nation_2").alias("hit"))
+
+
+@query("same_as_template", f"WITH {_SAME}, p AS (SELECT node_id, case_id FROM kg_nodes WHERE label = 'Person' AND case_id IS NOT NULL), sp AS (SELECT x, y FROM sym WHERE x IN (SELECT node_id FROM p) AND y IN (SELECT node_id FROM p)), s1 AS (SELECT node_id a, node_id b FROM p UNION SELECT node_id, y FROM p JOIN sp ON x = node_id), s2 AS (SELECT a, b FROM s1 UNION SELECT a, y FROM s1 JOIN sp ON x = b), s3 AS (SELECT a, b FROM s2 UNION SELECT a, y FROM s2 JOIN sp ON x = b) SELECT DISTINCT s3.a person, p.case_id \"case\" FROM s3 JOIN p ON p.node_id = s3.b")
+def _(s, d):
+    """(person, case): the recommended cross-case pattern, run as a query: every case a person or one linked to them within three steps is involved in."""
+    k = table(s, d, "kg_nodes", ["node_id", "label", "case_id"]).where("label = 'Person' and case_id is not null")
+    none = F.create_map().cast("map<string,string>")
+    people = k.select("node_id", "label", F.col("node_id").alias("key"), F.lit(None).cast("string").alias("name"), none.alias("props"))
+    cases = k.select("case_id").distinct().select(F.concat(F.lit("case:"), "case_id").alias("node_id"), F.lit("Case").alias("label"), F.col("case_id").alias("key"), F.lit(None).cast("string").alias("name"), none.alias("props"))
+    ids = k.select("node_id")
+    same = _same_as(s, d).join(ids.withColumnRenamed("node_id", "x"), "x", "left_semi").join(ids.withColumnRenamed("node_id", "y"), "y", "left_semi").select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit("SAME_AS").alias("type"))
+    involved = k.select(F.col("node_id").alias("src"), F.concat(F.lit("case:"), "case_id").alias("dst"), F.lit("INVOLVED_IN").alias("type"))
+    g = cypher.Graph(people.unionByName(cases), same.unionByName(involved))
+    return cypher.run(g, "MATCH (p:Person)-[:SAME_AS*0..3]-(q:Person)-[:INVOLVED_IN]->(c:Case) RETURN DISTINCT p.key AS person, c.key AS case", {}, limit=None)

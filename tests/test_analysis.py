@@ -145,3 +145,42 @@ def test_running_totals_and_median_over_cut_groups(spark):
     assert running_totals(df.limit(0), ["g"], [F.desc("i")], {"s": "v"}, Scratch(spark, "t")).collect() == []
     med = {r.g: r.median for r in S.describe(df, ["v"], ["g"]).collect()}
     assert med == {g: statistics.median(x[2] for x in rows if x[0] == g) for g in ("hot", "a", None)}
+
+
+def png(img, kinds, colour, palette=b""):
+    """A PNG of the given filters, a row each in turn."""
+    import struct
+    import zlib
+
+    h, w = img.shape[:2]
+    n = 1 if img.ndim == 2 else img.shape[2]
+    flat = img.reshape(h, w * n).astype(int)
+    raw = b""
+    for y in range(h):
+        k, row, up = kinds[y % len(kinds)], flat[y], flat[y - 1] if y else np.zeros(w * n, int)
+        left, corner = np.r_[np.zeros(n, int), row[:-n]], np.r_[np.zeros(n, int), up[:-n]]
+        pa, pb, pc = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        guess = [0 * row, left, up, (left + up) // 2, np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))][k]
+        raw += bytes([k]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_png_round_trip():
+    rng = np.random.default_rng(3)
+    for n, colour in ((0, 0), (3, 2), (4, 6)):
+        img = rng.integers(0, 256, (11, 7, n) if n else (11, 7)).astype(np.uint8)
+        got = images.decode(png(img, (0, 1, 2, 3, 4), colour))
+        assert np.array_equal(got, img[:, :, :3] if n else img)
+    colours = rng.integers(0, 256, (5, 3)).astype(np.uint8)
+    img = rng.integers(0, 5, (6, 6)).astype(np.uint8)
+    assert np.array_equal(images.decode(png(img, (4, 1), 3, colours.tobytes())), colours[img])
+    good = png(img, (0,), 0)
+    for bad in (good[:20], good[:50], b"\x89PNG", png(img, (0,), 3), None, b"", b"GIF89a"):
+        assert images.decode(bad) is None
+
+
+def test_findings(spark):
+    df = spark.createDataFrame([(1, 0, False), (2, 3, False), (3, None, True), (4, None, None)], "i int, total_stains int, wound_detected boolean")
+    assert [r.f for r in df.orderBy("i").select(images.has_findings(df).alias("f")).collect()] == [False, True, True, False]
+    assert not df.select("i").select(images.has_findings(df.select("i")).alias("f")).first().f
