@@ -404,9 +404,11 @@ def _(s, d):
     return S.normality(table(s, d, "events", ["event_id", "event_type", "value"]), "event_type", "value", "event_id")
 
 
-@query("case_statistics", f"SELECT feature, count(x) n, {r4('avg(x)')} mean FROM ({_LONG}) GROUP BY feature")
+@query("case_statistics", f"SELECT feature, count(x) n, {r4('avg(x)')} mean, {r4('stddev_pop(x)')} std, min(x) AS min, max(x) AS max, median(x) AS median FROM ({_LONG}) GROUP BY feature")
 def _(s, d):
-    return S.describe(_stats_frame(s, d), NUM).select("feature", "n", T.round4(F.col("mean")).alias("mean"))
+    """All measures of every feature, over all groups."""
+    t = S.describe(_stats_frame(s, d), NUM)
+    return t.withColumn("mean", T.round4(F.col("mean"))).withColumn("std", T.round4(F.col("std")))
 
 
 @query("nn_distance_stats", "WITH p AS (SELECT p_brand b, p_partkey k, p_retailprice x, CAST(p_size AS DOUBLE) y FROM part), m AS (SELECT a.b, a.k, min(sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y))) dist FROM p a JOIN p c ON a.b = c.b AND a.k <> c.k GROUP BY a.b, a.k) SELECT b, " + r4("avg(dist)") + " mean_dist, " + r4("stddev_pop(dist)") + " std_dist, count(*) n FROM m GROUP BY b")
@@ -655,9 +657,12 @@ def _(s, d):
     return pipeline.ingest(s, docs, *pipeline.empty_graph(s)).nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("evaluate_attributes", f"WITH {_LAB} SELECT label, count(*) n, {r4('avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END)')} accuracy FROM l GROUP BY label")
+@query("evaluate_attributes", f"WITH {_LAB} SELECT label, count(*) n, {r4('avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END)')} accuracy, {r4('avg(abs(name_score - cos))')} mae, {r4('avg(CASE WHEN abs(name_score - cos) <= 0.1 THEN 1.0 ELSE 0.0 END)')} within_tolerance FROM l GROUP BY label")
 def _(s, d):
-    return _labels(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), T.round4(F.avg((F.col("gold") == F.col("pred")).cast("double"))).alias("accuracy"))
+    """Yes-or-no attributes by accuracy, numeric ones by mean error and the share within a tolerance."""
+    t = _labels(s, d)
+    d_ = F.abs(F.col("name_score") - F.col("cos"))
+    return t.groupBy("label").agg(F.count(F.lit(1)).alias("n"), T.round4(F.avg((F.col("gold") == F.col("pred")).cast("double"))).alias("accuracy"), T.round4(F.avg(d_)).alias("mae"), T.round4(F.avg((d_ <= 0.1).cast("double"))).alias("within_tolerance"))
 
 
 # --- vectors and resolution
@@ -735,15 +740,28 @@ def _(s, d):
     return G.components(s, p).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("resolution_benchmark", f"WITH {_LAB} SELECT label, count(*) pool, count(*) FILTER (pred = 1) accepted, CAST(sum(gold) AS BIGINT) should FROM l GROUP BY label")
+@query("resolution_benchmark", f"WITH {_LAB} SELECT label, count(*) pool, count(*) FILTER (pred = 1) accepted, CAST(sum(gold) AS BIGINT) should, count(*) FILTER (gold = 1 AND pred = 1) tp, {r4('count(*) FILTER (gold = 1 AND pred = 1) * 1.0 / nullif(count(*) FILTER (pred = 1), 0)')} AS precision, {r4('count(*) FILTER (gold = 1 AND pred = 1) * 1.0 / nullif(sum(gold), 0)')} AS recall FROM l GROUP BY label")
 def _(s, d):
-    return _labels(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("pool"), F.count_if(F.col("pred") == 1).alias("accepted"), F.sum("gold").alias("should"))
+    """The pool of scored pairs of each label: accepted, should-link, both, precision and recall."""
+    tp = F.count_if((F.col("gold") == 1) & (F.col("pred") == 1))
+    t = _labels(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("pool"), F.count_if(F.col("pred") == 1).alias("accepted"), F.sum("gold").alias("should"), tp.alias("tp"))
+    return t.withColumn("precision", T.round4(F.try_divide("tp", "accepted"))).withColumn("recall", T.round4(F.try_divide("tp", "should")))
+
+
+_BRANCHES = ("Evidence", "Person", "Location", "Weapon", "Vehicle", "CrimeType")
 
 
-@query("case_evidence", "SELECT case_id, count(*) FILTER (label = 'Weapon') weapons, count(*) FILTER (label = 'Evidence') evidence, count(*) FILTER (label = 'Person') persons FROM kg_nodes WHERE case_id IS NOT NULL GROUP BY case_id")
+@query("case_evidence", "SELECT case_id, " + ", ".join(f"count(DISTINCT val) FILTER (label = '{b}') n_{b.lower()}, coalesce(array_to_string(list_sort(list(DISTINCT val) FILTER (label = '{b}' AND val IS NOT NULL))[1:5], '|'), '') {b.lower()}" for b in _BRANCHES) + " FROM kg_nodes WHERE case_id IS NOT NULL GROUP BY case_id")
 def _(s, d):
-    n = lambda x: F.count_if(F.col("label") == x)
-    return table(s, d, "kg_nodes", ["case_id", "label"]).where("case_id is not null").groupBy("case_id").agg(n("Weapon").alias("weapons"), n("Evidence").alias("evidence"), n("Person").alias("persons"))
+    """One row a case: of each of six kinds of evidence the number of distinct values and the first five of them."""
+    t = table(s, d, "kg_nodes", ["case_id", "label", "val"]).where("case_id is not null")
+    # each branch is reduced to its distinct values first, so no branch multiplies another
+    values = t.where("val is not null").groupBy("case_id", "label", "val").agg(F.count(F.lit(1)).alias("n"))
+    first = values.withColumn("r", F.row_number().over(W.partitionBy("case_id", "label").orderBy("val"))).where("r <= 5")
+    counts = values.groupBy("case_id").agg(*[F.count_if(F.col("label") == b).alias(f"n_{b.lower()}") for b in _BRANCHES])
+    names = first.groupBy("case_id").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("label") == b, F.col("val")))), "|").alias(b.lower()) for b in _BRANCHES])
+    out = t.select("case_id").distinct().join(counts, "case_id", "left").join(names, "case_id", "left")
+    return out.select("case_id", *[F.coalesce(f"n_{b.lower()}", F.lit(0)).alias(f"n_{b.lower()}") for b in _BRANCHES], *[F.coalesce(b.lower(), F.lit("")).alias(b.lower()) for b in _BRANCHES])
 
 
 @query("backfill_counts", "SELECT count(*) n, count(*) embedded FROM kg_nodes")

@@ -411,6 +411,16 @@ def _(s, d):
     return G.upsert_edges(old, upd.unionByName(upd).unionByName(bad), nodes(s, d, ["Supplier", "Nation"])).select("src", "type", "dst")
 
 
+@query("same_as_upsert", "WITH m AS (SELECT least(a, b) src, greatest(a, b) dst, scored_at, max(conf) conf FROM match_candidates WHERE accepted AND a <> b AND conf IS NOT NULL AND scored_at IS NOT NULL AND a IN (SELECT node_id FROM kg_nodes) AND b IN (SELECT node_id FROM kg_nodes) GROUP BY 1, 2, 3) SELECT src, dst, arg_max(conf, scored_at) score FROM m GROUP BY 1, 2")
+def _(s, d):
+    """(src, dst, score): links told apart by their ends alone; the score last set stands."""
+    m = table(s, d, "match_candidates", ["a", "b", "accepted", "conf", "scored_at"]).where("accepted and a <> b and conf is not null and scored_at is not null")
+    m = m.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "scored_at").agg(F.max("conf").alias("conf"))
+    upd = m.select("src", F.lit("SAME_AS").alias("type"), "dst", F.create_map(F.lit("score"), F.col("conf").cast("string")).alias("props"), F.unix_micros(F.col("scored_at").cast("timestamp")).alias("ordinal"))
+    out = G.upsert_edges(upd.drop("ordinal").limit(0), upd, table(s, d, "kg_nodes", ["node_id"]), by_props=False)
+    return out.select("src", "dst", F.col("props").getItem("score").cast("double").alias("score"))
+
+
 @query("upsert_idempotent", "SELECT count(*) n, count(DISTINCT n_nationkey) k FROM nation")
 def _(s, d):
     old = nodes(s, d, ["Nation"]).select("label", "key", "props")
