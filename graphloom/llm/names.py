@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -373,35 +374,42 @@ def _rounds(spark: SparkSession, scratch: Scratch, profiles: DataFrame, family:
         named = pairs(df, F.col("full").alias("x")).join(family.withColumnRenamed("name", "x"), "x", "left")
         return named.select("pid", surname(kind, F.coalesce("family", "x")).alias("block")).distinct()
 
-    current, path = scratch.write(profiles.withColumn("since", F.lit(0)))
+    current, path = scratch.write(profiles)
     ids, ids_path = scratch.write(profiles.select("pid", F.col("pid").alias("leader")))
-    step, seen, kind = 0, {"p": -1, "g": -1, "i": -1}, "p"
+    # the leaders of every round's merges: what has changed since a kind of block was last looked at
+    changed: list[DataFrame] = []
+    seen, kind = {"p": -1, "g": -1, "i": -1}, "p"
     tasks = 4 * spark.sparkContext.defaultParallelism
     after = {"p": "g", "g": "i", "i": None}
     while kind is not None:
         placed = blocks(current, kind)
-        fresh = blocks(current.where(F.col("since") > seen[kind]), kind).select("block").distinct() if seen[kind] >= 0 else None
-        placed = placed.join(fresh, "block", "left_semi") if fresh is not None else placed
+        if seen[kind] >= 0:
+            new = reduce(DataFrame.unionByName, changed[seen[kind] :]) if changed[seen[kind] :] else None
+            if new is None:
+                kind = after[kind]
+                continue
+            fresh = blocks(current.join(new.distinct(), "pid", "left_semi"), kind).select("block").distinct()
+            placed = placed.join(fresh, "block", "left_semi")
         crowd = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
         members = placed.join(crowd, "block", "left_semi").join(current.select(*_COLUMNS), "pid").select("block", *_COLUMNS)
         found, found_path = scratch.write(members.repartition(tasks, "block").sortWithinPartitions("block", "pid").mapInArrow(_resolve(LEVELS[kind]), "block bigint, leader bigint, pid bigint"))
-        seen[kind] = step
+        seen[kind] = len(changed)
         if found.isEmpty():
             scratch.drop(found_path)
             kind = after[kind]
             continue
-        step += 1
         # a profile that merges in several blocks does so in the least of them; other merges of such a one wait
         first = found.groupBy("pid").agg(F.min("block").alias("least"))
         good = found.join(first, "pid").groupBy("block", "leader").agg(F.min((F.col("block") == F.col("least")).cast("int")).alias("ok")).where("ok = 1").select("block", "leader")
         moved, moved_path = scratch.write(found.join(good, ["block", "leader"], "left_semi").select("pid", "leader"))
         keyed = current.join(moved, "pid", "left").withColumn("pid", F.coalesce("leader", "pid"))
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-        nxt = keyed.groupBy("pid").agg(*[union(c) for c in ("surnames", "full", "short", "middle", "middle_short")], F.max("sex").alias("sex"), F.min("low").alias("low"), F.max("high").alias("high"), union("phones"), F.sum("size").alias("size"), F.max(F.when(F.col("leader").isNotNull(), F.lit(step)).otherwise(F.col("since"))).alias("since"))
+        nxt = keyed.groupBy("pid").agg(*[union(c) for c in ("surnames", "full", "short", "middle", "middle_short")], F.max("sex").alias("sex"), F.min("low").alias("low"), F.max("high").alias("high"), union("phones"), F.sum("size").alias("size"))
         nxt, nxt_path = scratch.write(nxt)
         up = moved.select(F.col("pid").alias("leader"), F.col("leader").alias("now"))
         nxt_ids, nxt_ids_path = scratch.write(ids.join(up, "leader", "left").select("pid", F.coalesce("now", "leader").alias("leader")))
-        for old in (path, ids_path, found_path, moved_path):
+        changed.append(moved.select(F.col("leader").alias("pid")))
+        for old in (path, ids_path, found_path):
             scratch.drop(old)
         current, path, ids, ids_path = nxt, nxt_path, nxt_ids, nxt_ids_path
         kind = "p"
