@@ -1,7 +1,10 @@
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom.operators import graph as G
 
 
@@ -70,3 +73,20 @@ def test_prefer_and_first_seen(spark):
 def test_strip_internal(spark):
     df = spark.createDataFrame([({"a": "1", "embedding": "x"},)], "p map<string,string>")
     assert df.select(G.strip_internal(F.col("p")).alias("p")).first().p == {"a": "1"}
+
+
+def test_equal_pairs_are_tiled(spark):
+    rows = [("x", f"n{i % 57}", f"c{i % 5}") for i in range(60)] + [("y", "m", None), (None, "o", "c1"), ("z", None, "c1"), ("z", None, "c1")]
+    df = spark.createDataFrame(rows, "v string, b string, d string")
+    new = df.where("d in ('c1', 'c2')").withColumnsRenamed({"b": "a", "d": "c"})
+    want = sorted(((r[0], r[1], r[2], n[1], n[2]) for r in rows for n in rows if n[2] in ("c1", "c2") and n[0] == r[0] and r[0]), key=str)
+    for tile, run in ((4096, 256), (7, 8), (5, 3)):
+        assert sorted(map(tuple, G.equal_pairs(new, df, ["v"], tile, run).select("v", "b", "d", "a", "c").collect()), key=str) == want
+    assert G.equal_pairs(new.limit(0), df, ["v"]).collect() == [] == G.equal_pairs(new, df.limit(0), ["v"]).collect()
+
+
+def test_common_value_is_not_one_task(spark, tmp_path):
+    nodes = [{"node_id": f"k{i}", "label": "L", "val": "v", "case_id": f"FIR-2024-{i}" if i < 60 else f"FIR-2020-{i}"} for i in range(9_000)]
+    pq.write_table(pa.Table.from_pylist(nodes), tmp_path / "kg_nodes.parquet")
+    got = entry.queries()["blocked_incremental_join"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in got) == 60 * 8_999 and len(got) > 1
