@@ -695,48 +695,59 @@ def _(s, d):
     return _knn_all(s, d, 3)
 
 
-def _people(s, d):
-    """Graph nodes with a vector; their context is the other values of their case, their role that of the person record of their id."""
-    k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val", "embedding"])
-    said = k.where("val is not null and case_id is not null").select("case_id", F.col("node_id").alias("other"), F.lower(F.trim("val")).alias("w")).where("w <> ''")
+def _people(s, d, found):
+    """The ends of the pairs of ``found``; their context is the other values of their case, their role that of the person record of their id."""
+    k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val"])
+    ends = found.select(F.explode(F.array("a_eid", "b_eid")).alias("node_id")).distinct()
+    held, _ = Scratch(s, "ends").write(k.where("val is not null").join(ends, "node_id", "left_semi"))
+    said = k.where("val is not null and case_id is not null").join(held.select("case_id").distinct(), "case_id", "left_semi").select("case_id", F.col("node_id").alias("other"), F.lower(F.trim("val")).alias("w")).where("w <> ''")
     # the few nodes of one case
     case = said.groupBy("case_id").agg(F.collect_list(F.struct("other", "w")).alias("said"))
     roles = table(s, d, "person_records", ["person_id", "role"]).where("person_id is not null").groupBy(F.col("person_id").alias("node_id")).agg(F.min(T.role_normalise(F.col("role"))).alias("role"))
-    k = k.where("embedding is not null and val is not null").join(case, "case_id", "left").join(roles, "node_id", "left")
+    k = held.join(case, "case_id", "left").join(roles, "node_id", "left")
     ctx = F.array_distinct(F.transform(F.filter("said", lambda x: x["other"] != F.col("node_id")), lambda x: x["w"]))
-    k = k.select(F.col("node_id").alias("eid"), "label", F.col("case_id").alias("doc"), "val", "role", F.col("embedding").alias("emb"), F.coalesce(ctx, F.array().cast("array<string>")).alias("ctx"))
+    k = k.select(F.col("node_id").alias("eid"), "label", F.col("case_id").alias("doc"), "val", "role", F.coalesce(ctx, F.array().cast("array<string>")).alias("ctx"))
     return R.prepare(k, "val").drop("val")
 
 
+def _accepted(s, d, new=None):
+    """Accepted pairs of graph nodes with a vector; vectors are compared where names may be accepted, context is read for what they find."""
+    k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val", "embedding"]).where("embedding is not null and val is not null")
+    k = R.prepare(k.select(F.col("node_id").alias("eid"), "label", F.col("case_id").alias("doc"), "val", F.col("embedding").alias("emb")), "val").drop("val")
+    scratch = Scratch(s, "resolve")
+    found, _ = scratch.write(R.similar(R.name_groups(k), 0.78, new, ["grp"]))
+    people, _ = scratch.write(_people(s, d, found))
+    return R.decide(R.beside(found, people)).where("accepted")
+
+
 _LINKS = "SELECT a.node_id x, b.node_id y FROM kg_nodes a JOIN kg_nodes b ON a.label = b.label AND a.val = b.val AND a.case_id <> b.case_id AND a.node_id < b.node_id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.78"
 
 
 @query("resolve_links")
 def _(s, d):
     """(x, y, basis, confidence): accepted pairs of a label in different cases, whatever their spelling."""
-    p = R.decide(R.candidates(_people(s, d), 0.78)).where("accepted")
+    p = _accepted(s, d)
     return p.select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"), "basis", T.round4(F.col("confidence")).alias("confidence"))
 
 
 @query("resolve_incremental")
 def _(s, d):
     """New cases' nodes against all."""
-    n = _people(s, d)
-    p = R.decide(R.candidates(n, 0.78, new=n.where(F.col("doc").startswith("FIR-2024")))).where("accepted")
+    p = _accepted(s, d, F.col("doc").startswith("FIR-2024"))
     return p.select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"), "basis")
 
 
 @query("resolve_summary")
 def _(s, d):
     """(label, links) of resolution."""
-    p = R.decide(R.candidates(_people(s, d), 0.78)).where("accepted")
+    p = _accepted(s, d)
     return p.groupBy(F.col("a_label").alias("label")).agg(F.count(F.lit(1)).alias("links"))
 
 
 @query("resolve_clusters")
 def _(s, d):
     """(component, n): groups of linked nodes and their sizes."""
-    p = R.decide(R.candidates(_people(s, d), 0.78)).where("accepted").select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"))
+    p = _accepted(s, d).select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"))
     return G.components(s, p).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 

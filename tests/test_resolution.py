@@ -1,8 +1,13 @@
+import random
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from graphloom.operators import resolution as R
 
 NODES = [
     ("a1", "C-1", "Ramesh Kumar Sharma", 0), ("a2", "FIR-2024-1", "Rameshkumar Sharma", 0), ("a3", "C-3", "Ramesh Kumar", 0), ("a4", "C-1", "Ramesh Kumar Sharma", 0), ("far", "C-4", "Rameshkumar Sharma", 3),
@@ -49,3 +54,56 @@ def test_date_greedy_counts_false_positives(spark, tmp_path):
     pq.write_table(pa.Table.from_pylist([{"case_id": "c", "event_id": e, "description": x, "timestamp": t, "date": y} for e, x, t, y in events]), tmp_path / "time_events.parquet")
     got = {r.case_id: (r.tp, r.fp, r.fn) for r in entry.queries()["date_greedy"](spark, str(tmp_path)).collect()}
     assert got == {"c": (2, 2, 1), "d": (0, 0, 0)}
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["resolve_links"])
+def test_vectors_of_a_large_label_are_sent_a_few_times(spark, tmp_path, name):
+    rnd, n = np.random.default_rng(4), 12_000
+    x = rnd.standard_normal((n, 48)).astype("float32")
+    x[1::100] = x[::100]
+    rows = [{"node_id": f"n{i:05d}", "label": "Person", "case_id": f"FIR-{2020 + i % 5}-{i}", "val": f"{'abcdefgh'[i // 10 % 8] * 9} smith", "embedding": x[i]} for i in range(n)]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "kg_nodes.parquet")
+    pq.write_table(pa.table({"person_id": ["n00000"], "role": ["witness"]}), tmp_path / "person_records.parquet")
+    before = shuffled_rows(spark)
+    got = entry.queries()[name](spark, str(tmp_path)).collect()
+    assert shuffled_rows(spark) - before < 4 * n
+    pairs = [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(0, n, 100)]
+    want = {"resolve_links": pairs, "resolve_summary": [("Person", 120)], "resolve_clusters": [(a, 2) for a, _ in pairs], "resolve_incremental": []}[name]
+    assert sorted(tuple(r)[:2] for r in got) == want
+
+
+@pytest.mark.parametrize("tile", [None, 60])
+def test_similar_equals_all_products(spark, monkeypatch, tile):
+    monkeypatch.setattr(R, "PRODUCT", (32, 50))
+    rnd = np.random.default_rng(7)
+    x = np.vstack([rnd.standard_normal((150, 64)), rnd.standard_normal((4, 64)).repeat(25, 0) + 0.4 * rnd.standard_normal((100, 64)), np.zeros((3, 64))]).astype("float32")
+    rows = [(f"e{i:03d}", "L" if i % 9 else "M", f"d{i % 40}" if i % 50 else None, x[i].tolist()) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "eid string, label string, doc string, emb array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-30)
+    cos = u @ u.T
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and a[1] == b[1] and a[2] != b[2] and cos[i, j] >= 0.78}
+    found = lambda new=None: [(r.a_eid, r.b_eid) for r in R.similar(df, 0.78, new, tile=tile).collect()]
+    assert sorted(found()) == sorted(want) and len(want) > 100
+    fresh = {r[0] for r in rows if r[2] in ("d3", "d21")}
+    assert sorted(found(F.col("doc").isin("d3", "d21"))) == sorted(p for p in want if fresh & set(p)) == sorted(found(df.where("doc in ('d3', 'd21')")))
+
+
+def test_acceptable_names_share_a_group(spark):
+    rnd = random.Random(5)
+    words = ["ramesh", "rameshk", "kumar", "kumaar", "sharma", "k", "m", "sharmaa"]
+    names = sorted({" ".join(rnd.sample(words, rnd.randrange(1, 4))) for _ in range(40)})
+    df = spark.createDataFrame([("P", n) for n in names * 2] + [("Q", "ramesh"), (None, "x y")], "label string, norm string")
+    groups = {(r.label, r.norm): r.grp for r in R.name_groups(df).collect()}
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a != b], "a_norm string, b_norm string")
+    named = [(r.a_norm, r.b_norm) for r in R._scored(pairs, 0.88).where("s.score >= 0.88").collect()]
+    assert named and all(groups["P", a] == groups["P", b] for a, b in named)
+    assert len({groups["P", n] for n in names}) > 1 and len({groups[k] for k in groups if k[0] != "P"}) == 2
+    assert R.name_groups(df).count() == df.count()
+    assert {r.grp for r in R.name_groups(df, most=5).where("label = 'P'").collect()} == {None}
