@@ -1,4 +1,5 @@
 import random
+import threading
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -90,3 +91,18 @@ def test_common_value_is_not_one_task(spark, tmp_path):
     pq.write_table(pa.Table.from_pylist(nodes), tmp_path / "kg_nodes.parquet")
     got = entry.queries()["blocked_incremental_join"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in got) == 60 * 8_999 and len(got) > 1
+
+
+def test_context_pairs_no_suppliers(spark, tmp_path):
+    pq.write_table(pa.table({"r_regionkey": [0], "r_name": ["ASIA"]}), tmp_path / "region.parquet")
+    pq.write_table(pa.table({"n_nationkey": [3, 4], "n_name": ["CHINA", "INDIA"], "n_regionkey": [0, 0]}), tmp_path / "nation.parquet")
+    n = 60_000
+    pq.write_table(pa.table({"s_suppkey": range(n), "s_name": [f"s{i}" for i in range(n)], "s_nationkey": [3 if i else 4 for i in range(n)]}), tmp_path / "supplier.parquet")
+    # 3.6e9 pairs of suppliers would not end within minutes
+    timer = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        got = entry.queries()["varlen_context"](spark, str(tmp_path)).groupBy("ctx").count().collect()
+    finally:
+        timer.cancel()
+    assert sorted(map(tuple, got)) == [("ASIA|CHINA", n - 1), ("ASIA|INDIA", 1)]
