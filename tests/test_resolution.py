@@ -63,7 +63,7 @@ def shuffled_rows(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["resolve_links", "resolve_clusters", "resolve_incremental"])
+@pytest.mark.parametrize("name", ["resolve_links", "resolve_clusters", "resolve_incremental", "resolve_summary"])
 def test_vectors_of_a_large_label_are_sent_a_few_times(spark, tmp_path, name):
     rnd, n = np.random.default_rng(4), 12_000
     x = rnd.standard_normal((n, 48)).astype("float32")
