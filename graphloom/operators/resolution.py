@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ DISTINCTIVE_ROLES = ("officer", "forensic_analyst", "judge", "examiner")
 TILE, TILE_BYTES = 2_000, 16_000_000
 #: Rows by columns of one product; leading numbers of a vector from which its products are bounded first.
 PRODUCT, LEAD = (1_024, 8_192), 32
+#: Found pairs put together by what is said of their ends at once; the most of them in one row.
+TOGETHER, ROW = 262_144, 8_192
 #: Distinct names of a label up to which each is compared with each before any vector is.
 NAMES = 1_000
 
@@ -54,56 +61,176 @@ def similar(nodes: DataFrame, floor: float = 0.78, new: DataFrame | Column | Non
     one task, so no task holds more than two tiles, however large the block. Each row is
     sent to as many tasks as its block has tiles: give ``block`` columns where labels are large.
     """
-    keys = ["label", *(block or [])]
+
+    def multiply(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        out = list(_pairs(t, floor))
+        first, second, cos = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"a_eid": t.column("eid").take(first).cast(pa.string()), "b_eid": t.column("eid").take(second).cast(pa.string()), "cos": pa.array(cos, pa.float64())})
+
+    return _sent(_placed(nodes, new, block, tile)).groupBy("blk", "ti", "tj").applyInArrow(multiply, "a_eid string, b_eid string, cos double")
+
+
+def _placed(nodes: DataFrame, new: DataFrame | Column | None, block: list[str] | None, tile: int | None, *rest: str) -> DataFrame:
+    """Rows with a vector, their block, its number of tiles and their own tile; ``rest``: further columns kept."""
     held = nodes.where("emb is not null")
     if isinstance(new, DataFrame):
         held = held.join(new.select("eid", F.lit(True).alias("fresh")), "eid", "left")
     else:
         held = held.withColumn("fresh", F.lit(True) if new is None else new)
-    rows = held.select("eid", "doc", "emb", F.xxhash64(*keys).alias("blk"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    rows = held.select("eid", "doc", "emb", F.xxhash64("label", *(block or [])).alias("blk"), F.coalesce("fresh", F.lit(False)).alias("fresh"), *rest)
     count = F.count(F.lit(1))
     parts = count / tile if tile else count * F.least(F.max(F.size("emb")) * 4, F.lit(TILE_BYTES)) / TILE_BYTES
     sizes = rows.groupBy("blk").agg(F.greatest(F.ceil(parts), F.lit(1)).cast("int").alias("tiles"))
-    tiled = rows.join(F.broadcast(sizes) if not block else sizes, "blk").withColumn("mine", F.pmod(F.xxhash64("eid"), F.col("tiles")).cast("int"))
-    sent = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("blk", F.least("mine", "with").alias("ti"), F.greatest("mine", "with").alias("tj"), "mine", "eid", "doc", "fresh", "emb")
-
-    def multiply(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        emb = t.column("emb").combine_chunks()
-        flat = emb.flatten().to_numpy(zero_copy_only=False)
-        lengths = emb.value_lengths().to_numpy(zero_copy_only=False)
-        if (lengths != lengths[0]).any():
-            raise ValueError("vectors of one block differ in length")
-        raw = flat.reshape(len(t), -1)
-        norm = np.concatenate([np.linalg.norm(raw[s : s + 8_192].astype(np.float64), axis=1, keepdims=True) for s in range(0, len(raw), 8_192)])
-        unit = lambda i: np.divide(raw[i].astype(np.float64), norm[i], out=np.zeros((len(i), raw.shape[1])), where=norm[i] > 0)
-        x = np.concatenate([unit(np.arange(s, min(s + 8_192, len(raw)))).astype(np.float32) for s in range(0, len(raw), 8_192)])
-        mine, fr, ti, tj = (t.column(c).to_numpy() for c in ("mine", "fresh", "ti", "tj"))
-        eid, doc = (t.column(c).to_numpy(zero_copy_only=False) for c in ("eid", "doc"))
-        fr = fr.astype(bool)
-        if ti[0] == tj[0]:
-            # new rows first: each meets what comes after it
-            order, fresh = np.argsort(~fr, kind="stable"), int(fr.sum())
-            runs = [(order[:fresh], None), (order[:fresh], order[fresh:])]
-        else:
-            a, b = np.flatnonzero(mine == ti[0]), np.flatnonzero(mine != ti[0])
-            runs = [(a[fr[a]], b), (a[~fr[a]], b[fr[b]])]
-        out: list[tuple] = []
-        for a, b in runs:
-            for i, j in _products(x, a, b, floor):
-                for s in range(0, len(i), 65_536):
-                    p, q = i[s : s + 65_536], j[s : s + 65_536]
-                    keep = doc[p] != doc[q]
-                    p, q = p[keep], q[keep]
-                    cos = np.einsum("ij,ij->i", unit(p), unit(q))
-                    keep = cos >= floor
-                    p, q, cos = p[keep], q[keep], cos[keep]
-                    swap = eid[p] > eid[q]
-                    out.append((np.where(swap, q, p), np.where(swap, p, q), cos))
-        first, second, cos = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
-        return pa.table({"a_eid": pa.array(eid[first], pa.string()), "b_eid": pa.array(eid[second], pa.string()), "cos": pa.array(cos, pa.float64())})
-
-    return sent.groupBy("blk", "ti", "tj").applyInArrow(multiply, "a_eid string, b_eid string, cos double")
+    # written, so that its size is known and no vector is shuffled to meet it where it is small
+    sizes = Scratch(nodes.sparkSession, "tiles").write(sizes)[0] if block else F.broadcast(sizes)
+    return rows.join(sizes, "blk").withColumn("mine", F.pmod(F.xxhash64("eid"), F.col("tiles")).cast("int"))
+
+
+def _sent(placed: DataFrame, *rest: str) -> DataFrame:
+    """Each row once for every two tiles that it takes part in."""
+    return placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("blk", F.least("mine", "with").alias("ti"), F.greatest("mine", "with").alias("tj"), "mine", "eid", "doc", "fresh", "emb", *rest)
+
+
+def _pairs(t: pa.Table, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the smaller eid, rows of the greater, cosines) of the pairs of two tiles, some at a time."""
+    emb = t.column("emb").combine_chunks()
+    flat = emb.flatten().to_numpy(zero_copy_only=False)
+    lengths = emb.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != lengths[0]).any():
+        raise ValueError("vectors of one block differ in length")
+    raw = flat.reshape(len(t), -1)
+    norm = np.concatenate([np.linalg.norm(raw[s : s + 8_192].astype(np.float64), axis=1, keepdims=True) for s in range(0, len(raw), 8_192)])
+    unit = lambda i: np.divide(raw[i].astype(np.float64), norm[i], out=np.zeros((len(i), raw.shape[1])), where=norm[i] > 0)
+    x = np.concatenate([unit(np.arange(s, min(s + 8_192, len(raw)))).astype(np.float32) for s in range(0, len(raw), 8_192)])
+    mine, fr, ti, tj = (t.column(c).to_numpy() for c in ("mine", "fresh", "ti", "tj"))
+    # numbers in place of texts: equal for equal documents, in the order of eid
+    doc = _codes(t.column("doc"))[0]
+    rank = np.empty(len(t), np.int64)
+    rank[pc.sort_indices(t.column("eid")).to_numpy()] = np.arange(len(t))
+    fr = fr.astype(bool)
+    if ti[0] == tj[0]:
+        # new rows first: each meets what comes after it
+        order, fresh = np.argsort(~fr, kind="stable"), int(fr.sum())
+        runs = [(order[:fresh], None), (order[:fresh], order[fresh:])]
+    else:
+        a, b = np.flatnonzero(mine == ti[0]), np.flatnonzero(mine != ti[0])
+        runs = [(a[fr[a]], b), (a[~fr[a]], b[fr[b]])]
+    for a, b in runs:
+        for i, j in _products(x, a, b, floor):
+            for s in range(0, len(i), 65_536):
+                p, q = i[s : s + 65_536], j[s : s + 65_536]
+                keep = doc[p] != doc[q]
+                p, q = p[keep], q[keep]
+                cos = np.einsum("ij,ij->i", unit(p), unit(q))
+                keep = cos >= floor
+                p, q, cos = p[keep], q[keep], cos[keep]
+                swap = rank[p] > rank[q]
+                yield np.where(swap, q, p), np.where(swap, p, q), cos
+
+
+def _codes(c: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each text (-1 for null), and the texts by number."""
+    d = c.combine_chunks().dictionary_encode()
+    return d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+
+
+def _stars(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least of its component, node) of every node but the least: what links the nodes that the pairs link."""
+    nodes, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    i, j, low = at[: len(p)], at[len(p) :], np.arange(len(nodes))
+    while len(i):
+        np.minimum.at(low, np.maximum(i, j), np.minimum(i, j))
+        while (low[low] != low).any():
+            low = low[low]
+        i, j = low[i], low[j]
+        i, j = i[i != j], j[i != j]
+    other = low != np.arange(len(nodes))
+    return nodes[low[other]], nodes[other]
+
+
+def alike(nodes: DataFrame, facts: DataFrame, key: str, floor: float = 0.78, new: DataFrame | Column | None = None, block: list[str] | None = None, tile: int | None = None, give: str = "pairs") -> DataFrame:
+    """The pairs of ``similar`` as rows for ``decide`` (a_label, a_norm, a_role, a_ctx, the same of b, ratio) that hold many pairs each.
+
+    ``nodes``: eid, label, doc, norm, emb and ``key``, by which ``facts`` has ``told`` (array of w, only: a value, and
+    the one node that has it if no other does) and ``roles`` (map of node to role). Pairs of whose ends the same is said
+    are decided alike, so they are one row as far as one task finds them together; no pair is written or shuffled.
+    ``give``: 'pairs' has ``ends`` (array of a_eid, b_eid); 'count' their number ``n``; 'stars' ``ends`` that link
+    the same nodes by fewer pairs.
+    """
+    placed = _placed(nodes, new, block, tile, "label", "norm", key).join(facts, key, "left")
+    told = F.transform(F.filter("told", lambda x: x["only"].isNull() | (x["only"] != F.col("eid"))), lambda x: x["w"])
+    ctx = F.array_sort(F.coalesce(told, F.array().cast("array<string>")))
+    placed = placed.withColumn("said", F.to_json(F.struct("label", "norm", F.try_element_at("roles", F.col("eid")).alias("role"), ctx.alias("ctx"))))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        said, texts = _codes(t.column("said"))
+        eid, norms, known = t.column("eid").combine_chunks().cast(pa.string()), [json.loads(x)["norm"] for x in texts.to_pylist()], {}
+
+        def ratio(a: str, b: str) -> float:
+            if (a, b) not in known:
+                known[a, b] = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+            return known[a, b]
+
+        def rows(held: list[tuple]) -> pa.RecordBatch:
+            p, q = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            if give == "stars":
+                kinds, at = np.unique(said[p] * len(texts) + said[q], return_inverse=True)
+                p, q = _stars(at * len(t) + p, at * len(t) + q)
+                kind, p, q = kinds[p // len(t)], p % len(t), q % len(t)
+            else:
+                kind = said[p] * len(texts) + said[q]
+            order = np.argsort(kind, kind="stable")
+            kind, p, q = kind[order], p[order], q[order]
+            starts = np.union1d(np.flatnonzero(np.diff(kind, prepend=-1)), np.arange(0, len(kind), ROW))
+            a, b = kind[starts] // len(texts), kind[starts] % len(texts)
+            ends = [*starts.tolist(), len(kind)]
+            columns = {"a_said": texts.take(pa.array(a)), "b_said": texts.take(pa.array(b)), "ratio": pa.array([ratio(norms[i], norms[j]) for i, j in zip(a.tolist(), b.tolist())], pa.float64())}
+            if give == "count":
+                columns["n"] = pa.array(np.diff(ends), pa.int64())
+            else:
+                columns["ends"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([eid.take(pa.array(p)), eid.take(pa.array(q))], ["a_eid", "b_eid"]))
+            return pa.RecordBatch.from_pydict(columns)
+
+        held, n = [], 0
+        for p, q, _ in _pairs(t, floor):
+            held.append((p, q))
+            n += len(p)
+            if n >= TOGETHER:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    found = _sent(placed, "said").groupBy("blk", "ti", "tj").applyInArrow(multiply, "a_said string, b_said string, ratio double, " + ("n bigint" if give == "count" else "ends array<struct<a_eid: string, b_eid: string>>"))
+    kind = "label string, norm string, role string, ctx array<string>"
+    read = found.withColumns({p: F.from_json(f"{p}_said", kind) for p in ("a", "b")})
+    return read.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("a", "b") for c in ("label", "norm", "role", "ctx")], "ratio", "n" if give == "count" else "ends")
+
+
+def linking(pairs: DataFrame) -> DataFrame:
+    """(x, y): pairs that link what the ``ends`` of ``pairs`` link, at most one a node of a task."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (a := top(a)) != (b := top(b)):
+                    up[max(a, b)] = min(a, b)
+        below = [x for x in up if top(x) != x]
+        for s in range(0, len(below), 65_536):
+            part = below[s : s + 65_536]
+            yield pa.RecordBatch.from_pydict({"x": pa.array([top(x) for x in part], pa.string()), "y": pa.array(part, pa.string())})
+
+    return pairs.select(F.explode("ends").alias("e")).select("e.*").mapInArrow(reduce, "x string, y string")
 
 
 def beside(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -153,7 +280,9 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
 
 
 def _scored(pairs: DataFrame, name_threshold: float) -> DataFrame:
-    """``pairs`` of a_norm, b_norm with their name score as ``s``."""
+    """``pairs`` of a_norm, b_norm with their name score as ``s``; of their ``ratio`` where they have it."""
+    if "ratio" in pairs.columns:
+        return pairs.withColumn("s", name_score(F.col("a_norm"), F.col("b_norm"), F.col("ratio")))
     short = 2.0 * F.least(F.length("a_norm"), F.length("b_norm")) >= name_threshold * F.greatest(F.length("a_norm") + F.length("b_norm"), F.lit(1))
     words = lambda c: F.split(F.col(c), " ")
     inside = (F.size(F.array_except(words("a_norm"), words("b_norm"))) == 0) | (F.size(F.array_except(words("b_norm"), words("a_norm"))) == 0)

@@ -695,29 +695,28 @@ def _(s, d):
     return _knn_all(s, d, 3)
 
 
-def _people(s, d, found):
-    """The ends of the pairs of ``found``; their context is the other values of their case, their role that of the person record of their id."""
-    k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val"])
-    ends = found.select(F.explode(F.array("a_eid", "b_eid")).alias("node_id")).distinct()
-    held, _ = Scratch(s, "ends").write(k.where("val is not null").join(ends, "node_id", "left_semi"))
-    said = k.where("val is not null and case_id is not null").join(held.select("case_id").distinct(), "case_id", "left_semi").select("case_id", F.col("node_id").alias("other"), F.lower(F.trim("val")).alias("w")).where("w <> ''")
-    # the few nodes of one case
-    case = said.groupBy("case_id").agg(F.collect_list(F.struct("other", "w")).alias("said"))
-    roles = table(s, d, "person_records", ["person_id", "role"]).where("person_id is not null").groupBy(F.col("person_id").alias("node_id")).agg(F.min(T.role_normalise(F.col("role"))).alias("role"))
-    k = held.join(case, "case_id", "left").join(roles, "node_id", "left")
-    ctx = F.array_distinct(F.transform(F.filter("said", lambda x: x["other"] != F.col("node_id")), lambda x: x["w"]))
-    k = k.select(F.col("node_id").alias("eid"), "label", F.col("case_id").alias("doc"), "val", "role", F.coalesce(ctx, F.array().cast("array<string>")).alias("ctx"))
-    return R.prepare(k, "val").drop("val")
-
-
-def _accepted(s, d, new=None):
-    """Accepted pairs of graph nodes with a vector; vectors are compared where names may be accepted, context is read for what they find."""
+def _facts(s, d):
+    """(at, told, roles) by case, or by node where it has none: the values of a case with the one node that has each if no other does, and roles from the person records of its nodes' ids."""
+    k = table(s, d, "kg_nodes", ["node_id", "case_id", "val"]).where("val is not null").withColumn("at", _at("case_id", "node_id"))
+    said = k.where("case_id is not null").select("at", "node_id", F.lower(F.trim("val")).alias("w"), F.lit(None).cast("string").alias("role")).where("w <> ''")
+    roles = table(s, d, "person_records", ["person_id", "role"]).where("person_id is not null").groupBy(F.col("person_id").alias("node_id")).agg(F.min(T.role_normalise(F.col("role"))).alias("role")).where("role is not null")
+    roles = k.select("at", "node_id").join(roles, "node_id").select("at", "node_id", F.lit(None).cast("string").alias("w"), "role")
+    # one shuffle: what is grouped by more than ``at`` keeps to its partitions
+    each = said.unionByName(roles).repartition("at").groupBy("at", "w", F.when(F.col("w").isNull(), F.col("node_id")).alias("who")).agg(F.min("node_id").alias("lo"), F.max("node_id").alias("hi"), F.min("role").alias("role"))
+    told = F.struct("w", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only"))
+    return each.groupBy("at").agg(F.collect_list(F.when(F.col("w").isNotNull(), told)).alias("told"), F.map_from_entries(F.collect_list(F.when(F.col("w").isNull(), F.struct("who", "role")))).alias("roles"))
+
+
+def _at(case, node):
+    return F.coalesce(F.concat(F.lit("c:"), case), F.concat(F.lit("n:"), node))
+
+
+def _accepted(s, d, new=None, give="pairs"):
+    """Accepted pairs of graph nodes with a vector, those of whose ends the same is said in one row; vectors are compared where names may be accepted."""
     k = table(s, d, "kg_nodes", ["node_id", "label", "case_id", "val", "embedding"]).where("embedding is not null and val is not null")
     k = R.prepare(k.select(F.col("node_id").alias("eid"), "label", F.col("case_id").alias("doc"), "val", F.col("embedding").alias("emb")), "val").drop("val")
-    scratch = Scratch(s, "resolve")
-    found, _ = scratch.write(R.similar(R.name_groups(k), 0.78, new, ["grp"]))
-    people, _ = scratch.write(_people(s, d, found))
-    return R.decide(R.beside(found, people)).where("accepted")
+    grouped = R.name_groups(k).withColumn("at", _at("doc", "eid"))
+    return R.decide(R.alike(grouped, _facts(s, d), "at", 0.78, new, ["grp"], give=give)).where("accepted")
 
 
 _LINKS = "SELECT a.node_id x, b.node_id y FROM kg_nodes a JOIN kg_nodes b ON a.label = b.label AND a.val = b.val AND a.case_id <> b.case_id AND a.node_id < b.node_id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.78"
@@ -726,29 +725,28 @@ _LINKS = "SELECT a.node_id x, b.node_id y FROM kg_nodes a JOIN kg_nodes b ON a.l
 @query("resolve_links")
 def _(s, d):
     """(x, y, basis, confidence): accepted pairs of a label in different cases, whatever their spelling."""
-    p = _accepted(s, d)
-    return p.select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"), "basis", T.round4(F.col("confidence")).alias("confidence"))
+    p = _accepted(s, d).select(F.explode("ends").alias("e"), "basis", T.round4(F.col("confidence")).alias("confidence"))
+    return p.select(F.col("e.a_eid").alias("x"), F.col("e.b_eid").alias("y"), "basis", "confidence")
 
 
 @query("resolve_incremental")
 def _(s, d):
     """New cases' nodes against all."""
-    p = _accepted(s, d, F.col("doc").startswith("FIR-2024"))
-    return p.select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"), "basis")
+    p = _accepted(s, d, F.col("doc").startswith("FIR-2024")).select(F.explode("ends").alias("e"), "basis")
+    return p.select(F.col("e.a_eid").alias("x"), F.col("e.b_eid").alias("y"), "basis")
 
 
 @query("resolve_summary")
 def _(s, d):
     """(label, links) of resolution."""
-    p = _accepted(s, d)
-    return p.groupBy(F.col("a_label").alias("label")).agg(F.count(F.lit(1)).alias("links"))
+    p = _accepted(s, d, give="count")
+    return p.groupBy(F.col("a_label").alias("label")).agg(F.sum("n").alias("links"))
 
 
 @query("resolve_clusters")
 def _(s, d):
     """(component, n): groups of linked nodes and their sizes."""
-    p = _accepted(s, d).select(F.col("a_eid").alias("x"), F.col("b_eid").alias("y"))
-    return G.components(s, p).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return G.components(s, R.linking(_accepted(s, d, give="stars"))).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("resolution_benchmark", f"WITH {_LAB} SELECT label, count(*) pool, count(*) FILTER (pred = 1) accepted, CAST(sum(gold) AS BIGINT) should, count(*) FILTER (gold = 1 AND pred = 1) tp, {r4('count(*) FILTER (gold = 1 AND pred = 1) * 1.0 / nullif(count(*) FILTER (pred = 1), 0)')} AS precision, {r4('count(*) FILTER (gold = 1 AND pred = 1) * 1.0 / nullif(sum(gold), 0)')} AS recall FROM l GROUP BY label")

@@ -107,3 +107,40 @@ def test_acceptable_names_share_a_group(spark):
     assert len({groups["P", n] for n in names}) > 1 and len({groups[k] for k in groups if k[0] != "P"}) == 2
     assert R.name_groups(df).count() == df.count()
     assert {r.grp for r in R.name_groups(df, most=5).where("label = 'P'").collect()} == {None}
+
+
+def moved_rows(spark):
+    """Rows written to shuffles and files so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() + stages.apply(i).outputRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["resolve_summary"])
+def test_pairs_of_repeated_vectors_are_not_moved_one_by_one(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(R, "TOGETHER", 5_000)
+    n, k = 1_200, 3
+    x = np.random.default_rng(6).standard_normal((k, 48)).astype("float32")
+    # two names; of the second the context speaks for every other node only
+    rows = [{"node_id": f"n{i:05d}", "label": "Person", "case_id": f"FIR-{2023 + i % 4 // 2}-{i}", "val": "smith" if i % k == 2 else "anil smith", "embedding": x[i % k]} for i in range(n)]
+    rows += [{"node_id": f"o{i:05d}", "label": "Person", "case_id": f"FIR-{2023 + i % 4 // 2}-{i}", "val": "Canal Bank", "embedding": None} for i in range(0, n, 2)]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "kg_nodes.parquet")
+    pq.write_table(pa.table({"person_id": ["n00000"], "role": ["witness"]}), tmp_path / "person_records.parquet")
+    before = moved_rows(spark)
+    got = entry.queries()[name](spark, str(tmp_path))
+    total = got.count() if name == "resolve_incremental" else sorted(tuple(r) for r in got.collect())
+    assert moved_rows(spark) - before < 20 * n
+    groups = [[i for i in range(n) if i % k == g and (g < 2 or i % 2 == 0)] for g in range(k)]
+    pairs = [len(g) * (len(g) - 1) // 2 for g in groups]
+    old = [sum(i % 4 < 2 for i in g) for g in groups]
+    assert total == {"resolve_summary": [("Person", sum(pairs))], "resolve_clusters": sorted((f"n{g[0]:05d}", len(g)) for g in groups), "resolve_incremental": sum(p - m * (m - 1) // 2 for p, m in zip(pairs, old))}[name]
+
+
+def test_roles_and_context_of_the_ends(spark, tmp_path):
+    nodes = [("j1", "C-1", "sharma"), ("j2", None, "sharma"), ("j3", "C-3", "sharma"), ("k1", "C-4", "verma"), ("k2", "C-5", "verma"), ("k3", "C-4", "verma"), ("k4", "C-6", "verma")]
+    rows = [{"node_id": n, "label": "Person", "case_id": c, "val": v, "embedding": [1.0, 0.0] if n[0] == "j" else [0.0, 1.0]} for n, c, v in nodes] + [{"node_id": "z", "label": "Person", "case_id": "C-5", "val": " VERMA", "embedding": None}]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "kg_nodes.parquet")
+    pq.write_table(pa.table({"person_id": ["j1", "j2", "j3"], "role": ["Judge", "judge", "witness"]}), tmp_path / "person_records.parquet")
+    got = {(r.x, r.y): r.basis for r in entry.queries()["resolve_links"](spark, str(tmp_path)).collect()}
+    # one's own value is no context, the same value of another node of the case is; k1 and k3 are of one case
+    assert got == {("j1", "j2"): "name+role", ("k1", "k2"): "name+context", ("k2", "k3"): "name+context"}
