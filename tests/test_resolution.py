@@ -116,7 +116,7 @@ def moved_rows(spark):
     return sum(stages.apply(i).shuffleWriteRecords() + stages.apply(i).outputRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["resolve_summary", "resolve_clusters"])
+@pytest.mark.parametrize("name", ["resolve_summary", "resolve_clusters", "resolve_incremental"])
 def test_pairs_of_repeated_vectors_are_not_moved_one_by_one(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(R, "TOGETHER", 5_000)
     n, k = 1_200, 3
