@@ -68,28 +68,31 @@ def similar(nodes: DataFrame, floor: float = 0.78, new: DataFrame | Column | Non
         first, second, cos = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
         return pa.table({"a_eid": t.column("eid").take(first).cast(pa.string()), "b_eid": t.column("eid").take(second).cast(pa.string()), "cos": pa.array(cos, pa.float64())})
 
-    return _sent(_placed(nodes, new, block, tile)).groupBy("blk", "ti", "tj").applyInArrow(multiply, "a_eid string, b_eid string, cos double")
+    return _sent(_placed(nodes, new, block, tile), "doc", "emb").groupBy("blk", "ti", "tj").applyInArrow(multiply, "a_eid string, b_eid string, cos double")
 
 
 def _placed(nodes: DataFrame, new: DataFrame | Column | None, block: list[str] | None, tile: int | None, *rest: str) -> DataFrame:
-    """Rows with a vector, their block, its number of tiles and their own tile; ``rest``: further columns kept."""
+    """Rows with a vector, their block, its number of tiles (the first ``news`` hold the new rows) and their own tile; ``rest``: further columns kept."""
     held = nodes.where("emb is not null")
     if isinstance(new, DataFrame):
         held = held.join(new.select("eid", F.lit(True).alias("fresh")), "eid", "left")
     else:
         held = held.withColumn("fresh", F.lit(True) if new is None else new)
     rows = held.select("eid", "doc", "emb", F.xxhash64("label", *(block or [])).alias("blk"), F.coalesce("fresh", F.lit(False)).alias("fresh"), *rest)
-    count = F.count(F.lit(1))
-    parts = count / tile if tile else count * F.least(F.max(F.size("emb")) * 4, F.lit(TILE_BYTES)) / TILE_BYTES
-    sizes = rows.groupBy("blk").agg(F.greatest(F.ceil(parts), F.lit(1)).cast("int").alias("tiles"))
+    parts = lambda n: n / tile if tile else n * F.least(F.max(F.size("emb")) * 4, F.lit(TILE_BYTES)) / TILE_BYTES
+    of = lambda n: F.when(n > 0, F.greatest(F.ceil(parts(n)), F.lit(1))).otherwise(0).cast("int")
+    sizes = rows.groupBy("blk").agg(of(F.count_if("fresh")).alias("news"), of(F.count_if(~F.col("fresh"))).alias("olds"))
     # written, so that its size is known and no vector is shuffled to meet it where it is small
     sizes = Scratch(nodes.sparkSession, "tiles").write(sizes)[0] if block else F.broadcast(sizes)
-    return rows.join(sizes, "blk").withColumn("mine", F.pmod(F.xxhash64("eid"), F.col("tiles")).cast("int"))
+    sizes = sizes.where("news > 0").select("blk", "news", (F.col("news") + F.col("olds")).alias("tiles"))
+    mine = lambda n: F.pmod(F.xxhash64("eid"), n).cast("int")
+    return rows.join(sizes, "blk").withColumn("mine", F.when(F.col("fresh"), mine(F.col("news"))).otherwise(F.col("news") + mine(F.col("tiles") - F.col("news"))))
 
 
 def _sent(placed: DataFrame, *rest: str) -> DataFrame:
-    """Each row once for every two tiles that it takes part in."""
-    return placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("blk", F.least("mine", "with").alias("ti"), F.greatest("mine", "with").alias("tj"), "mine", "eid", "doc", "fresh", "emb", *rest)
+    """Each row once for every two tiles that it takes part in: of two that hold no new row, none."""
+    last = F.when(F.col("fresh"), F.col("tiles")).otherwise(F.col("news")) - 1
+    return placed.withColumn("with", F.explode(F.sequence(F.lit(0), last))).select("blk", F.least("mine", "with").alias("ti"), F.greatest("mine", "with").alias("tj"), "mine", "eid", "fresh", *rest)
 
 
 def _pairs(t: pa.Table, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,6 +132,18 @@ def _pairs(t: pa.Table, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray,
                 yield np.where(swap, q, p), np.where(swap, p, q), cos
 
 
+def _met(t: pa.Table) -> pa.Table:
+    """The rows with a vector, each with doc and said of the row without one that has its eid and sign."""
+    vectors, words = t.filter(pc.is_valid(t.column("emb"))), t.filter(pc.is_null(t.column("emb")))
+    if len(vectors) != len(words):
+        raise ValueError("a node's vector and words were not read alike")
+    by = lambda x: pc.sort_indices(x.select(["eid", "sign"]), [("eid", "ascending"), ("sign", "ascending")]).to_numpy()
+    at = np.empty(len(vectors), np.int64)
+    at[by(vectors)] = by(words)
+    words = words.select(["doc", "said"]).take(at).combine_chunks()
+    return vectors.drop_columns(["doc", "said", "sign"]).append_column("doc", words.column("doc")).append_column("said", words.column("said"))
+
+
 def _codes(c: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """A number for each text (-1 for null), and the texts by number."""
     d = c.combine_chunks().dictionary_encode()
@@ -150,7 +165,7 @@ def _stars(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def alike(nodes: DataFrame, facts: DataFrame, key: str, floor: float = 0.78, new: DataFrame | Column | None = None, block: list[str] | None = None, tile: int | None = None, give: str = "pairs") -> DataFrame:
-    """The pairs of ``similar`` as rows for ``decide`` (a_label, a_norm, a_role, a_ctx, the same of b, ratio) that hold many pairs each.
+    """The pairs of ``similar`` as rows for ``decide`` (blk: a number of their block, a_label, a_norm, a_role, a_ctx, the same of b, ratio) that hold many pairs each.
 
     ``nodes``: eid, label, doc, norm, emb and ``key``, by which ``facts`` has ``told`` (array of w, only: a value, and
     the one node that has it if no other does) and ``roles`` (map of node to role). Pairs of whose ends the same is said
@@ -158,15 +173,20 @@ def alike(nodes: DataFrame, facts: DataFrame, key: str, floor: float = 0.78, new
     ``give``: 'pairs' has ``ends`` (array of a_eid, b_eid); 'count' their number ``n``; 'stars' ``ends`` that link
     the same nodes by fewer pairs.
     """
-    placed = _placed(nodes, new, block, tile, "label", "norm", key).join(facts, key, "left")
+    placed = _placed(nodes, new, block, tile, "label", "norm", key).withColumn("sign", F.hash("doc", "label", "norm", "emb"))
     told = F.transform(F.filter("told", lambda x: x["only"].isNull() | (x["only"] != F.col("eid"))), lambda x: x["w"])
     ctx = F.array_sort(F.coalesce(told, F.array().cast("array<string>")))
-    placed = placed.withColumn("said", F.to_json(F.struct("label", "norm", F.try_element_at("roles", F.col("eid")).alias("role"), ctx.alias("ctx"))))
+    said = F.to_json(F.struct("label", "norm", F.try_element_at("roles", F.col("eid")).alias("role"), ctx.alias("ctx")))
+    place, none = ["blk", "news", "tiles", "mine", "eid", "fresh", "sign"], F.lit(None)
+    # a vector is shuffled once, to its tasks; what is said of its node comes to meet it there
+    # in a row of its own, written before, so that the shuffles by ``key`` are gone by then
+    words, _ = Scratch(nodes.sparkSession, "words").write(placed.drop("emb").join(facts, key, "left").select(*place, "doc", said.alias("said")), clear=True)
+    both = placed.select(*place, none.cast("string").alias("doc"), none.cast("string").alias("said"), "emb").unionByName(words.withColumn("emb", none.cast(nodes.schema["emb"].dataType)))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        t = _met(pa.Table.from_batches(list(batches)))
         said, texts = _codes(t.column("said"))
-        eid, norms, known = t.column("eid").combine_chunks().cast(pa.string()), [json.loads(x)["norm"] for x in texts.to_pylist()], {}
+        blk, eid, norms, known = t.column("blk")[0].as_py(), t.column("eid").combine_chunks().cast(pa.string()), [json.loads(x)["norm"] for x in texts.to_pylist()], {}
 
         def ratio(a: str, b: str) -> float:
             if (a, b) not in known:
@@ -186,7 +206,7 @@ def alike(nodes: DataFrame, facts: DataFrame, key: str, floor: float = 0.78, new
             starts = np.union1d(np.flatnonzero(np.diff(kind, prepend=-1)), np.arange(0, len(kind), ROW))
             a, b = kind[starts] // len(texts), kind[starts] % len(texts)
             ends = [*starts.tolist(), len(kind)]
-            columns = {"a_said": texts.take(pa.array(a)), "b_said": texts.take(pa.array(b)), "ratio": pa.array([ratio(norms[i], norms[j]) for i, j in zip(a.tolist(), b.tolist())], pa.float64())}
+            columns = {"blk": pa.array(np.full(len(starts), blk), pa.int64()), "a_said": texts.take(pa.array(a)), "b_said": texts.take(pa.array(b)), "ratio": pa.array([ratio(norms[i], norms[j]) for i, j in zip(a.tolist(), b.tolist())], pa.float64())}
             if give == "count":
                 columns["n"] = pa.array(np.diff(ends), pa.int64())
             else:
@@ -203,10 +223,10 @@ def alike(nodes: DataFrame, facts: DataFrame, key: str, floor: float = 0.78, new
         if n:
             yield rows(held)
 
-    found = _sent(placed, "said").groupBy("blk", "ti", "tj").applyInArrow(multiply, "a_said string, b_said string, ratio double, " + ("n bigint" if give == "count" else "ends array<struct<a_eid: string, b_eid: string>>"))
+    found = _sent(both, "sign", "doc", "said", "emb").groupBy("blk", "ti", "tj").applyInArrow(multiply, "blk bigint, a_said string, b_said string, ratio double, " + ("n bigint" if give == "count" else "ends array<struct<a_eid: string, b_eid: string>>"))
     kind = "label string, norm string, role string, ctx array<string>"
     read = found.withColumns({p: F.from_json(f"{p}_said", kind) for p in ("a", "b")})
-    return read.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("a", "b") for c in ("label", "norm", "role", "ctx")], "ratio", "n" if give == "count" else "ends")
+    return read.select("blk", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("a", "b") for c in ("label", "norm", "role", "ctx")], "ratio", "n" if give == "count" else "ends")
 
 
 def linking(pairs: DataFrame) -> DataFrame:

@@ -144,3 +144,33 @@ def test_roles_and_context_of_the_ends(spark, tmp_path):
     got = {(r.x, r.y): r.basis for r in entry.queries()["resolve_links"](spark, str(tmp_path)).collect()}
     # one's own value is no context, the same value of another node of the case is; k1 and k3 are of one case
     assert got == {("j1", "j2"): "name+role", ("k1", "k2"): "name+context", ("k2", "k3"): "name+context"}
+
+
+def shuffled_bytes(spark):
+    """Bytes written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def wide_nodes(path, n=2_000, size=512, new=20):
+    """``n`` nodes of one name, two of a vector, ``new`` of them in new cases; the bytes of their vectors."""
+    x = np.random.default_rng(8).standard_normal((n // 2, size)).astype("float32").repeat(2, 0)
+    rows = [{"node_id": f"n{i:05d}", "label": "Person", "case_id": f"FIR-{2024 if i % (n // new) == 1 else 2020}-{i}", "val": "anil smith", "embedding": x[i]} for i in range(n)]
+    pq.write_table(pa.Table.from_pylist(rows), path / "kg_nodes.parquet")
+    pq.write_table(pa.table({"person_id": ["n00000"], "role": ["witness"]}), path / "person_records.parquet")
+    return x.nbytes
+
+
+@pytest.mark.parametrize("tile", [16_000_000, 500_000])
+def test_vectors_meet_new_ones_in_one_shuffle(spark, tmp_path, monkeypatch, tile):
+    monkeypatch.setattr(R, "TILE_BYTES", tile)
+    size, before = wide_nodes(tmp_path), shuffled_bytes(spark)
+    # as of large tables, none but a table of blocks is sent whole
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        got = {(r.x, r.y) for r in entry.queries()["resolve_incremental"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(f"n{i:05d}", f"n{i + 1:05d}") for i in range(0, 2_000, 100)}
+    assert shuffled_bytes(spark) - before < 1.5 * size
