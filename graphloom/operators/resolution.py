@@ -29,6 +29,8 @@ PRODUCT, LEAD = (1_024, 8_192), 32
 TOGETHER, ROW = 262_144, 8_192
 #: Distinct names of a label up to which each is compared with each before any vector is.
 NAMES = 1_000
+#: Links of a block that one task puts together; it holds an entry for each node of them.
+LINKS = 1_000_000
 
 
 def _products(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, floor: float):
@@ -229,28 +231,50 @@ def alike(nodes: DataFrame, facts: DataFrame, key: str, floor: float = 0.78, new
     return read.select("blk", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("a", "b") for c in ("label", "norm", "role", "ctx")], "ratio", "n" if give == "count" else "ends")
 
 
-def linking(pairs: DataFrame) -> DataFrame:
-    """(x, y): pairs that link what the ``ends`` of ``pairs`` link, at most one a node of a task."""
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(blk, x, y) of links of whole blocks in turn or mixed -> (blk, least of those linked to y, y), y each of them but the least."""
+    blocks: dict[int, dict[str, str]] = {}
+
+    def top(up: dict[str, str], x: str) -> str:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            up = blocks.setdefault(k, {})
+            if (a := top(up, a)) != (b := top(up, b)):
+                up[max(a, b)] = min(a, b)
+    for k, up in blocks.items():
+        # nodes of one group together, so that a written table of them compresses
+        below = sorted((x, y) for y in list(up) if (x := top(up, y)) != y)
+        for s in range(0, len(below), 65_536):
+            x, y = zip(*below[s : s + 65_536])
+            yield pa.RecordBatch.from_pydict({"blk": pa.array([k] * len(x), pa.int64()), "x": pa.array(x, pa.string()), "y": pa.array(y, pa.string())})
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[str, str] = {}
 
-        def top(x: str) -> str:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y]
-                x = up[x]
-            return x
+def groups(pairs: DataFrame, most: int = LINKS) -> DataFrame:
+    """(node_id, component): the smallest eid each node is linked to by the ``ends`` of ``pairs`` (of ``alike``).
 
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (a := top(a)) != (b := top(b)):
-                    up[max(a, b)] = min(a, b)
-        below = [x for x in up if top(x) != x]
-        for s in range(0, len(below), 65_536):
-            part = below[s : s + 65_536]
-            yield pa.RecordBatch.from_pydict({"x": pa.array([top(x) for x in part], pa.string()), "y": pa.array(part, pa.string())})
+    The links of each task are reduced to at most one a node and written, which ends the shuffles of vectors. No pair lies in two blocks,
+    so a block of up to ``most`` such links is put together in one task; only larger ones go through ``graph.components``, and all do if a node lies in
+    several blocks, as repeated ids of different names may.
+    """
+    from .graph import components
 
-    return pairs.select(F.explode("ends").alias("e")).select("e.*").mapInArrow(reduce, "x string, y string")
+    spark, kind = pairs.sparkSession, "blk bigint, x string, y string"
+    scratch = Scratch(spark, "links")
+    links, _ = scratch.write(pairs.select("blk", F.explode("ends").alias("e")).select("blk", "e.*").mapInArrow(_linking, kind), clear=True)
+    large = [r.blk for r in links.groupBy("blk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("blk").collect()]
+    inside = ~F.col("blk").isin(large) if large else F.lit(True)
+    whole, _ = scratch.write(links.where(inside).groupBy("blk").applyInArrow(_linking, kind), clear=True)
+    found = whole.select(F.col("y").alias("node_id"), F.col("x").alias("component")).unionByName(whole.select("blk", F.col("x").alias("component")).distinct().select(F.col("component").alias("node_id"), "component"))
+    if large:
+        found = found.unionByName(components(spark, links.where(~inside).select("x", "y")))
+    if not found.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return components(spark, whole.unionByName(links.where(~inside)).select("x", "y"))
+    return found
 
 
 def beside(found: DataFrame, nodes: DataFrame) -> DataFrame:

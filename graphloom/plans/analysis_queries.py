@@ -746,7 +746,7 @@ def _(s, d):
 @query("resolve_clusters")
 def _(s, d):
     """(component, n): groups of linked nodes and their sizes."""
-    return G.components(s, R.linking(_accepted(s, d, give="stars"))).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return R.groups(_accepted(s, d, give="stars")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("resolution_benchmark", f"WITH {_LAB} SELECT label, count(*) pool, count(*) FILTER (pred = 1) accepted, CAST(sum(gold) AS BIGINT) should, count(*) FILTER (gold = 1 AND pred = 1) tp, {r4('count(*) FILTER (gold = 1 AND pred = 1) * 1.0 / nullif(count(*) FILTER (pred = 1), 0)')} AS precision, {r4('count(*) FILTER (gold = 1 AND pred = 1) * 1.0 / nullif(sum(gold), 0)')} AS recall FROM l GROUP BY label")

@@ -174,3 +174,36 @@ def test_vectors_meet_new_ones_in_one_shuffle(spark, tmp_path, monkeypatch, tile
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(f"n{i:05d}", f"n{i + 1:05d}") for i in range(0, 2_000, 100)}
     assert shuffled_bytes(spark) - before < 1.5 * size
+
+
+def test_no_vector_is_left_on_disk_when_groups_are_made(spark, tmp_path):
+    def kept():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size())}
+
+    size, before = wide_nodes(tmp_path), kept()
+    written = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        groups = entry.queries()["resolve_clusters"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled_bytes(spark) - written < 1.5 * size
+    assert sum(n for f, n in kept().items() if f not in before) < 0.1 * size
+    assert sorted(map(tuple, groups.collect())) == [(f"n{i:05d}", 2) for i in range(0, 2_000, 2)]
+
+
+@pytest.mark.parametrize("most", [1, 4, 100])
+def test_groups_equal_components(spark, most):
+    """Links over blocks put together in one task, over the limit, and with a node in several blocks."""
+    rnd = random.Random(9)
+    for shared in (False, True):
+        links = [(b, f"{'' if shared else b}v{rnd.randrange(12):02d}", f"{'' if shared else b}v{rnd.randrange(12):02d}") for b in (1, 2, 3) for _ in range(2 + 3 * b)]
+        pairs = spark.createDataFrame([(b, [(min(x, y), max(x, y))]) for b, x, y in links], "blk bigint, ends array<struct<a_eid: string, b_eid: string>>").repartition(4)
+        up = {}
+        for _, x, y in links:
+            if x != y:
+                whole = up.get(x, {x}) | up.get(y, {y})
+                up |= dict.fromkeys(whole, whole)
+        got = [(r.node_id, r.component) for r in R.groups(pairs, most).collect()]
+        assert sorted(got) == sorted((x, min(g)) for x, g in up.items())
